@@ -10,6 +10,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_safe_path(path) -> Column:
     """Non-empty, relative, without backslash and without '', '.' or '..' parts."""
     p = _col(path)
@@ -27,8 +32,8 @@ def suffix(path) -> Column:
 
 
 def dirname(path) -> Column:
-    head = F.regexp_replace(_col(path), r"[^/]*\z", "")
-    return F.when(head.rlike(r"^/+\z"), head).otherwise(F.regexp_replace(head, r"/+\z", ""))
+    """All before the last '/'; a root stays as it is."""
+    return F.regexp_replace(F.regexp_replace(_col(path), r"[^/]*\z", ""), r"(?<=[^/])/+\z", "")
 
 
 def join_path(base, path) -> Column:
@@ -44,9 +49,12 @@ def join_path(base, path) -> Column:
 def normalize_path(path) -> Column:
     """Collapse '//', '.' and '..'. '..' above a root is dropped, above a relative
     start it is kept. An empty result is '.'."""
-    p = _col(path)
+    return let(_col(path), _normalized)
+
+
+def _normalized(p: Column) -> Column:
     rooted = p.startswith("/")
-    lead = F.when(p.startswith("//") & ~p.startswith("///"), "//").when(rooted, "/").otherwise("")
+    lead = F.when(p.rlike("^//(?!/)"), "//").when(rooted, "/").otherwise("")
 
     def step(done, part):
         top = F.try_element_at(done, F.lit(-1))
@@ -60,10 +68,9 @@ def normalize_path(path) -> Column:
         )
 
     parts = F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step)
-    full = F.concat(lead, F.array_join(parts, "/"))
+    full = F.regexp_replace(F.concat(lead, F.array_join(parts, "/")), r"^\z", ".")
     # Most paths are already normal and skip the fold.
-    plain = (p != "") & ~p.rlike(r"//|(^|/)\.\.?(/|\z)|.(/)\z")
-    return F.when(plain, p).otherwise(F.when(full == "", ".").otherwise(full))
+    return F.when(p.rlike(r"^\z|//|(^|/)\.\.?(/|\z)|./\z"), full).otherwise(p)
 
 
 def relative_path(target, start) -> Column:
@@ -72,18 +79,18 @@ def relative_path(target, start) -> Column:
     def parts(c):
         return F.filter(F.split(normalize_path(c), "/"), lambda x: ~x.isin("", "."))
 
-    a, b = parts(start), parts(target)
-    both = F.least(F.size(a), F.size(b))
-    same = F.when(
-        both > 0,
-        F.transform(F.sequence(F.lit(1), F.greatest(both, F.lit(1))), lambda i: F.get(a, i - 1) == F.get(b, i - 1)),
-    ).otherwise(F.array().cast("array<boolean>"))
-    first_miss = F.array_position(same, False)
-    shared = F.when(first_miss > 0, first_miss - 1).otherwise(both).cast("int")
-    ups = F.array_repeat(F.lit(".."), F.size(a) - shared)
-    down = F.slice(b, shared + 1, F.size(b) - shared)
-    out = F.array_join(F.concat(ups, down), "/")
-    return F.when(out == "", ".").otherwise(out)
+    def lead(s):
+        a, b = s["a"], s["b"]
+        # A marker past each end differs from every part, so a first difference exists.
+        differs = F.zip_with(
+            F.concat(a, F.array(F.lit("/a"))), F.concat(b, F.array(F.lit("/b"))), lambda x, y: ~x.eqNullSafe(y)
+        )
+        shared = (F.array_position(differs, True) - 1).cast("int")
+        ups = F.array_repeat(F.lit(".."), F.size(a) - shared)
+        down = F.slice(b, shared + 1, F.size(b) - shared)
+        return F.regexp_replace(F.array_join(F.concat(ups, down), "/"), r"^\z", ".")
+
+    return let(F.struct(parts(_col(start)).alias("a"), parts(_col(target)).alias("b")), lead)
 
 
 def glob_regex(pattern: str) -> str:

@@ -25,18 +25,24 @@ def _col(c) -> Column:
 
 
 def decode_entities(text) -> Column:
-    t = _col(text)
-    out = t
+    out = _col(text)
     for name, char in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(t.contains("&"), out).otherwise(t)
+    return out
 
 
 def percent_decode(text) -> Column:
     """Decode %XX as UTF-8. '+' stays, and a '%' without two hex digits stays."""
-    t = _col(text)
-    kept = F.replace(F.regexp_replace(t, r"%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
-    return F.when(t.contains("%"), F.url_decode(kept)).otherwise(t)
+    kept = F.regexp_replace(_col(text), r"%(?![0-9A-Fa-f]{2})", "%25")
+    return F.url_decode(F.replace(kept, F.lit("+"), F.lit("%2B")))
+
+
+# A link that leads outside the site, into the same page, or nowhere.
+NOT_INTERNAL = r"^\s*(\z|#|//|https?://|mailto:|javascript:)"
+
+
+def is_internal(href) -> Column:
+    return ~_col(href).rlike(NOT_INTERNAL)
 
 
 def link_class(href) -> Column:
@@ -55,8 +61,7 @@ def link_class(href) -> Column:
 
 def link_path(href) -> Column:
     """Decoded path of a link: no scheme, host, parameters, query or fragment."""
-    t = F.trim(_col(href))
-    bare = F.regexp_replace(t, r"(?s)[?#].*\z", "")
+    bare = F.regexp_replace(F.trim(_col(href)), r"(?s)[?#].*\z", "")
     bare = F.regexp_replace(bare, r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?", "")
     return percent_decode(F.regexp_replace(bare, r"(?s);[^/]*\z", ""))
 
@@ -78,16 +83,16 @@ def page_file(url) -> Column:
     """The file a page is served from: its decoded path without the leading '/', a
     folder being its index page."""
     p = F.regexp_replace(percent_decode(url_path(url)), "^/+", "")
-    return F.when((p == "") | p.endswith("/"), F.concat(p, F.lit("index.html"))).otherwise(p)
+    return F.regexp_replace(p, r"(^|/)\z", "$1index.html")
 
 
 def resolve_file(page, path) -> Column:
     """File a link path means: from the site root when it starts with '/', else
     from the folder of ``page``. No leading or trailing '/'."""
-    p, here = _col(path), dirname(_col(page))
-    inside = F.when((here == "") | p.startswith("/"), p).otherwise(F.concat(here, F.lit("/"), p))
-    # Rooting the path first keeps '..' from climbing above the site.
-    return F.regexp_replace(normalize_path(F.concat(F.lit("/"), F.ltrim(inside, F.lit("/")))), "^/", "")
+    p = _col(path)
+    inside = F.when(p.startswith("/"), p).otherwise(F.concat(dirname(page), F.lit("/"), p))
+    # Rooting the path keeps '..' from climbing above the site.
+    return F.regexp_replace(normalize_path(F.regexp_replace(inside, "^/*", "/")), "^/", "")
 
 
 def join_url(base, route) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelens.functions.paths import dirname, join_path, normalize_path, relative_path
-from quirelens.functions.urls import host, link_class, link_path, link_tail, page_file, resolve_file
+from quirelens.functions.urls import host, is_internal, link_class, link_path, link_tail, page_file, resolve_file
 from quirelens.plans.skew import lookup_join
 from quirelens.sources.markup import extract_links
 
@@ -14,20 +14,11 @@ from quirelens.sources.markup import extract_links
 def page_routes(pages: DataFrame, url: str = "url") -> DataFrame:
     """Names each page answers to on its host: its file, and the folder when the
     file is a folder's index page."""
-    file = page_file(url)
-    folder = F.regexp_extract(file, r"(?s)^(?:(.*)/)?index\.html\z", 1)
-    is_index = file.rlike(r"(^|/)index\.html\z")
-    names = F.array_compact(
-        F.array(
-            F.struct(file.alias("file"), F.lit(False).alias("is_folder")),
-            F.when(is_index, F.struct(folder.alias("file"), F.lit(True).alias("is_folder"))),
-        )
-    )
-    return (
-        pages.select(host(url).alias("host"), F.explode(names).alias("r"))
-        .select("host", "r.file", "r.is_folder")
-        .distinct()
+    files = pages.select(host(url).alias("host"), page_file(url).alias("file")).distinct()
+    folders = files.filter(F.col("file").rlike(r"(^|/)index\.html\z")).select(
+        "host", F.regexp_replace("file", r"/?index\.html\z", "").alias("file"), F.lit(True).alias("is_folder")
     )
+    return files.withColumn("is_folder", F.lit(False)).unionByName(folders)
 
 
 def classify_links(links: DataFrame) -> DataFrame:
@@ -44,11 +35,13 @@ def resolve_links(pages: DataFrame, url: str = "url") -> DataFrame:
     ``from_root`` holds the second reading of a link that ends with '/': the
     folder of that name below the site root.
     """
-    links = classify_links(extract_links(pages, "page_id", "html", url))
-    inside = links.filter("link_class = 'internal' and path <> ''")
+    placed = pages.select("page_id", host(url).alias("host"), page_file(url).alias("page"), "html")
+    links = extract_links(placed, "page_id", "html", "host", "page").filter(is_internal("target"))
+    # One step per column, so that no expression is repeated inside the next.
+    inside = links.withColumn("path", link_path("target")).filter("path <> ''")
     return inside.select(
-        "page_id", "link_no", host(url).alias("host"), page_file(url).alias("page"), F.trim("target").alias("target"),
-        resolve_file(page_file(url), F.col("path")).alias("file"),
+        "page_id", "link_no", "host", "page", F.trim("target").alias("target"),
+        resolve_file("page", "path").alias("file"),
         F.when(F.col("path").endswith("/"), normalize_path(F.trim(F.col("path"), F.lit("/")))).alias("from_root"),
     )
 
@@ -98,10 +91,8 @@ def rewrite_links(
         F.regexp_extract("link", MD_PARTS, 2).alias("target"),
     )
     bare = F.regexp_replace("target", r"(?s)[?#].*\z", "")
-    stays = (bare == "") | bare.startswith("/") | bare.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
-    local = links.withColumn(
-        "path", F.when(~stays, normalize_path(join_path(dirname(source), bare)))
-    )
+    moves = ~F.col("target").rlike(r"^([?#/]|[A-Za-z][A-Za-z0-9+.\-]*:)")
+    local = links.withColumn("path", F.when(moves, normalize_path(join_path(dirname(source), bare))))
     moving = local.filter("path is not null")
     if aliases is not None:
         names = aliases.select(F.col("old_key").alias("path"), "new_key")

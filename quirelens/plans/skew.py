@@ -22,7 +22,7 @@ SPREAD = 64
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, the one its own broadcast rule uses."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fits_broadcast(df: DataFrame) -> bool:

@@ -32,13 +32,11 @@ def extract_links(pages: DataFrame, key: str = "page_id", html: str = "html", *k
         )
         return F.transform(
             F.filter(pairs, lambda p: F.lower(p["name"]) == "href"),
-            lambda p: F.regexp_replace(p["value"], r"""(?s)^(["'])(.*)\1\z""", "$2"),
+            lambda p: decode_entities(F.regexp_replace(p["value"], r"""(?s)^(["'])(.*)\1\z""", "$2")),
         )
 
     found = F.flatten(F.transform(tags, hrefs))
-    return pages.select(key, *keep, F.posexplode(found).alias("link_no", "target")).withColumn(
-        "target", decode_entities("target")
-    )
+    return pages.select(key, *keep, F.posexplode(found).alias("link_no", "target"))
 
 
 def parse_tree_listing(df: DataFrame, listing: str, *keep: str) -> DataFrame:
