@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quirelens.functions.paths import let
+
 # Text over 600 characters keeps its first 400 and a marker.
 LONG_TEXT = 600
 KEPT_TEXT = 400
@@ -55,15 +57,32 @@ def words(text) -> Column:
 def inner_words(text) -> Column:
     """Words with a break on both sides inside ``text``. Wherever the text occurs as
     a substring these are whole words of the text around it."""
-    w = words(text)
-    return F.when(F.size(w) > 2, F.slice(w, F.lit(2), F.size(w) - 2)).otherwise(
-        F.array().cast("array<string>")
+    return let(
+        words(text),
+        lambda w: F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))),
     )
 
 
-def shingles(word_array, size: int) -> Column:
-    """Runs of ``size`` neighbouring words."""
-    w = _col(word_array)
-    starts = F.sequence(F.lit(1), F.size(w) - (size - 1))
-    run = F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
-    return F.when(F.size(w) >= size, run).otherwise(F.array().cast("array<string>"))
+def _runs(word_array, size: int, value) -> Column:
+    def runs(w):
+        starts = F.sequence(F.lit(0), F.size(w) - size)
+        every = F.transform(starts, lambda i: value([F.get(w, i + k) for k in range(size)]))
+        return F.when(F.size(w) >= size, every)
+
+    return let(_col(word_array), runs)
+
+
+def word_run_hashes(word_array, size: int) -> Column:
+    """Hash of each run of ``size`` neighbouring words; null when there are fewer."""
+    return _runs(word_array, size, lambda parts: F.xxhash64(*parts))
+
+
+def word_runs(word_array, size: int) -> Column:
+    """The same with the length of each run, to choose among few runs."""
+    return _runs(
+        word_array,
+        size,
+        lambda parts: F.struct(
+            F.char_length(F.concat(*parts)).alias("length"), F.xxhash64(*parts).alias("hash")
+        ),
+    )

@@ -8,10 +8,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quirelens.functions.text import grams, inner_words, shingles, words
+from quirelens.functions.text import grams, inner_words, word_run_hashes, word_runs, words
 from quirelens.plans.lineage import cut
-from quirelens.plans.skew import lookup_join
+from quirelens.plans.skew import fits_broadcast, lookup_join
 
 FIRST_RUN = "Initial or unavailable baseline: review applicability manually"
 CHANGED = "Changed source: "
@@ -21,25 +22,34 @@ CHANGED = "Changed source: "
 GRAM_SIZES = (8, 3, 2, 1)
 
 
+def _marks(text: str, way: str) -> Column:
+    """Hashes of everything of one kind a text holds."""
+    if way == "run":
+        return word_run_hashes(words(text), 3)
+    if way == "word":
+        return word_run_hashes(words(text), 1)
+    return F.transform(grams(text, int(way)), lambda g: F.xxhash64(g))
+
+
 def _anchors(sources: DataFrame, key: str, text: str) -> DataFrame:
     """One anchor per source: something every text that contains it must hold.
 
     Words cut by the source's own ends are left out, since they may be parts of
     longer words in a page. Longer anchors are rarer, so the longest is taken.
     """
-    inner = inner_words(text)
-    runs = shingles(inner, 3)
-    size = F.char_length(text)
+    size = F.char_length("_text")
+    staged = sources.select(F.col(key).alias("_source"), F.col(text).alias("_text")).filter(size > 0)
+    staged = staged.withColumn("_inner", inner_words("_text"))
+    staged = staged.withColumn("_runs", word_runs("_inner", 3)).withColumn("_words", word_runs("_inner", 1))
 
-    def longest(array):
-        return F.array_max(F.transform(array, lambda a: F.struct(F.char_length(a).alias("n"), a.alias("a"))))["a"]
+    def longest(way, array):
+        return F.struct(F.lit(way).alias("way"), F.array_max(array)["hash"].alias("mark"))
 
-    pick = F.when(F.size(runs) > 0, F.struct(F.lit("run").alias("way"), longest(runs).alias("anchor"))).when(
-        F.size(inner) > 0, F.struct(F.lit("word").alias("way"), longest(inner).alias("anchor"))
-    )
+    pick = F.when(F.size("_runs") > 0, longest("run", F.col("_runs"))).when(F.size("_words") > 0, longest("word", F.col("_words")))
     for n in GRAM_SIZES:
-        pick = pick.when(size >= n, F.struct(F.lit(str(n)).alias("way"), F.substring(text, 1, n).alias("anchor")))
-    return sources.filter(size > 0).select(F.col(key).alias("_source"), pick.alias("p")).select("_source", "p.*")
+        first = F.xxhash64(F.substring("_text", 1, n)).alias("mark")
+        pick = pick.when(size >= n, F.struct(F.lit(str(n)).alias("way"), first))
+    return staged.select("_source", pick.alias("p")).select("_source", "p.*")
 
 
 def text_dependents(
@@ -53,30 +63,27 @@ def text_dependents(
     """(source, page) where the page's text contains the source's text.
 
     Page texts are read once and meet the sources on equal anchors; only pairs
-    that share one are compared as texts. Empty source texts name nothing.
+    that share one are compared as texts. Hashes keep the exploded rows narrow; a
+    collision only adds a pair to compare. Empty source texts name nothing.
     """
-    anchors = _anchors(sources, source_key, source_text)
-    ways = {r["way"] for r in anchors.select("way").distinct().collect()}
-    body = F.col(page_text)
-    features = {"run": lambda: shingles(words(body), 3), "word": lambda: words(body)}
-    features.update({str(n): (lambda n=n: grams(body, n)) for n in GRAM_SIZES})
+    anchors = cut(_anchors(sources, source_key, source_text))
+    ways = sorted(r["way"] for r in anchors.select("way").distinct().collect())
     found = []
-    for way in sorted(ways):
-        # Hashes keep the exploded rows narrow; a collision only adds a pair to compare.
-        marks = F.array_distinct(F.transform(features[way](), lambda x: F.xxhash64(x)))
-        rows = pages.select(F.col(page_key).alias("_page"), F.explode(marks).alias("_mark"))
-        wanted = anchors.filter(F.col("way") == way).select("_source", F.xxhash64("anchor").alias("_mark"))
-        found.append(lookup_join(rows, wanted, ["_mark"], "inner", ["_page"]).select("_source", "_page"))
+    for way in ways:
+        marks = F.array_distinct(_marks(page_text, way))
+        rows = pages.select(F.col(page_key).alias("_page"), F.explode(marks).alias("mark"))
+        wanted = anchors.filter(F.col("way") == way).select("_source", "mark")
+        found.append(lookup_join(rows, wanted, ["mark"], "inner", ["_page"]).select("_source", "_page"))
+    key_types = [sources.schema[source_key].dataType, pages.schema[page_key].dataType]
     if not found:
-        return pages.select(F.lit(None).alias("_source"), F.col(page_key).alias("_page")).limit(0).select(
-            F.col("_source").cast(sources.schema[source_key].dataType).alias(source_key), F.col("_page").alias(page_key)
-        )
+        schema = T.StructType([T.StructField(source_key, key_types[0]), T.StructField(page_key, key_types[1])])
+        return pages.sparkSession.createDataFrame([], schema)
     # Written down so that its true size decides how the long texts are fetched.
     pairs = cut(reduce(DataFrame.unionByName, found))
     needles = sources.select(F.col(source_key).alias("_source"), F.col(source_text).alias("_needle"))
-    texts = pages.select(F.col(page_key).alias("_page"), body.alias("_text"))
-    with_needle = lookup_join(pairs, needles, ["_source"], "inner", ["_page"])
-    checked = lookup_join(with_needle, texts, ["_page"], "inner", ["_source"])
+    texts = pages.select(F.col(page_key).alias("_page"), F.col(page_text).alias("_text"))
+    near = lookup_join(texts, pairs, ["_page"], "inner", ["_page"]) if fits_broadcast(pairs) else pairs.join(texts, "_page")
+    checked = lookup_join(near, needles, ["_source"], "inner", ["_page"])
     return checked.filter(F.col("_text").contains(F.col("_needle"))).select(
         F.col("_source").alias(source_key), F.col("_page").alias(page_key)
     )
