@@ -1 +1,230 @@
-"""."""
+"""Column functions over whole tables."""
+
+from pyspark.sql import functions as F
+
+from quirelens.functions import hashing, paths, text, times
+from quirelens.functions.urls import decode_entities, page_file
+from quirelens.operators import search
+from quirelens.queries.registry import query
+from quirelens.session import table
+from quirelens.sources.markup import extract_block
+
+FILE_SQL = r"""
+f AS (SELECT page_id, url, CASE WHEN p = '' OR p LIKE '%/' THEN p || 'index.html' ELSE p END AS file
+  FROM (SELECT page_id, url, ltrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/') AS p FROM pages))"""
+
+
+@query("hash_text", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def hash_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", hashing.sha256_hex("text").alias("sha256"))
+
+
+@query(
+    "blob_oid",
+    "SELECT doc_id, sha1(encode('blob ' || strlen(text)) || '\\x00'::BLOB || encode(text)) AS oid FROM documents",
+)
+def blob_oid(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", hashing.blob_oid("text").alias("oid"))
+
+
+@query(
+    "key_hex",
+    "SELECT doc_id, sha256(text) AS hex, upper(sha256(text)) AS again FROM documents",
+)
+def key_hex(spark, sf):
+    key = hashing.hex_to_key(hashing.sha256_hex("text"))
+    return table(spark, sf, "documents").select("doc_id", hashing.key_to_hex(key).alias("hex"), F.hex(key).alias("again"))
+
+
+@query(
+    "canonical_json",
+    """SELECT event_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}' AS json
+    FROM events""",
+)
+def canonical_json(spark, sf):
+    rows = table(spark, sf, "events")
+    return rows.select("event_id", hashing.canonical_json("user_id", "event_type", "event_id").alias("json"))
+
+
+CANDIDATE_SQL = """CASE lang WHEN 'en' THEN sha1(text) WHEN 'fr' THEN sha256(text) WHEN 'de' THEN upper(sha1(text))
+  ELSE 'main' END"""
+
+
+@query(
+    "id_validity",
+    f"""SELECT doc_id, regexp_matches(id, '^[0-9a-f]{{40}}$') AS is_commit, regexp_matches(id, '^[0-9a-f]{{64}}$') AS is_digest
+    FROM (SELECT doc_id, {CANDIDATE_SQL} AS id FROM documents)""",
+)
+def id_validity(spark, sf):
+    sha1 = F.sha1(F.col("text").cast("binary"))
+    candidate = (
+        F.when(F.col("lang") == "en", sha1).when(F.col("lang") == "fr", hashing.sha256_hex("text"))
+        .when(F.col("lang") == "de", F.upper(sha1)).otherwise("main")
+    )
+    rows = table(spark, sf, "documents").select("doc_id", candidate.alias("id"))
+    return rows.select("doc_id", hashing.is_commit_id("id").alias("is_commit"), hashing.is_digest("id").alias("is_digest"))
+
+
+MESSY_SQL = f"""{FILE_SQL},
+messy AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN file WHEN 1 THEN '/' || file WHEN 2 THEN './' || file
+    WHEN 3 THEN 'a/../' || file ELSE replace(file, '/', '\\') || '//x' END AS path, file, page_id % 5 AS k FROM f)"""
+
+
+def _messy(spark, sf):
+    """Files of pages, written in several unclean ways."""
+    rows = table(spark, sf, "pages").select("page_id", page_file("url").alias("file"))
+    k = F.col("page_id") % 5
+    path = (
+        F.when(k == 0, F.col("file")).when(k == 1, F.concat(F.lit("/"), "file")).when(k == 2, F.concat(F.lit("./"), "file"))
+        .when(k == 3, F.concat(F.lit("a/../"), "file")).otherwise(F.concat(F.translate("file", "/", "\\"), F.lit("//x")))
+    )
+    return rows.select("page_id", "file", path.alias("path"))
+
+
+@query("path_safety", f"WITH {MESSY_SQL} SELECT page_id, path, k = 0 AS safe FROM messy")
+def path_safety(spark, sf):
+    return _messy(spark, sf).select("page_id", "path", paths.is_safe_path("path").alias("safe"))
+
+
+@query(
+    "path_normalize",
+    f"""WITH {MESSY_SQL} SELECT page_id, CASE k WHEN 1 THEN '/' || file WHEN 4 THEN replace(file, '/', '\\') || '/x'
+      ELSE file END AS path FROM messy""",
+)
+def path_normalize(spark, sf):
+    return _messy(spark, sf).select("page_id", paths.normalize_path("path").alias("path"))
+
+
+@query(
+    "relative_path",
+    f"""WITH {FILE_SQL} SELECT page_id, CASE WHEN file LIKE 'en/%' THEN '../' || substr(file, 4)
+      ELSE '../../' || file END AS path FROM f""",
+)
+def relative_path(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", page_file("url").alias("file"))
+    return rows.select("page_id", paths.relative_path("file", F.lit("en/top")).alias("path"))
+
+
+@query(
+    "suffix_fields",
+    rf"""WITH {FILE_SQL} SELECT page_id, lower(regexp_extract(regexp_extract(file, '([^/]*)/*$', 1), '^.+(\.[^.]+)$', 1)) AS suffix,
+      regexp_replace(file, '[^/]*$', '') AS folder FROM f""",
+)
+def suffix_fields(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", page_file("url").alias("file"))
+    folder = F.when(F.col("file").contains("/"), F.concat(paths.dirname("file"), F.lit("/"))).otherwise("")
+    return rows.select("page_id", paths.suffix("file").alias("suffix"), folder.alias("folder"))
+
+
+@query(
+    "glob_match",
+    rf"""WITH {FILE_SQL} SELECT page_id, regexp_matches(file, '^fr(?:/.*)?$') AS french,
+      regexp_matches(file, '^[^/]*/[^/]*\.html$') AS html, regexp_matches(file, '^en/[^/]5[^/]*$') AS five FROM f""",
+)
+def glob_match(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", page_file("url").alias("file"))
+    globs = {"french": "fr/**", "html": "*/*.html", "five": "en/?5*"}
+    return rows.select("page_id", *[paths.matches_glob("file", g).alias(n) for n, g in globs.items()])
+
+
+@query("mode_bits", "SELECT o_orderkey, (o_custkey & 73) <> 0 AS executable, (o_custkey & 18) <> 0 AS shared FROM orders")
+def mode_bits(spark, sf):
+    has = hashing.has_mode_bits
+    return table(spark, sf, "orders").select(
+        "o_orderkey", has(F.col("o_custkey"), 0o111).alias("executable"), has(F.col("o_custkey"), 0o022).alias("shared")
+    )
+
+
+@query(
+    "dual_zone_time",
+    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS utc,
+      strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S') || '+09:00' AS local,
+      '<time datetime="' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00">' ||
+      strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S') || '+09:00 (JST)</time>' AS element FROM events""",
+)
+def dual_zone_time(spark, sf):
+    return table(spark, sf, "events").select(
+        "event_id", times.utc_text("ts").alias("utc"), times.local_text("ts").alias("local"),
+        times.time_element("ts").alias("element"),
+    )
+
+
+@query(
+    "micros",
+    """SELECT event_id, epoch_us(ts) AS us, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown,
+      epoch_us(date_trunc('second', ts)) AS parsed_us, CAST(NULL AS BIGINT) AS unzoned_us FROM events""",
+)
+def micros(spark, sf):
+    instant = F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    us = times.to_micros(instant)
+    zoned = times.utc_text("ts")
+    return table(spark, sf, "events").select(
+        "event_id", us.alias("us"),
+        F.date_format(F.from_utc_timestamp(times.from_micros(us), F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("shown"),
+        times.to_micros(times.parse_zoned(zoned)).alias("parsed_us"),
+        times.to_micros(times.parse_zoned(F.substring(zoned, 1, 19))).alias("unzoned_us"),
+    )
+
+
+TITLE_SQL = r"""
+t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS raw FROM pages),
+d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
+  '&#39;', ''''), '&#x27;', ''''), '&apos;', ''''), '&amp;', '&') AS title FROM t)"""
+
+
+@query("entity_decode", f"WITH {TITLE_SQL} SELECT page_id, title FROM d")
+def entity_decode(spark, sf):
+    raw = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return table(spark, sf, "pages").select("page_id", decode_entities(raw).alias("title"))
+
+
+@query(
+    "heading_slugs",
+    rf"""WITH {TITLE_SQL} SELECT page_id, replace(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_\- ]', '', 'g'), ' ', '-') AS slug
+    FROM d WHERE title <> ''""",
+)
+def heading_slugs(spark, sf):
+    raw = decode_entities(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    doc = table(spark, sf, "pages").select("page_id", F.concat(F.lit("# "), raw, F.lit("\n\ntext\n")).alias("md"))
+    heads = doc.select("page_id", F.explode(text.headings("md")).alias("heading"))
+    return heads.select("page_id", text.heading_slug("heading").alias("slug"))
+
+
+@query(
+    "truncate_long",
+    r"""SELECT doc_id, CASE WHEN length(text) > 600 THEN substr(text, 1, 400) || chr(10) ||
+      '-- ... [truncated long JSON guard contract; see json_contracts.sql] ...' ELSE text END AS text FROM documents""",
+)
+def truncate_long(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.truncate_long("text").alias("text"))
+
+
+@query(
+    "regex_rewrite",
+    r"SELECT doc_id, sha256(regexp_replace(text, '([A-Za-z]+)([0-9]+)', '<\2>\1', 'g')) AS rewritten FROM documents",
+)
+def regex_rewrite(spark, sf):
+    new = F.regexp_replace("text", "([A-Za-z]+)([0-9]+)", "<$2>$1")
+    return table(spark, sf, "documents").select("doc_id", hashing.sha256_hex(new).alias("rewritten"))
+
+
+@query("fenced_block", r"SELECT doc_id, regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS block FROM documents")
+def fenced_block(spark, sf):
+    page = F.concat(F.lit("# Text\n\n```text\n"), "text", F.lit("\n```\n\n```text\nsecond\n```\n"))
+    return extract_block(table(spark, sf, "documents").select("doc_id", page.alias("md")), "md", "text", "doc_id")
+
+
+@query(
+    "line_counts",
+    r"""SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE len(t) - len(replace(t, chr(10), ''))
+      + CASE WHEN t LIKE '%' || chr(10) THEN 0 ELSE 1 END END AS INTEGER) AS n_lines
+    FROM (SELECT doc_id, regexp_replace(text, '\r\n|\r', chr(10), 'g') AS t FROM documents)""",
+)
+def line_counts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.line_count("text").alias("n_lines"))
+
+
+@query("ordered_output", "SELECT o_orderstatus, o_custkey, o_orderkey FROM orders ORDER BY 1, 2 DESC, 3")
+def ordered_output(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderstatus", "o_custkey", "o_orderkey")
+    return search.ordered(rows, "o_orderstatus", F.desc("o_custkey"), "o_orderkey")

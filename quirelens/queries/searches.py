@@ -1 +1,181 @@
-"""."""
+"""Explorer filters and full-text search."""
+
+from pyspark.sql import functions as F
+
+from quirelens.functions.hashing import sha256_hex
+from quirelens.operators import catalog, fulltext, search
+from quirelens.queries.audits import TRADE_SQL, trade_edges
+from quirelens.queries.registry import query
+from quirelens.session import table
+
+
+@query(
+    "entity_search",
+    """SELECT page_id, url FROM pages WHERE url LIKE 'https%' AND (contains(lower(url), 'the')
+      OR len(list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: contains(lower(x), 'the'))) > 0)""",
+)
+def entity_search(spark, sf):
+    members = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    pages = table(spark, sf, "pages").select(
+        "page_id", "url", members.alias("members"), F.regexp_extract("url", "^(https?)", 1).alias("scheme")
+    )
+    return search.search_entities(pages, " The ", "url", "members", "scheme", "https").select("page_id", "url")
+
+
+@query(
+    "field_search",
+    """SELECT p_partkey, p_name FROM part WHERE p_type = 'SMALL'
+      AND contains(lower(concat_ws(' ', p_name, p_brand, array_to_string(string_split(p_name, ' '), ' '))), 'ring brand#2')""",
+)
+def field_search(spark, sf):
+    parts = table(spark, sf, "part").withColumn("words", F.split("p_name", " "))
+    hits = search.search_fields(parts, "RING Brand#2", ["p_name", "p_brand", "words"], "p_type", "SMALL")
+    return hits.select("p_partkey", "p_name")
+
+
+@query(
+    "record_search",
+    """SELECT p_partkey FROM part WHERE contains(lower(to_json({'p_partkey': p_partkey, 'p_name': p_name, 'p_brand': p_brand,
+      'p_type': p_type, 'p_size': p_size})), '"p_brand":"brand#1')""",
+)
+def record_search(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return search.search_records(rows, '"p_brand":"Brand#1').select("p_partkey")
+
+
+@query(
+    "match_counts",
+    """SELECT source, count(*) FILTER (contains(lower(text), 'ment')) AS n_shown, count(*) AS n_total FROM documents GROUP BY 1""",
+)
+def match_counts(spark, sf):
+    return search.match_counts(table(spark, sf, "documents"), F.lower("text").contains("ment"), "source")
+
+
+@query(
+    "group_counts",
+    "SELECT lang, count(*) AS n, upper(lang) || ' (' || count(*) || ')' AS label FROM documents GROUP BY 1",
+)
+def group_counts(spark, sf):
+    return search.group_counts(table(spark, sf, "documents"), "lang", F.upper("lang"))
+
+
+@query(
+    "edge_filter",
+    f"""WITH {TRADE_SQL} SELECT DISTINCT source, target, kind, true AS touching FROM trade
+    WHERE kind = 'logical' AND (source = 's1' OR target = 's1')""",
+)
+def edge_filter(spark, sf):
+    return search.filter_edges(trade_edges(spark, sf).distinct(), "logical", "s1", nearby=True)
+
+
+@query("trigram_search", "SELECT doc_id, lang FROM documents WHERE contains(text, 'tion the')")
+def trigram_search(spark, sf):
+    docs = table(spark, sf, "documents")
+    return fulltext.trigram_search(fulltext.trigram_index(docs), docs, "tion the").select("doc_id", "lang")
+
+
+@query("direct_scan", "SELECT doc_id, lang FROM documents WHERE contains(text, 'tion the')")
+def direct_scan(spark, sf):
+    return fulltext.direct_scan(table(spark, sf, "documents"), "tion the").select("doc_id", "lang")
+
+
+@query("short_search", "SELECT doc_id, lang FROM documents WHERE contains(text, 'Th')")
+def short_search(spark, sf):
+    docs = table(spark, sf, "documents")
+    return fulltext.trigram_search(fulltext.trigram_index(docs), docs, "Th").select("doc_id", "lang")
+
+
+@query(
+    "search_fallback",
+    """SELECT doc_id, CASE WHEN (SELECT max(doc_id) FROM documents) <> (SELECT max(doc_id) FROM labels)
+      THEN 'index stale' END AS fallback_reason FROM documents WHERE contains(text, 'Ment')""",
+)
+def search_fallback(spark, sf):
+    docs = table(spark, sf, "documents")
+    identity = table(spark, sf, "labels").agg(F.max("doc_id").alias("core_revision_fence"))
+    core = docs.agg(F.max("doc_id").alias("local_revision"))
+    return fulltext.search(docs, "Ment", fulltext.trigram_index(docs), identity, core).select("doc_id", "fallback_reason")
+
+
+@query(
+    "index_freshness",
+    """WITH r AS (SELECT max(doc_id) AS local_revision FROM documents)
+    SELECT source, max(doc_id) AS core_revision_fence, any_value(local_revision) AS local_revision,
+      max(doc_id) <> any_value(local_revision) AS stale FROM documents, r GROUP BY source""",
+)
+def index_freshness(spark, sf):
+    docs = table(spark, sf, "documents")
+    identity = docs.groupBy("source").agg(F.max("doc_id").alias("core_revision_fence"))
+    return fulltext.index_stale(identity, docs.select(F.col("doc_id").alias("local_revision")))
+
+
+@query(
+    "ready_generation",
+    "SELECT o_orderpriority AS kind, max(o_orderkey) AS index_generation_id FROM orders WHERE o_orderstatus = 'F' GROUP BY 1",
+)
+def ready_generation(spark, sf):
+    state = F.when(F.col("o_orderstatus") == "F", "ready").when(F.col("o_orderstatus") == "O", "building").otherwise("retired")
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("index_generation_id"), F.col("o_orderpriority").alias("kind"), state.alias("state")
+    )
+    return fulltext.ready_generation(rows)
+
+
+@query(
+    "illegal_transitions",
+    """WITH h AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'building' WHEN 'view' THEN 'ready'
+        WHEN 'purchase' THEN 'retired' WHEN 'signup' THEN 'removed' ELSE 'lost' END AS state FROM events),
+    n AS (SELECT *, lead(state) OVER (PARTITION BY user_id ORDER BY event_id) AS next_state FROM h)
+    SELECT * FROM n WHERE next_state IS NOT NULL AND NOT ((state = 'building' AND next_state = 'ready')
+      OR (state = 'ready' AND next_state = 'retired') OR (state = 'retired' AND next_state = 'removed'))""",
+)
+def illegal_transitions(spark, sf):
+    e = F.col("event_type")
+    state = (
+        F.when(e == "click", "building").when(e == "view", "ready").when(e == "purchase", "retired")
+        .when(e == "signup", "removed").otherwise("lost")
+    )
+    rows = table(spark, sf, "events").select("user_id", "event_id", state.alias("state"))
+    return fulltext.illegal_transitions(rows, "user_id", "event_id")
+
+
+PROJECTION_SQL = """
+p AS (SELECT CASE WHEN lang = 'en' THEN 'code' ELSE 'commits' END AS kind, 'git:' || doc_id AS source_key, text
+    FROM documents WHERE lang IN ('en', 'fr')
+  UNION ALL
+  SELECT DISTINCT CASE WHEN lang = 'de' THEN 'pr' ELSE 'issue' END, sha256(text), text FROM documents WHERE lang IN ('de', 'es'))"""
+
+
+def _projection(spark, sf):
+    docs = table(spark, sf, "documents")
+    code = docs.filter("lang in ('en', 'fr')").select(
+        F.when(F.col("lang") == "en", "code").otherwise("commits").alias("kind"), F.col("doc_id").alias("git_object_id"), "text"
+    )
+    prose = docs.filter("lang in ('de', 'es')").select(
+        F.when(F.col("lang") == "de", "pr").otherwise("issue").alias("kind"), sha256_hex("text").alias("sha256"), "text"
+    )
+    return fulltext.search_projection(code, prose)
+
+
+@query("search_projection", f"WITH {PROJECTION_SQL} SELECT kind, source_key, strlen(text) AS n_bytes FROM p")
+def search_projection(spark, sf):
+    return _projection(spark, sf).select("kind", "source_key", F.octet_length("text").cast("bigint").alias("n_bytes"))
+
+
+@query(
+    "source_key_resolve",
+    f"""WITH {PROJECTION_SQL}, g AS (SELECT 'git:' || doc_id AS k FROM labels),
+    b AS (SELECT DISTINCT sha256(text) AS k FROM documents JOIN labels USING (doc_id))
+    SELECT kind, source_key, CASE WHEN kind IN ('code', 'commits') THEN 'git_objects' ELSE 'text_bodies' END AS target,
+      CASE WHEN kind IN ('code', 'commits') THEN source_key IN (SELECT k FROM g) ELSE source_key IN (SELECT k FROM b) END AS resolved
+    FROM p""",
+)
+def source_key_resolve(spark, sf):
+    labels = table(spark, sf, "labels").select("doc_id")
+    objects = labels.select(F.col("doc_id").alias("git_object_id"))
+    bodies = (
+        table(spark, sf, "documents").join(labels, "doc_id", "left_semi")
+        .select(F.unhex(sha256_hex("text")).alias("sha256")).distinct()
+    )
+    docs = _projection(spark, sf).select("kind", "source_key")
+    return catalog.resolve_source_key(docs, objects, bodies, ["source_key"])
