@@ -127,26 +127,40 @@ def reachable(edges: DataFrame, seed: DataFrame) -> DataFrame:
     return out.select("node", "hops")
 
 
+# How often a node goes on to its neighbour's choice within one round.
+JUMPS = 2
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(member, representative): members joined by edges share the least of them.
 
-    Randomised contraction: in each round every node moves to the neighbour with
-    the least hash, the graph shrinks to the chosen nodes, and long chains shrink
-    as fast as dense parts. The choice is an aggregate that combines before its
-    shuffle, so a node with very many edges is no hot spot.
+    Contraction: in each round every node moves to the neighbour with the most
+    edges, equal ones by hash, unless it has most itself; then it goes on to its
+    neighbour's choice, and the graph shrinks to the chosen nodes. Nodes that stay
+    are never next to each other and never outnumber their neighbours, so stars
+    and long chains both shrink fast. Choices are aggregates that combine before
+    their shuffle, so a node with very many edges is no hot spot.
     """
     edges = cut(edges.select(*_unordered("source", "target")).filter("_lo <> _hi").distinct())
     moves = []
     while not edges.isEmpty():
-        seed = F.lit(len(moves))
-
-        def rank(c):
-            return F.struct(F.xxhash64(c, seed).alias("h"), F.col(c).alias("v"))
-
         ends = edges.select(F.col("_lo").alias("a"), F.col("_hi").alias("b"))
         sides = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = sides.groupBy("a").agg(F.min(rank("b")).alias("m"))
-        move = cut(best.select(F.col("a").alias("member"), F.least(rank("a"), F.col("m"))["v"].alias("head")))
+        degree = sides.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+        best = (
+            lookup_join(sides, degree, ["b"], "inner", ["a"])
+            .groupBy("a")
+            .agg(
+                F.max(F.struct("n", F.xxhash64("b").alias("h"), F.col("b").alias("v"))).alias("near"),
+                F.count(F.lit(1)).alias("n"),
+            )
+        )
+        own = F.struct("n", F.xxhash64("a").alias("h"), F.col("a").alias("v"))
+        move = best.select(F.col("a").alias("member"), F.greatest(own, F.col("near"))["v"].alias("head"))
+        for _ in range(JUMPS):
+            ahead = move.select(F.col("member").alias("head"), F.col("head").alias("_head"))
+            move = lookup_join(move, ahead, ["head"], "inner", ["member"]).select("member", F.col("_head").alias("head"))
+        move = cut(move)
         moves.append(move)
         for end, other in (("_lo", "_hi"), ("_hi", "_lo")):
             side = move.select(F.col("member").alias(end), F.col("head").alias("_head"))

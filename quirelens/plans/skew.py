@@ -1,10 +1,12 @@
 """Joins whose left key may be hot.
 
-A third of all left rows may share one key. Up to a size Catalyst broadcasts by
-itself the right side goes to every task and skew does not matter. Beyond it,
-hot keys are found with a pre-aggregated count and only those keys are spread:
-left rows take one of ``spread`` salts, the few matching right rows are repeated
-for each salt. The result is the plain join, row for row.
+A third of all left rows may share one key. While the right side is small enough
+for Catalyst to broadcast, skew does not matter. Beyond that the adaptive skew
+join splits the oversized left partition at run time, without a further pass.
+Where a session has that switched off, hot keys are found with a pre-aggregated
+count and only those are spread: left rows take one of ``spread`` salts, the few
+matching right rows are repeated for each salt. The result is the plain join,
+row for row.
 """
 
 from __future__ import annotations
@@ -20,14 +22,18 @@ HOT_SHARE = 0.001
 SPREAD = 64
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, the one its own broadcast rule uses."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Catalyst's size estimate is within its own broadcast limit."""
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return plan_bytes(df) <= limit
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
+def splits_skew(df: DataFrame) -> bool:
+    """Whether the session splits skewed join partitions by itself."""
+    conf = df.sparkSession.conf
+    return all(
+        conf.get(f"spark.sql.adaptive.{k}", "true") == "true" for k in ("enabled", "skewJoin.enabled")
+    )
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
@@ -43,21 +49,29 @@ def lookup_join(
     on: Sequence[str],
     how: str = "left",
     salt_by: Sequence[str] = (),
-    spread: int | None = None,
-    share: float = HOT_SHARE,
 ) -> DataFrame:
-    """Join ``left`` to ``right`` on equal columns, spreading hot left keys.
+    """Join ``left`` to ``right`` on equal columns when a left key may be hot.
 
-    ``salt_by`` names left columns that vary inside a hot key (a row id). The
-    salt is a function of the row, so a re-run task routes its rows alike.
-    ``how`` is one of inner, left, left_semi, left_anti. ``spread`` forces
-    salting whatever the size of the right side.
+    ``salt_by`` names left columns that vary inside a hot key (a row id). ``how``
+    is one of inner, left, left_semi, left_anti.
     """
+    if not salt_by or splits_skew(left) or fits_broadcast(right):
+        return left.join(right, list(on), how)
+    return salted_join(left, right, on, how, salt_by)
+
+
+def salted_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str,
+    salt_by: Sequence[str],
+    spread: int = SPREAD,
+    share: float = HOT_SHARE,
+) -> DataFrame:
+    """The join with hot left keys spread. A salt is a function of its row, so a task
+    that runs again sends its rows the same way."""
     on = list(on)
-    if spread is None:
-        if not salt_by or fits_broadcast(right):
-            return left.join(right, on, how)
-        spread = SPREAD
     hot = F.broadcast(hot_keys(left, on, share).withColumn("_hot", F.lit(True)))
     spread_out = F.col("_hot").isNotNull()
     for k in on:  # null keys match nothing but would all meet in one task
