@@ -32,25 +32,53 @@ def fk_orphans(child: DataFrame, parent: DataFrame, on: Pairs, salt_by: Sequence
     return lookup_join(child.filter(_all_set(cols)), _parent_keys(parent, on), cols, "left_anti", salt_by)
 
 
-def fk_counts(name: str, child: DataFrame, parent: DataFrame, on: Pairs) -> DataFrame:
-    """One row for one reference: child, exempt and orphan rows."""
-    cols = [c for c, _ in on]
-    # One row per distinct key meets the parent, however often a key is used.
-    keys = child.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    known = _parent_keys(parent, on).distinct().withColumn("_parent", F.lit(True))
-    complete = _all_set(cols)
-    total = F.coalesce(F.sum("_n"), F.lit(0))
-    return keys.join(known, cols, "left").agg(
-        F.lit(name).alias("reference"),
-        total.alias("child_rows"),
-        F.coalesce(F.sum(F.when(~complete, F.col("_n"))), F.lit(0)).alias("exempt_rows"),
-        F.coalesce(F.sum(F.when(complete & F.col("_parent").isNull(), F.col("_n"))), F.lit(0)).alias("orphan_rows"),
+def _key_text(columns: Sequence[str]) -> Column:
+    """One text for a complete key, null for a key with any null. JSON keeps the
+    parts of a composite key apart."""
+    cast = [F.col(c).cast("string").alias(str(i)) for i, c in enumerate(columns)]
+    whole = cast[0] if len(columns) == 1 else F.to_json(F.struct(*cast))
+    return F.when(_all_set(columns), whole)
+
+
+def key_usage(references: Sequence[tuple[str, DataFrame, DataFrame, Pairs]]) -> DataFrame:
+    """Child and parent rows of every key of every reference.
+
+    Children and parents of all references are counted by (reference, key) in one
+    aggregate instead of one join each. Counts combine before the shuffle, so
+    neither a hot key nor the rows without a key gather in one task.
+    """
+    sides = []
+    for name, child, parent, on in references:
+        for frame, columns, is_child in ((child, [c for c, _ in on], 1), (parent, [p for _, p in on], 0)):
+            sides.append(
+                frame.select(
+                    F.lit(name).alias("reference"), _key_text(columns).alias("key"),
+                    F.lit(is_child).alias("_child"), F.lit(1 - is_child).alias("_parent"),
+                )
+            )
+    return (
+        reduce(DataFrame.unionByName, sides)
+        .groupBy("reference", "key")
+        .agg(F.sum("_child").alias("n_child"), F.sum("_parent").alias("n_parent"))
     )
 
 
 def fk_summary(references: Sequence[tuple[str, DataFrame, DataFrame, Pairs]]) -> DataFrame:
     """Child, exempt and orphan rows of each reference."""
-    return reduce(DataFrame.unionByName, [fk_counts(*r) for r in references])
+    n = F.col("n_child")
+    no_key, no_parent = F.col("key").isNull(), F.col("n_parent") == 0
+    counts = key_usage(references).groupBy("reference").agg(
+        F.sum(n).alias("child_rows"),
+        F.coalesce(F.sum(F.when(no_key, n)), F.lit(0)).alias("exempt_rows"),
+        F.coalesce(F.sum(F.when(~no_key & no_parent, n)), F.lit(0)).alias("orphan_rows"),
+    )
+    return _every_reference(references, counts, ["child_rows", "exempt_rows", "orphan_rows"])
+
+
+def _every_reference(references, counts: DataFrame, zero: Sequence[str]) -> DataFrame:
+    """A row also for references whose two tables are empty."""
+    names = counts.sparkSession.createDataFrame([(r[0],) for r in references], "reference string")
+    return names.join(counts, "reference", "left").na.fill(0, list(zero))
 
 
 def audit_inventory(inventory, store: str, tables: dict[str, DataFrame]) -> DataFrame:
@@ -86,24 +114,24 @@ def null_violations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select("n_rows", pairs.alias("p")).select("p.column_name", "p.n_null", "n_rows")
 
 
-def relationship_profile(name: str, child: DataFrame, parent: DataFrame, on: Pairs) -> DataFrame:
-    """What the rows of a reference show: a parent always or sometimes, one child
+def relationship_profile(references: Sequence[tuple[str, DataFrame, DataFrame, Pairs]]) -> DataFrame:
+    """What the rows of each reference show: a parent always or sometimes, one child
     or many, and how many parents have none (a parent never needs one)."""
-    cols = [c for c, _ in on]
-    keys = child.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    used = keys.filter(_all_set(cols))
-    shape = keys.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("child_rows"),
-        F.coalesce(F.sum(F.when(~_all_set(cols), F.col("_n"))), F.lit(0)).alias("null_rows"),
-        F.count_if(_all_set(cols)).alias("used_parents"),
-        F.max(F.when(_all_set(cols), F.col("_n"))).alias("most_children"),
+    keyed = F.col("key").isNotNull()
+    used = keyed & (F.col("n_child") > 0)
+    shape = key_usage(references).groupBy("reference").agg(
+        F.sum("n_child").alias("child_rows"),
+        F.coalesce(F.sum(F.when(~keyed, F.col("n_child"))), F.lit(0)).alias("null_rows"),
+        F.count_if(used).alias("used_parents"),
+        F.coalesce(F.max(F.when(used, F.col("n_child"))), F.lit(0)).alias("_most"),
+        F.coalesce(F.sum(F.when(~used, F.col("n_parent"))), F.lit(0)).alias("childless_parents"),
     )
-    childless = _parent_keys(parent, on).join(used, cols, "left_anti").agg(F.count(F.lit(1)).alias("n"))
-    return shape.select(
-        F.lit(name).alias("reference"), "child_rows", "null_rows", "used_parents",
+    counts = ["child_rows", "null_rows", "used_parents", "childless_parents"]
+    return _every_reference(references, shape, [*counts, "_most"]).select(
+        "reference", *counts[:3],
         F.when(F.col("null_rows") == 0, "exactly one").otherwise("zero or one").alias("parent_side"),
-        F.when(F.coalesce("most_children", F.lit(0)) <= 1, "zero or one").otherwise("many").alias("child_side"),
-        childless.scalar().alias("childless_parents"),
+        F.when(F.col("_most") <= 1, "zero or one").otherwise("many").alias("child_side"),
+        "childless_parents",
     )
 
 

@@ -19,16 +19,17 @@ GRAM = 3
 STATES = ("building", "ready", "retired", "removed")
 
 
-def search_projection(objects: DataFrame, bodies: DataFrame) -> DataFrame:
+def search_projection(objects: DataFrame, references: DataFrame, bodies: DataFrame) -> DataFrame:
     """One row per (kind, source_key).
 
-    ``objects`` holds kind, git_object_id and text, ``bodies`` holds kind,
-    sha256 (hex) and text. The same key always carries the same text, so any one
-    row of a key stands for it.
+    ``objects`` holds kind, git_object_id and text, one row per object;
+    ``references`` holds kind and sha256 (hex) of the texts other kinds refer to,
+    as often as they do; ``bodies`` holds each sha256 once with its text.
+    References fold before any text moves.
     """
     code = objects.select("kind", F.concat(F.lit("git:"), F.col("git_object_id").cast("string")).alias("source_key"), "text")
-    prose = bodies.select("kind", F.col("sha256").alias("source_key"), "text")
-    return code.unionByName(prose).filter("text is not null").dropDuplicates(["kind", "source_key"])
+    prose = bodies.select("sha256", "text").join(references.select("kind", "sha256").distinct(), "sha256")
+    return code.unionByName(prose.select("kind", F.col("sha256").alias("source_key"), "text")).filter("text is not null")
 
 
 def trigram_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelens.plans.lineage import cut
+from quirelens.plans.lineage import Pieces, cut
 from quirelens.plans.skew import lookup_join
 from quirelens.plans.windows import next_in_group
 
@@ -103,17 +103,15 @@ def walk(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     edges, known nodes drop out, and the rest is written as the next frontier.
     """
     edges = cut(edges.select("source", "target").distinct())
-    frontier = cut(seeds.select("origin", "node").distinct().withColumn("hops", F.lit(0)))
-    reached = [frontier]
-    while True:
+    reached = Pieces()
+    frontier = reached.add(seeds.select("origin", "node").distinct().withColumn("hops", F.lit(0)))
+    while not frontier.isEmpty():
         step = lookup_join(
             edges.withColumnRenamed("source", "node"), frontier.select("node", "origin"), ["node"], "inner", ["target"]
         ).select("origin", F.col("target").alias("node")).distinct()
-        known = reduce(DataFrame.unionByName, reached).select("origin", "node")
-        frontier = cut(step.join(known, ["origin", "node"], "left_anti").withColumn("hops", F.lit(len(reached))))
-        if frontier.isEmpty():
-            return reduce(DataFrame.unionByName, reached)
-        reached.append(frontier)
+        new = step.join(reached.all().select("origin", "node"), ["origin", "node"], "left_anti")
+        frontier = reached.add(new.withColumn("hops", F.lit(len(reached.paths))))
+    return reached.all()
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -192,23 +190,25 @@ def follow(links: DataFrame) -> DataFrame:
     to itself and doubles the reach of every pointer, so a chain of n links takes
     about log2(n) rounds. A cycle is an error.
     """
-    reach = cut(links.select("node", F.col("next").alias("last"), F.lit(1).cast("bigint").alias("hops")))
-    bound = reach.count()
+    active = cut(links.select("node", F.col("next").alias("last"), F.lit(1).cast("bigint").alias("hops")))
+    bound, rounds, everything = active.count(), Pieces(), active
     while True:
-        ahead = reach.select(F.col("node").alias("last"), F.col("last").alias("_last"), F.col("hops").alias("_hops"))
-        moved = lookup_join(reach, ahead, ["last"], "left", ["node"])
-        reach = cut(
-            moved.select(
+        ahead = everything.select(F.col("node").alias("last"), F.col("last").alias("_last"), F.col("hops").alias("_hops"))
+        moved = rounds.add(
+            lookup_join(active, ahead, ["last"], "left", ["node"]).select(
                 "node", F.coalesce("_last", "last").alias("last"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
                 F.col("_last").isNotNull().alias("_moved"),
             )
         )
-        state = reach.agg(F.count_if("_moved").alias("moved"), F.max("hops").alias("hops")).first()
+        state = moved.agg(F.count_if("_moved").alias("moved"), F.max("hops").alias("hops")).first()
         if state["hops"] is not None and state["hops"] > bound:
             raise ValueError("The links form a cycle")
-        reach = reach.drop("_moved")
+        # A pointer that found nothing ahead has reached its end and rests.
+        done = rounds.all().filter("not _moved").drop("_moved")
         if not state["moved"]:
-            return reach
+            return done
+        active = moved.filter("_moved").drop("_moved")
+        everything = done.unionByName(active)
 
 
 def ancestry(parents: DataFrame, heads: DataFrame) -> DataFrame:
@@ -222,6 +222,10 @@ def ancestry(parents: DataFrame, heads: DataFrame) -> DataFrame:
     return out.select(F.col("origin").alias("head"), F.col("node").alias("ancestor"), F.col("hops").alias("depth"))
 
 
+# No path a file system takes nests this deep; only a tree that contains itself does.
+MAX_LEVELS = 4096
+
+
 def flatten_tree(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """Full path of every leaf below each root.
 
@@ -231,20 +235,18 @@ def flatten_tree(entries: DataFrame, roots: DataFrame) -> DataFrame:
     entries = cut(entries.select("tree", "name", "child"))
     trees = cut(entries.select("tree").distinct())
     frontier = roots.select("root", F.col("root").alias("tree"), F.lit("").alias("prefix")).distinct()
-    leaves, level = [], 0
+    levels = Pieces()
     while True:
         here = lookup_join(entries, frontier, ["tree"], "inner", ["name"])
         found = here.select("root", F.col("child"), F.concat("prefix", "name").alias("path"))
         inner = trees.select(F.col("tree").alias("child"), F.lit(True).alias("_tree"))
-        marked = cut(lookup_join(found, inner, ["child"], "left", ["path"]))
-        leaves.append(marked.filter("_tree is null").drop("_tree"))
+        marked = levels.add(lookup_join(found, inner, ["child"], "left", ["path"]))
         deeper = marked.filter("_tree")
         if deeper.isEmpty():
-            return reduce(DataFrame.unionByName, leaves).select("root", "path", F.col("child").alias("leaf"))
-        frontier = deeper.select("root", F.col("child").alias("tree"), F.concat("path", F.lit("/")).alias("prefix"))
-        level += 1
-        if level == 4096:  # no path on any file system nests deeper: the trees contain themselves
+            return levels.all().filter("_tree is null").select("root", "path", F.col("child").alias("leaf"))
+        if len(levels.paths) == MAX_LEVELS:
             raise ValueError("The trees form a cycle")
+        frontier = deeper.select("root", F.col("child").alias("tree"), F.concat("path", F.lit("/")).alias("prefix"))
 
 
 def manifest_gaps(flat: DataFrame, manifests: DataFrame) -> DataFrame:

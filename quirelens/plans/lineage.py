@@ -25,12 +25,39 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and return a scan of the written table."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the session's JVM ends."""
     path = f"{shared_folder(spark)}/quirelens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     target.getFileSystem(hadoop).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` once and return a scan of the written table."""
+    return Pieces().add(df)
+
+
+class Pieces:
+    """Rows gathered over the rounds of a loop.
+
+    Each round is written once and all rounds are read by a single scan, so the
+    plan does not grow with the number of rounds.
+    """
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self.spark, self.schema = df.sparkSession, df.schema
+        path = scratch_path(self.spark)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self._scan(path)
+
+    def all(self) -> DataFrame:
+        return self._scan(*self.paths)
+
+    def _scan(self, *paths: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths)

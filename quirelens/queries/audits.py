@@ -116,11 +116,7 @@ def _profile_sql(name, child, parent, c, p):
 
 @query("relationship_profile", "\nUNION ALL ".join(_profile_sql(*r) for r in REFERENCE_SQL))
 def relationship_profile(spark, sf):
-    rows = [audit.relationship_profile(*r) for r in references(spark, sf)[:-1]]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    return audit.relationship_profile(references(spark, sf)[:-1])
 
 
 def trade_edges(spark, sf):

@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from quirelens.functions.hashing import sha256_hex
 from quirelens.operators import diff, review
+from quirelens.plans.lineage import scratch_path
 from quirelens.plans.skew import lookup_join
 from quirelens.queries.registry import query
 from quirelens.session import table
 from quirelens.sources.files import file_census as census
+from quirelens.sources.sinks import BaselineStore, write_changed
 from quirelens.sources.sinks import write_plan as plan_write
 
 
@@ -389,3 +391,31 @@ def review_status(spark, sf):
     'Initial or unavailable baseline: review applicability manually' AS reason FROM documents""")
 def first_run_reasons(spark, sf):
     return review.first_run_reasons(table(spark, sf, "documents").select(F.col("doc_id").alias("page")))
+
+
+@query(
+    "changed_parts_written",
+    """SELECT o_orderpriority AS part, CASE WHEN bool_or(o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '2001-07-01')
+      OR o_orderpriority = '1-URGENT' THEN 'changed' ELSE 'equal' END AS status FROM orders GROUP BY 1""",
+)
+def changed_parts_written(spark, sf):
+    """Write the orders by priority, then again after a change; only parts that differ
+    are rewritten the second time."""
+    path = scratch_path(spark)
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("part"), "o_orderdate")
+    write_changed(orders, path, "part")
+    late = F.expr("o_orderstatus = 'P' and o_orderdate >= timestamp_ntz '2001-07-01'") | (F.col("part") == "1-URGENT")
+    return write_changed(orders.withColumn("o_orderstatus", F.when(late, "X").otherwise(F.col("o_orderstatus"))), path, "part")
+
+
+@query(
+    "baseline_versions",
+    """SELECT source AS part, count(*) AS n_documents FROM documents GROUP BY 1""",
+)
+def baseline_versions(spark, sf):
+    """Save two baselines one after the other and read back the last."""
+    store = BaselineStore(spark, scratch_path(spark))
+    docs = table(spark, sf, "documents")
+    for rows in (docs.filter("lang = 'en'"), docs):
+        store.advance(rows.groupBy(F.col("source").alias("part")).agg(F.count(F.lit(1)).alias("n_documents")))
+    return store.read()

@@ -302,3 +302,11 @@ def parent_join(spark, sf):
     )
     out = catalog.with_parent(rows, ["conv_id", "turn"], ["parent_conv", "parent_turn"], ["role"], kind="user")
     return out.select("conv_id", "turn", "role", "parent_role")
+
+
+@query(
+    "short_paths",
+    "SELECT o_custkey, count(*) AS n_steps FROM orders GROUP BY 1 HAVING count(*) < 2",
+)
+def short_paths(spark, sf):
+    return graph.short_paths(table(spark, sf, "orders"), "o_custkey")

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from quirelens.functions.urls import host, join_url, page_file, url_path
 from quirelens.operators import diff, graph, links, safety
+from quirelens.plans.lineage import scratch_path
 from quirelens.queries.registry import query
 from quirelens.session import table
-from quirelens.sources.markup import extract_links, parse_md_rows, parse_tree_listing
+from quirelens.sources.markup import extract_links, parse_md_rows, parse_tree_listing, read_cases, read_locations
 
 LINKS_SQL = r"""
 clean AS (
@@ -237,3 +238,28 @@ def publication_safety(spark, sf):
         docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), end).alias("path"))
     )
     return safety.safety_violations(paths)
+
+
+@query("sitemap_read", "SELECT url AS location FROM pages")
+def sitemap_read(spark, sf):
+    """Write the pages as a sitemap and read its locations."""
+    path = scratch_path(spark)
+    urls = table(spark, sf, "pages").select(F.col("url").alias("loc"))
+    urls.write.format("xml").option("rootTag", "urlset").option("rowTag", "url").save(path)
+    return read_locations(spark, path)
+
+
+@query(
+    "case_report",
+    """SELECT 'conv/' || conv_id || '.py::' || turn || ' ' || role AS node, role = 'system' AS not_passed FROM conversations""",
+)
+def case_report(spark, sf):
+    """Write turns as a test report, system turns failed, and read its cases."""
+    path = scratch_path(spark)
+    cases = table(spark, sf, "conversations").select(
+        F.concat(F.lit("conv."), F.col("conv_id").cast("string")).alias("_classname"),
+        F.concat_ws(" ", F.col("turn").cast("string"), "role").alias("_name"),
+        F.when(F.col("role") == "system", F.array(F.lit("failed"))).alias("failure"),
+    )
+    cases.write.format("xml").option("rootTag", "testsuite").option("rowTag", "testcase").save(path)
+    return read_cases(spark, path)

@@ -151,10 +151,11 @@ def _projection(spark, sf):
     code = docs.filter("lang in ('en', 'fr')").select(
         F.when(F.col("lang") == "en", "code").otherwise("commits").alias("kind"), F.col("doc_id").alias("git_object_id"), "text"
     )
-    prose = docs.filter("lang in ('de', 'es')").select(
-        F.when(F.col("lang") == "de", "pr").otherwise("issue").alias("kind"), sha256_hex("text").alias("sha256"), "text"
+    prose = docs.filter("lang in ('de', 'es')")
+    references = prose.select(
+        F.when(F.col("lang") == "de", "pr").otherwise("issue").alias("kind"), sha256_hex("text").alias("sha256")
     )
-    return fulltext.search_projection(code, prose)
+    return fulltext.search_projection(code, references, catalog.cas_bodies(prose, "doc_id", "text"))
 
 
 @query("search_projection", f"WITH {PROJECTION_SQL} SELECT kind, source_key, strlen(text) AS n_bytes FROM p")

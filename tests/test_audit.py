@@ -19,6 +19,7 @@ def test_composite_orphans_exempt_partly_null_keys(frame):
 def test_empty_child_has_a_summary_row(frame):
     child, parent, on = pairs(frame)
     assert rows(audit.fk_summary([("r", child.limit(0), parent, on)])) == [("r", 0, 0, 0)]
+    assert rows(audit.fk_summary([("r", child.limit(0), parent.limit(0), on)])) == [("r", 0, 0, 0)]
 
 
 def test_unique_ignores_nulls(frame):
@@ -40,9 +41,9 @@ def test_null_audit(frame):
 
 def test_relationship_profile(frame):
     parent = frame([(1,), (2,), (3,)], "id int")
-    one = audit.relationship_profile("r", frame([(1,), (2,)], "p int"), parent, [("p", "id")])
+    one = audit.relationship_profile([("r", frame([(1,), (2,)], "p int"), parent, [("p", "id")])])
     assert rows(one, "parent_side", "child_side", "childless_parents") == [("exactly one", "zero or one", 1)]
-    many = audit.relationship_profile("r", frame([(1,), (1,), (None,)], "p int"), parent, [("p", "id")])
+    many = audit.relationship_profile([("r", frame([(1,), (1,), (None,)], "p int"), parent, [("p", "id")])])
     assert rows(many, "parent_side", "child_side", "childless_parents") == [("zero or one", "many", 2)]
 
 

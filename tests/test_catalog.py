@@ -144,5 +144,6 @@ def test_generations(frame):
 
 def test_projection_is_unique(frame):
     objects = frame([("code", 1, "x"), ("code", 2, None)], "kind string, git_object_id int, text string")
-    bodies = frame([("pr", "ab", "y"), ("pr", "ab", "y"), ("issue", "ab", "y")], "kind string, sha256 string, text string")
-    assert rows(fulltext.search_projection(objects, bodies), "kind", "source_key") == [("code", "git:1"), ("issue", "ab"), ("pr", "ab")]
+    used = frame([("pr", "ab"), ("pr", "ab"), ("issue", "ab"), ("pr", "gone")], "kind string, sha256 string")
+    bodies = frame([("ab", "y")], "sha256 string, text string")
+    assert rows(fulltext.search_projection(objects, used, bodies), "kind", "source_key") == [("code", "git:1"), ("issue", "ab"), ("pr", "ab")]
