@@ -15,6 +15,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def strip(text) -> Column:
+    """Text without white space at either end."""
+    return F.regexp_replace(_col(text), r"^\s+|\s+\z", "")
+
+
 def is_safe_path(path) -> Column:
     """Non-empty, relative, without backslash and without '', '.' or '..' parts."""
     p = _col(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quirelens.functions.paths import dirname, normalize_path
+from quirelens.functions.paths import dirname, let, normalize_path, strip
 
 # Entity spellings decoded in attribute text. The ampersand comes
 # last so that an escaped entity is decoded once.
@@ -47,21 +47,21 @@ def is_internal(href) -> Column:
 
 def link_class(href) -> Column:
     """Why a link is left alone, or 'internal' when it has to resolve."""
-    t = F.trim(_col(href))
-    return (
-        F.when(t == "", "empty")
+    return let(
+        strip(href),
+        lambda t: F.when(t == "", "empty")
         .when(t.startswith("http://") | t.startswith("https://"), "external")
         .when(t.startswith("//"), "protocol-relative")
         .when(t.startswith("mailto:"), "mailto")
         .when(t.startswith("javascript:"), "javascript")
         .when(t.startswith("#"), "fragment")
-        .otherwise("internal")
+        .otherwise("internal"),
     )
 
 
 def link_path(href) -> Column:
     """Decoded path of a link: no scheme, host, parameters, query or fragment."""
-    bare = F.regexp_replace(F.trim(_col(href)), r"(?s)[?#].*\z", "")
+    bare = F.regexp_replace(strip(href), r"(?s)[?#].*\z", "")
     bare = F.regexp_replace(bare, r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?", "")
     return percent_decode(F.regexp_replace(bare, r"(?s);[^/]*\z", ""))
 

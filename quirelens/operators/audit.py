@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quirelens.functions.text import line_count
 from quirelens.operators.search import with_groups
+from quirelens.plans.frames import union_all
 from quirelens.plans.skew import lookup_join
 
 Pairs = Sequence[tuple[str, str]]
@@ -57,7 +58,7 @@ def key_usage(references: Sequence[tuple[str, DataFrame, DataFrame, Pairs]]) ->
                 )
             )
     return (
-        reduce(DataFrame.unionByName, sides)
+        union_all(sides)
         .groupBy("reference", "key")
         .agg(F.sum("_child").alias("n_child"), F.sum("_parent").alias("n_parent"))
     )

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelens.functions.hashing import is_digest
 from quirelens.functions.paths import is_safe_path
+from quirelens.plans.frames import union_all
 from quirelens.plans.skew import lookup_join
 
 # A digest is read as five words of 12 hex digits. A word fits decimal(18,0) and
@@ -149,7 +149,7 @@ def reconcile(planned: DataFrame, executed: DataFrame, key: str) -> DataFrame:
 
 
 def union_distinct(*frames: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames).distinct()
+    return union_all(frames).distinct()
 
 
 def append_absent(base: DataFrame, extra: DataFrame, key: Sequence[str]) -> DataFrame:

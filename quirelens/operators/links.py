@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelens.functions.paths import dirname, join_path, normalize_path, relative_path
+from quirelens.functions.paths import dirname, join_path, normalize_path, relative_path, strip
 from quirelens.functions.urls import host, is_internal, link_class, link_path, link_tail, page_file, resolve_file
 from quirelens.plans.skew import lookup_join
 from quirelens.sources.markup import extract_links
@@ -40,7 +40,7 @@ def resolve_links(pages: DataFrame, url: str = "url") -> DataFrame:
     # One step per column, so that no expression is repeated inside the next.
     inside = links.withColumn("path", link_path("target")).filter("path <> ''")
     return inside.select(
-        "page_id", "link_no", "host", "page", F.trim("target").alias("target"),
+        "page_id", "link_no", "host", "page", strip("target").alias("target"),
         resolve_file("page", "path").alias("file"),
         F.when(F.col("path").endswith("/"), normalize_path(F.trim(F.col("path"), F.lit("/")))).alias("from_root"),
     )

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirelens.functions.text import grams, inner_words, word_run_hashes, word_runs, words
+from quirelens.plans.frames import union_all
 from quirelens.plans.lineage import cut
 from quirelens.plans.skew import fits_broadcast, lookup_join
 
+# The two reason texts.
 FIRST_RUN = "Initial or unavailable baseline: review applicability manually"
 CHANGED = "Changed source: "
 
@@ -79,7 +80,7 @@ def text_dependents(
         schema = T.StructType([T.StructField(source_key, key_types[0]), T.StructField(page_key, key_types[1])])
         return pages.sparkSession.createDataFrame([], schema)
     # Written down so that its true size decides how the long texts are fetched.
-    pairs = cut(reduce(DataFrame.unionByName, found))
+    pairs = cut(union_all(found))
     needles = sources.select(F.col(source_key).alias("_source"), F.col(source_text).alias("_needle"))
     texts = pages.select(F.col(page_key).alias("_page"), F.col(page_text).alias("_text"))
     near = lookup_join(texts, pairs, ["_page"], "inner", ["_page"]) if fits_broadcast(pairs) else pairs.join(texts, "_page")
@@ -147,7 +148,7 @@ class Impact:
         every = self.everywhere.select(F.lit(None).cast(page_type).alias("page"), "source")
         rows = [x.select("page", "source") for x in (by_rule, by_text, every)]
         return (
-            reduce(DataFrame.unionByName, rows)
+            union_all(rows)
             .distinct()
             .select("page", F.concat(F.lit(CHANGED), F.col("source").cast("string")).alias("reason"))
         )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelens.functions.paths import strip
 from quirelens.functions.urls import decode_entities
 
 # Text inside these is not markup: comments, and script or style bodies.
@@ -68,14 +69,16 @@ def extract_block(df: DataFrame, text: str, tag: str, *keep: str) -> DataFrame:
     pattern = rf"(?s)```{tag}\n(.*?)\n```"
     body = F.regexp_extract(text, pattern, 1)
     missing = F.raise_error(F.lit(f"no {tag} block found"))
-    strip = F.regexp_replace(body, r"^\s+|\s+\z", "")
     return df.select(
-        *keep, F.when(F.col(text).rlike(pattern), strip).otherwise(missing).alias("block")
+        *keep, F.when(F.col(text).rlike(pattern), strip(body)).otherwise(missing).alias("block")
     )
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Test cases of XML reports: node name, and whether it failed or was skipped."""
+def read_cases(spark: SparkSession, path: str, home: str = "") -> DataFrame:
+    """Test cases of XML reports: node name, and whether it failed or was skipped.
+
+    Names that begin with ``tests/`` are below ``home``.
+    """
     schema = (
         "_classname string, _name string, failure array<string>, error array<string>, "
         "skipped array<string>"
@@ -83,10 +86,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.format("xml").option("rowTag", "testcase").schema(schema).load(path)
     node = F.concat(F.replace("_classname", F.lit("."), F.lit("/")), F.lit(".py::"), F.col("_name"))
     bad = F.coalesce(F.col("failure"), F.col("error"), F.col("skipped")).isNotNull()
-    return df.select(
-        F.when(node.startswith("tests/"), F.concat(F.lit("website/"), node)).otherwise(node).alias("node"),
-        bad.alias("not_passed"),
-    )
+    return df.select(F.regexp_replace(node, "^tests/", f"{home}tests/").alias("node"), bad.alias("not_passed"))
 
 
 def read_locations(spark: SparkSession, path: str) -> DataFrame:
@@ -98,4 +98,4 @@ def read_locations(spark: SparkSession, path: str) -> DataFrame:
         .schema("loc string")
         .load(path)
     )
-    return df.select(F.trim("loc").alias("location"))
+    return df.select(strip("loc").alias("location"))

@@ -104,10 +104,10 @@ def test_markdown_rows_and_blocks(frame, spark):
 def test_xml_readers(spark, tmp_path):
     (tmp_path / "t.xml").write_text(
         '<testsuites><testsuite><testcase classname="tests.test_a" name="one"/>'
-        '<testcase classname="website.tests.test_b" name="two"><failure>no</failure></testcase>'
-        '<testcase classname="website.tests.test_b" name="three"><skipped/></testcase></testsuite></testsuites>')
-    assert rows(markup.read_cases(spark, str(tmp_path / "t.xml"))) == [
-        ("website/tests/test_a.py::one", False), ("website/tests/test_b.py::three", True), ("website/tests/test_b.py::two", True)]
+        '<testcase classname="site.tests.test_b" name="two"><failure>no</failure></testcase>'
+        '<testcase classname="site.tests.test_b" name="three"><skipped/></testcase></testsuite></testsuites>')
+    assert rows(markup.read_cases(spark, str(tmp_path / "t.xml"), "site/")) == [
+        ("site/tests/test_a.py::one", False), ("site/tests/test_b.py::three", True), ("site/tests/test_b.py::two", True)]
     (tmp_path / "s.xml").write_text(
         '<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://a/x</loc></url>'
         '<url><loc> https://a/y </loc></url></urlset>')
