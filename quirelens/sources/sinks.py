@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelens.operators.diff import fingerprint, not_subset, snapshot_diff
+from quirelens.plans.lineage import cut
 
 
 class TargetMoved(ValueError):
@@ -50,14 +51,24 @@ def _read(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
 
 
 def write_changed(
-    new: DataFrame, path: str, part: str, baseline: DataFrame | None = None, limit: int = 1000
+    new: DataFrame,
+    path: str,
+    part: str,
+    baseline: DataFrame | None = None,
+    limit: int = 1000,
+    stage: bool = True,
 ) -> DataFrame:
     """Rewrite only the parts whose content differs; equal parts stay untouched.
 
     ``baseline`` holds part and fingerprint as read before the work began. Every
-    check runs before the first write. Returns part and action.
+    check runs before the first write. The new rows are staged first, so what is
+    written is what was checked, even when they derive from the target itself;
+    ``stage=False`` is for rows that already are a stored table. Returns part and
+    status.
     """
     spark = new.sparkSession
+    if stage:
+        new = cut(new)
     current = _read(spark, path, new.schema)
     if current is None:
         current = spark.createDataFrame([], new.schema)

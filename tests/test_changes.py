@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +99,25 @@ def test_text_dependents_equal_brute_force(frame):
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_random_texts_equal_brute_force(frame):
+    r = random.Random(11)
+
+    def text(n, alphabet="ab .\né"):
+        return "".join(r.choice(alphabet) for _ in range(n))
+
+    words = ["".join(r.choice("abc") for _ in range(r.randrange(1, 5))) for _ in range(6)]
+    prose = [" ".join(r.choice(words) for _ in range(r.randrange(0, 40))) for _ in range(60)]
+    texts = [text(r.randrange(0, 30)) for _ in range(60)] + prose
+    needles = [text(r.randrange(0, 12)) for _ in range(60)]
+    for t in prose:
+        i = r.randrange(0, max(1, len(t)))
+        needles.append(t[i : i + r.randrange(1, 40)])
+    s = frame(list(enumerate(needles)), "sid int, name string")
+    p = frame(list(enumerate(texts)), "pid int, body string")
+    want = sorted((i, j) for i, n in enumerate(needles) for j, t in enumerate(texts) if n and n in t)
+    assert sorted(tuple(x) for x in review.text_dependents(s, p, "sid", "name", "pid", "body").collect()) == want
+
+
 def test_no_sources_touch_nothing(frame):
     s, p = frame([], "sid int, name string"), frame([(1, "x")], "pid int, body string")
     assert review.text_dependents(s, p, "sid", "name", "pid", "body").count() == 0

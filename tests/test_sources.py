@@ -131,6 +131,14 @@ def test_only_changed_parts_are_written(spark, frame, tmp_path):
     assert {r[1] for r in rows(sinks.write_changed(new, path, "part"))} == {"equal"}
 
 
+def test_new_rows_may_come_from_the_target(spark, frame, tmp_path):
+    path = str(tmp_path / "out")
+    sinks.write_changed(parts(frame, (1, "x", "a"), (2, "y", "b")), path, "part")
+    again = spark.read.schema("id int, v string, part string").parquet(path).withColumn("v", F.upper("v"))
+    assert {r[1] for r in rows(sinks.write_changed(again, path, "part"))} == {"changed"}
+    assert rows(spark.read.parquet(path), "id", "v", "part") == [(1, "X", "a"), (2, "Y", "b")]
+
+
 def test_writes_are_refused_before_they_start(spark, frame, tmp_path):
     path = str(tmp_path / "out")
     first = parts(frame, (1, "x", "a"), (2, "y", "b"))
