@@ -96,22 +96,60 @@ def mark_path(nodes: DataFrame, edges: DataFrame, steps: DataFrame, position: st
     return on_nodes.select(*nodes.columns, "on_path"), on_edges.select(*edges.columns, "on_path")
 
 
+# Doubled links may outnumber the edges by this factor before hops stay single.
+GROWTH = 8
+
+
+def _doubled(links: DataFrame, budget: int) -> DataFrame | None:
+    """Pairs joined by two of ``links`` in a row, or None when there could be more than
+    ``budget`` of them. The bound is counted before any pair is made."""
+    into = links.groupBy(F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("a"))
+    out = links.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("b"))
+    bound = into.join(out, "node").agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0]
+    if bound is None or bound > budget:
+        return None
+    first = links.withColumnRenamed("target", "mid")
+    second = links.withColumnRenamed("source", "mid")
+    return cut(lookup_join(first, second, ["mid"], "inner", ["source"]).select("source", "target").distinct())
+
+
 def walk(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes reached from each origin along edge direction, with the least hops.
 
-    ``seeds`` holds origin and node. One round per hop: the frontier meets the
-    edges, known nodes drop out, and the rest is written as the next frontier.
+    ``seeds`` holds origin and node. Links of 2, 4, 8, ... hops are made first, as
+    long as they stay few: a history that is mostly one line gets links as long as
+    itself, a dense graph none. The frontier then strides along the longest links,
+    and the shorter ones fill in between, longest first. Every shortest path is a
+    run of strides and at most one link of each shorter length, so the least
+    hops found are exact, and a line of n edges takes about log2(n) rounds.
     """
-    edges = cut(edges.select("source", "target").distinct())
+    links = [cut(edges.select("source", "target").distinct())]
+    n_edges = links[0].count()
+    # No shortest path has more hops than there are edges, even where edges turn in
+    # a circle and can be doubled for ever.
+    while 1 << len(links) <= n_edges:
+        longer = _doubled(links[-1], GROWTH * n_edges)
+        if longer is None or longer.isEmpty():
+            break
+        links.append(longer)
+    stride = 1 << (len(links) - 1)
     reached = Pieces()
-    frontier = reached.add(seeds.select("origin", "node").distinct().withColumn("hops", F.lit(0)))
+    frontier = reached.add(seeds.select("origin", "node").distinct().withColumn("hops", F.lit(0).cast("bigint")))
     while not frontier.isEmpty():
-        step = lookup_join(
-            edges.withColumnRenamed("source", "node"), frontier.select("node", "origin"), ["node"], "inner", ["target"]
-        ).select("origin", F.col("target").alias("node")).distinct()
+        step = _along(frontier, links[-1]).select("origin", "node").distinct()
         new = step.join(reached.all().select("origin", "node"), ["origin", "node"], "left_anti")
-        frontier = reached.add(new.withColumn("hops", F.lit(len(reached.paths))))
-    return reached.all()
+        frontier = reached.add(new.withColumn("hops", F.lit(len(reached.paths) * stride).cast("bigint")))
+    found = reached.all()
+    for i, shorter in reversed(list(enumerate(links[:-1]))):
+        step = _along(found, shorter).withColumn("hops", F.col("hops") + (1 << i))
+        found = cut(found.unionByName(step).groupBy("origin", "node").agg(F.min("hops").alias("hops")))
+    return found
+
+
+def _along(places: DataFrame, links: DataFrame) -> DataFrame:
+    """Places moved by one link, with what they carry."""
+    ends = links.select(F.col("source").alias("node"), F.col("target").alias("_to"))
+    return lookup_join(ends, places, ["node"], "inner", ["_to"]).drop("node").withColumnRenamed("_to", "node")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -122,7 +160,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, seed: DataFrame) -> DataFrame:
     """Nodes joined to the seed nodes by edges in either direction, with hops."""
     out = walk(both_ways(edges), seed.select(F.lit(0).alias("origin"), "node"))
-    return out.select("node", "hops")
+    return out.select("node", F.col("hops").cast("int").alias("hops"))
 
 
 # How often a node goes on to its neighbour's choice within one round.
@@ -219,7 +257,7 @@ def ancestry(parents: DataFrame, heads: DataFrame) -> DataFrame:
     """
     edges = parents.filter("parent is not null").select(F.col("child").alias("source"), F.col("parent").alias("target"))
     out = walk(edges, heads.select(F.col("node").alias("origin"), "node"))
-    return out.select(F.col("origin").alias("head"), F.col("node").alias("ancestor"), F.col("hops").alias("depth"))
+    return out.select(F.col("origin").alias("head"), F.col("node").alias("ancestor"), F.col("hops").cast("int").alias("depth"))
 
 
 # No path a file system takes nests this deep; only a tree that contains itself does.

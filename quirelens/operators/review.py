@@ -36,21 +36,31 @@ def _anchors(sources: DataFrame, key: str, text: str) -> DataFrame:
     """One anchor per source: something every text that contains it must hold.
 
     Words cut by the source's own ends are left out, since they may be parts of
-    longer words in a page. Longer anchors are rarer, so the longest is taken.
+    longer words in a page. Of the marks a source offers, the one fewest sources
+    share is taken, the longest among those, so that common words do not bring
+    many sources and many pages together.
     """
     size = F.char_length("_text")
     staged = sources.select(F.col(key).alias("_source"), F.col(text).alias("_text")).filter(size > 0)
     staged = staged.withColumn("_inner", inner_words("_text"))
     staged = staged.withColumn("_runs", word_runs("_inner", 3)).withColumn("_words", word_runs("_inner", 1))
 
-    def longest(way, array):
-        return F.struct(F.lit(way).alias("way"), F.array_max(array)["hash"].alias("mark"))
+    def offer(way, marks):
+        return F.struct(F.lit(way).alias("way"), marks.alias("marks"))
 
-    pick = F.when(F.size("_runs") > 0, longest("run", F.col("_runs"))).when(F.size("_words") > 0, longest("word", F.col("_words")))
+    pick = F.when(F.size("_runs") > 0, offer("run", F.col("_runs"))).when(F.size("_words") > 0, offer("word", F.col("_words")))
     for n in GRAM_SIZES:
-        first = F.xxhash64(F.substring("_text", 1, n)).alias("mark")
-        pick = pick.when(size >= n, F.struct(F.lit(str(n)).alias("way"), first))
-    return staged.select("_source", pick.alias("p")).select("_source", "p.*")
+        hashes = F.transform(grams("_text", n), lambda g: F.struct(F.lit(n).alias("length"), F.xxhash64(g).alias("hash")))
+        pick = pick.when(size >= n, offer(str(n), hashes))
+    offers = staged.select("_source", pick.alias("p")).select("_source", "p.way", F.explode("p.marks").alias("m"))
+    offers = cut(offers.select("_source", "way", "m.length", F.col("m.hash").alias("mark")))
+    shared = offers.groupBy("way", "mark").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct("n", (-F.col("length")).alias("l"), "mark"))["mark"]
+    return (
+        lookup_join(offers, shared, ["way", "mark"], "inner", ["_source"])
+        .groupBy("_source", "way")
+        .agg(best.alias("mark"))
+    )
 
 
 def text_dependents(

@@ -99,6 +99,12 @@ def test_text_dependents_equal_brute_force(frame):
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_anchor_is_what_fewest_sources_share(frame):
+    names = [f"src/administration/{w}/main.py" for w in ("aa", "bb", "cc")]
+    got = review._anchors(frame([(i, n) for i, n in enumerate(names)], "sid int, name string"), "sid", "name")
+    assert len({r["mark"] for r in got.collect()}) == 3
+
+
 def test_random_texts_equal_brute_force(frame):
     r = random.Random(11)
 

@@ -69,6 +69,44 @@ def test_ancestry_of_a_merge(frame):
     assert got == [("b", "a", 1), ("b", "b", 0), ("d", "a", 2), ("d", "b", 1), ("d", "c", 1), ("d", "d", 0)]
 
 
+def brute_hops(edges, seed):
+    out, todo = {seed: 0}, [seed]
+    while todo:
+        todo = [b for a in todo for x, b in edges if x == a and out.setdefault(b, out[a] + 1) == out[a] + 1]
+    return out
+
+
+@pytest.mark.parametrize("shape", ["line", "merges", "dense", "cycle", "random"])
+def test_walk_finds_least_hops(frame, shape):
+    r = random.Random(3)
+    edges = {
+        "line": [(i, i + 1) for i in range(70)],
+        "merges": [(i, i + 1) for i in range(60)] + [(i, i + 5) for i in range(0, 55, 7)],
+        "dense": [(a, b) for a in range(12) for b in range(12) if a != b],
+        "cycle": [(i, (i + 1) % 23) for i in range(23)],
+        "random": [(r.randrange(40), r.randrange(40)) for _ in range(70)],
+    }[shape]
+    seeds = [0, 5]
+    got = graph.walk(frame(edges, "source int, target int"), frame([(s, s) for s in seeds], "origin int, node int"))
+    want = sorted((s, n, h) for s in seeds for n, h in brute_hops(edges, s).items())
+    assert sorted((x.origin, x.node, x.hops) for x in got.collect()) == want
+
+
+def test_a_long_line_takes_few_rounds(frame, monkeypatch):
+    written = []
+    add = graph.Pieces.add
+    monkeypatch.setattr(graph.Pieces, "add", lambda self, df: written.append(1) or add(self, df))
+    n = 1000
+    got = graph.ancestry(frame([(i, i + 1) for i in range(n)], "child long, parent long"), frame([(0,)], "node long"))
+    assert got.count() == n + 1 and got.filter("depth <> ancestor").isEmpty()
+    assert len(written) < 40
+
+
+def test_a_hub_is_never_doubled(frame):
+    links = graph.both_ways(frame([(0, i) for i in range(1, 100)], "source int, target int"))
+    assert graph._doubled(links, graph.GROWTH * links.count()) is None
+
+
 def test_shared_subtree_appears_below_each_parent(frame):
     entries = frame(
         [("r", "src", "t1"), ("r", "lib", "t1"), ("t1", "a.py", "f1"), ("t1", "in", "t2"), ("t2", "b", "f2"), ("r", "top", "f1")],
