@@ -19,6 +19,14 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def in_order(df: DataFrame, keys: Sequence[str], at: str = "at") -> DataFrame:
     """The rows written down in ascending order of ``keys``, with their place in ``at``.
 
@@ -31,13 +39,6 @@ def in_order(df: DataFrame, keys: Sequence[str], at: str = "at") -> DataFrame:
     return cut(placed.withColumn(at, F.monotonically_increasing_id()))
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out = out & left[k].eqNullSafe(right[k])
-    return out
-
-
 def running(df: DataFrame, groups: Sequence[str], order: Sequence[str], value: str | None = None) -> DataFrame:
     """Add ``rank`` (from 1) and, for ``value``, ``total`` (up to and with the row) in each group.
 

@@ -17,12 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelens.llm.common import text_of
+from quirelens.llm.common import fresh, text_of
 from quirelens.plans.lineage import cut
 
 LEAST_WORDS = 5
 
-LINE = "doc_id bigint, digest bigint, pos int, h1 bigint, h2 bigint, gap bigint"
+LINE = "doc_id bigint, digest bigint, pos int, h1 bigint, h2 bigint, gap bigint, reach int"
 BLOCKS = "array<struct<first:int, last:int, partner:bigint, moved:boolean>>"
 
 
@@ -30,12 +30,12 @@ def rare_lines(documents: DataFrame, least_words: int) -> DataFrame:
     """A row per rare line: its document (id and digest of the text), place and 128-bit hash.
 
     Lines end at a line feed, white space at their ends does not count. ``gap`` is the
-    hash of the short lines up to the next rare one.
+    hash of the short lines up to the next rare one, ``reach`` how far on that is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, owner, hashes, gaps = [], [], [], []
+            places, owner, hashes, gaps, reaches = [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
                 short: list[bytes] = []
                 first = len(places)
@@ -46,20 +46,22 @@ def rare_lines(documents: DataFrame, least_words: int) -> DataFrame:
                         continue
                     if len(places) > first:
                         gaps.append(_gap(short))
+                        reaches.append(len(short) + 1)
                     short = []
                     places.append(pos)
                     owner.append(i)
                     hashes.append(xxhash.xxh3_128_digest(line))
                 if len(places) > first:
                     gaps.append(_gap(short))
+                    reaches.append(len(short) + 1)
             both = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
             take = pa.array(owner, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(take), batch.column("digest").take(take), pa.array(places, pa.int32()),
-                    pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(gaps, pa.int64()),
+                    pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(gaps, pa.int64()), pa.array(reaches, pa.int32()),
                 ],
-                ["doc_id", "digest", "pos", "h1", "h2", "gap"],
+                ["doc_id", "digest", "pos", "h1", "h2", "gap", "reach"],
             )
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of()).alias("digest"), text_of().alias("text"))
@@ -94,8 +96,8 @@ def longest_rise(values: list[int]) -> list[int]:
 def align(shared: list[dict]) -> list[tuple[int, int, int | None, bool]]:
     """Blocks (first line, last line, partner, moved) of one later document.
 
-    ``shared`` holds its shared lines: pos and gap here, and doc, at and its gap in the
-    first document that has the line, with n, the number of such lines in all. Partners
+    ``shared`` holds its shared lines: pos, gap and reach here, and partner, place and
+    gap in the first document that has the line, with n, the number of such lines in all. Partners
     come rarest line first. With each, lines that come once on both sides and rise
     together are the spine of a patience diff, lines between two of the spine that fit
     between their places are aligned with them, and what is left was moved and makes
@@ -125,7 +127,7 @@ def align(shared: list[dict]) -> list[tuple[int, int, int | None, bool]]:
             if i < len(lines):
                 a, b = lines[i - 1], lines[i]
                 step = b["pos"] - a["pos"]
-                if step == b["at"] - a["at"] and (step == 1 or a["gap"] == a["partner_gap"] and a["gap"] != 0) and (i - 1 in aligned) == (i in aligned):
+                if step == b["at"] - a["at"] == a["reach"] and a["gap"] == a["partner_gap"] and (i - 1 in aligned) == (i in aligned):
                     continue
             out.append((lines[start]["pos"], lines[i - 1]["pos"], partner, start not in aligned))
             start = i
@@ -151,7 +153,7 @@ def common_blocks(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataF
         "not (doc_id <=> f.doc_id) or digest <> f.digest"
     )
     line = F.struct(
-        "pos", "gap", F.col("f.pos").alias("at"), F.col("f.gap").alias("partner_gap"), F.col("f.doc_id").alias("partner"),
+        "pos", "gap", "reach", F.col("f.pos").alias("at"), F.col("f.gap").alias("partner_gap"), F.col("f.doc_id").alias("partner"),
         F.col("f.digest").alias("partner_digest"), "n",
     )
     # A row of the group per line of one document; a repeated row repeats its lines.
@@ -178,14 +180,16 @@ def line_dedup(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     five words go only inside a block; texts of any length are whole; an empty table
     gives no rows; other columns are carried along.
     """
-    found = common_blocks(documents, least_words).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("blocks").alias("_blocks"))
-    rows = documents.withColumn("_hash", F.xxhash64(text_of()))
-    rows = rows.join(found, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_digest")), "left")
+    own, other, digest, held = (fresh(documents, c) for c in ("_hash", "_id", "_digest", "_blocks"))
+    found = common_blocks(documents, least_words)
+    found = found.select(F.col("doc_id").alias(other), F.col("digest").alias(digest), F.col("blocks").alias(held))
+    rows = documents.withColumn(own, F.xxhash64(text_of()))
+    rows = rows.join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col(other)) & (F.col(own) == F.col(digest)), "left")
     lines = F.split("text", "\n", -1)
-    gone = F.flatten(F.transform("_blocks", lambda b: F.sequence(b["first"], b["last"])))
+    gone = F.flatten(F.transform(held, lambda b: F.sequence(b["first"], b["last"])))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     text = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     text = F.when(F.trim(F.translate(text, "\n\t\r", "   ")) == "", F.lit("")).otherwise(text)
-    kept = F.when(F.col("_blocks").isNull(), F.col("text")).otherwise(text)
+    kept = F.when(F.col(held).isNull(), F.col("text")).otherwise(text)
     columns = [kept.alias("text") if c == "text" else F.col(c) for c in documents.columns if c != "blocks"]
-    return rows.select(*columns, F.coalesce("_blocks", F.array().cast(BLOCKS)).alias("blocks"))
+    return rows.select(*columns, F.coalesce(held, F.array().cast(BLOCKS)).alias("blocks"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelens.llm.common import text_of
+from quirelens.llm.common import fresh
 
 ROUNDS = 8  # even, so that both halves end where they began
 KEY = "a key of the data owner"
@@ -202,11 +202,13 @@ MAKERS = {"email": _email, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phon
 
 def pseudonym(value: Column, key: Column) -> Column:
     """kind and text of a value's pseudonym, null when it is not a valid value of its format."""
+
+    def made(kind):
+        return _once(MAKERS[kind](value, key), lambda t: F.when(t.isNotNull(), F.struct(F.lit(kind).alias("kind"), t.alias("text"))))
+
     out = F.lit(None).cast("struct<kind:string,text:string>")
     for kind, pattern in reversed(FORMATS):
-        whole = value.rlike("^(?:" + pattern + ")$")
-        made = _once(MAKERS[kind](value, key), lambda t, k=kind: F.when(t.isNotNull(), F.struct(F.lit(k).alias("kind"), t.alias("text"))))
-        out = F.when(whole, made).otherwise(out)
+        out = F.when(value.rlike("^(?:" + pattern + ")$"), made(kind)).otherwise(out)
     return out
 
 
@@ -227,17 +229,18 @@ def pseudonymize(documents: DataFrame, key: str = KEY) -> DataFrame:
     """
     union = "(" + "|".join(p for _, p in FORMATS) + ")"
     text = F.col("text")
-    likely = text.rlike("[0-9]{2}|@")
+    likely = text.rlike("[0-9][0-9.]|@")
     marked = text.contains(MARK) | text.contains(AWAY)
     safe = F.when(marked, F.replace(F.replace(text, F.lit(AWAY), F.lit(AWAY + "2")), F.lit(MARK), F.lit(AWAY + "1"))).otherwise(text)
     pieces = F.split(F.regexp_replace(safe, union, MARK + "$1" + MARK), MARK, -1)
     # Odd pieces are finds, as every find has a mark on both sides.
     made = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, pseudonym(p, F.lit(key))))
-    rows = documents.withColumn("_pieces", F.when(likely, pieces)).withColumn("_made", F.when(likely, made))
-    joined = F.array_join(F.zip_with("_pieces", "_made", lambda p, m: F.coalesce(m["text"], p)), "")
+    split, put = fresh(documents, "_pieces"), fresh(documents, "_made")
+    rows = documents.withColumn(split, F.when(likely, pieces)).withColumn(put, F.when(likely, made))
+    joined = F.array_join(F.zip_with(split, put, lambda p, m: F.coalesce(m["text"], p)), "")
     back = F.replace(F.replace(joined, F.lit(AWAY + "1"), F.lit(MARK)), F.lit(AWAY + "2"), F.lit(AWAY))
-    done = F.when(F.col("_pieces").isNull(), text).when(marked, back).otherwise(joined)
-    kinds = F.filter(F.transform("_made", lambda m: m["kind"]), lambda k: k.isNotNull())
+    done = F.when(F.col(split).isNull(), text).when(marked, back).otherwise(joined)
+    kinds = F.filter(F.transform(put, lambda m: m["kind"]), lambda k: k.isNotNull())
     counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k.alias("key"), F.size(F.filter(kinds, lambda x: x == k)).alias("value")))).cast("map<string,int>")
     found = F.coalesce(counts, F.create_map().cast("map<string,int>"))
     return rows.select(*[done.alias("text") if c == "text" else F.col(c) for c in documents.columns if c != "found"], found.alias("found"))

@@ -21,7 +21,8 @@ from quirelens.plans.lineage import cut
 SHARD = 12_288  # vectors of one shard, on average
 QUERIES = 512  # queries of one block
 LEVELS = 16  # impact segments of a dimension, about
-ENOUGH = 64  # possible members at which adding up may stop
+ENOUGH = 16  # adding up may stop when one vector of so many is still possible
+FEW = 64  # or when so many are
 LOOKS = 12  # how often a query looks whether it may stop
 
 
@@ -101,9 +102,12 @@ class Shard:
         q = np.zeros(self.width, np.int64)
         q[:width] = query[:width]
         members = np.arange(n)
-        if n > ENOUGH:
+        if n > FEW:
             members = self._possible(q, k + 1)
-        scores = self.matrix[members].astype(np.int64) @ q
+        # Sums of small integers are exact in doubles too, and faster.
+        exact = self.matrix.itemsize == 2 and np.abs(q).max(initial=0) < 1 << 24 and self.width < 1 << 13
+        number = np.float64 if exact else np.int64
+        scores = (self.matrix[members].astype(number) @ q.astype(number)).astype(np.int64)
         ids = self.ids[members]
         mine = ids != own
         ids, scores = ids[mine], scores[mine]
@@ -125,7 +129,7 @@ class Shard:
                 spread = self._spread(order[:done], order[done:], least, most)
                 bound = np.partition(sums, len(sums) - k)[len(sums) - k] - spread
                 members = np.flatnonzero(sums >= bound)
-                if len(members) <= ENOUGH or done == len(order):
+                if len(members) <= max(FEW, len(sums) // ENOUGH) or done == len(order):
                     return members
         return np.arange(len(self.ids))  # a query of zeros: all score the same
 

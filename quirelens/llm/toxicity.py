@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelens.llm.common import text_of
+from quirelens.llm.common import fresh, text_of
 from quirelens.plans.lineage import cut
 
 SAMPLE = 8_000  # labelled rows that are learned from, at most
@@ -330,7 +330,7 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD, keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(Automaton(model.words, model.stems))
         for batch in batches:
-            rows = np.array([reader.features(t.as_py()) for t in batch.column("_text")]).reshape(batch.num_rows, FEATURES)
+            rows = np.array([reader.features(t.as_py()) for t in batch.column(held)]).reshape(batch.num_rows, FEATURES)
             scores = model.score(rows)
             columns = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
@@ -338,7 +338,8 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD, keep
             )
 
     names = ["doc_id", *[c for c in keep if c != "doc_id"]]
-    rows = documents.select(*names, text_of().alias("_text"))
+    held = fresh(documents, "_text")
+    rows = documents.select(*names, text_of().alias(held))
     kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
     return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
 
