@@ -47,9 +47,17 @@ def has_mode_bits(mode, bits: int) -> Column:
     return _col(mode).bitwiseAND(F.lit(bits)) != 0
 
 
+# Nulls stay and times keep their microseconds.
+WHOLE = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def canonical_json(*columns: str) -> Column:
     """JSON of the columns with keys in sorted order, nulls kept."""
-    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*sorted(columns)), WHOLE)
 
 
 def canonical_map_json(m) -> Column:

@@ -103,6 +103,7 @@ def glob_regex(pattern: str) -> str:
     crosses parts and '/**' also matches the folder itself."""
     import re
 
+    # What each sign of a glob means.
     whole = {"/**": "(?:/.*)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
     pieces = re.split(r"(/\*\*|\*\*|\*|\?)", pattern)
     return "^" + "".join(whole.get(x, re.escape(x)) for x in pieces) + r"\z"

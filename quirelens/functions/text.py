@@ -12,6 +12,9 @@ LONG_TEXT = 600
 KEPT_TEXT = 400
 CUT_MARK = "\n-- ... [truncated long JSON guard contract; see json_contracts.sql] ..."
 
+# What ends a line.
+LINE_END = r"(?:\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029])"
+
 # What separates two words when texts are compared by words.
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -25,22 +28,27 @@ def truncate_long(text, limit: int = LONG_TEXT, kept: int = KEPT_TEXT, mark: str
     return F.when(F.char_length(t) > limit, F.concat(F.substring(t, 1, kept), F.lit(mark))).otherwise(t)
 
 
+# What a slug drops, and what a heading is.
+SLUG_DROPS = r"[^\p{L}\p{N}_\- ]"
+HEADING = r"(?m)^#+ (.+)$"
+
+
 def heading_slug(text) -> Column:
     """Anchor of a heading: lower case, word characters only, '-' for spaces."""
-    kept = F.regexp_replace(F.lower(_col(text)), r"[^\p{L}\p{N}_\- ]", "")
+    kept = F.regexp_replace(F.lower(_col(text)), SLUG_DROPS, "")
     return F.translate(kept, " ", "-")
 
 
 def headings(text) -> Column:
     """Heading lines of a markdown text, without their marks."""
-    return F.regexp_extract_all(_col(text), F.lit(r"(?m)^#+ (.+)$"), F.lit(1))
+    return F.regexp_extract_all(_col(text), F.lit(HEADING), F.lit(1))
 
 
 def line_count(text) -> Column:
-    """Lines ended by LF, CR or both; a final line end opens no further line."""
+    """Lines of a text; a final line end opens no further line."""
     t = _col(text)
-    lines = F.size(F.split(t, r"\r\n|\n|\r"))
-    return F.when(t == "", 0).when(t.rlike(r"[\n\r]\z"), lines - 1).otherwise(lines)
+    lines = F.size(F.split(t, LINE_END))
+    return F.when(t == "", 0).when(t.rlike(LINE_END + r"\z"), lines - 1).otherwise(lines)
 
 
 def grams(text, size: int) -> Column:

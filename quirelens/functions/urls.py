@@ -2,33 +2,66 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quirelens.functions.paths import dirname, let, normalize_path, strip
 
-# Entity spellings decoded in attribute text. The ampersand comes
-# last so that an escaped entity is decoded once.
-ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&#39;": "'",
-    "&#x27;": "'",
-    "&apos;": "'",
-    "&amp;": "&",
-}
+# Names of character references come from Python's own table of the HTML standard.
+# Some of them may stand without the semicolon, which the table lists too.
+NAMES = {name.removesuffix(";"): value for name, value in html5.items() if name.endswith(";")}
+BARE = {name: value for name, value in html5.items() if not name.endswith(";")}
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
+# The numbers 128 to 159 mean what Windows-1252 has there.
+C1 = "".join(bytes([i]).decode("cp1252", "replace") if bytes([i]).decode("cp1252", "ignore") else chr(i) for i in range(0x80, 0xA0))
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _character(code: Column) -> Column:
+    """The character of a numeric reference; numbers that are none give U+FFFD."""
+    bad = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF) | code.isNull()
+    plain = F.decode(F.unhex(F.lpad(F.hex(F.when(bad, 0xFFFD).otherwise(code)), 8, "0")), "UTF-32")
+    return F.when(code.between(0x80, 0x9F), F.substring(F.lit(C1), (code - 0x7F).cast("int"), F.lit(1))).otherwise(plain)
+
+
+def _decoded(reference: Column) -> Column:
+    """What one reference stands for, itself if nothing."""
+    body = F.regexp_replace(reference, "^&|;$", "")
+    # More than seven digits are beyond every character and would not fit a number.
+    decimal = F.regexp_extract(body, "^#0*([0-9]{1,7})$", 1).try_cast("bigint")
+    number = F.when(body.rlike("^#[xX]"), F.conv(F.regexp_extract(body, "^#[xX]0*([0-9a-fA-F]{1,7})$", 1), 16, 10).try_cast("bigint"))
+    zero = body.rlike("^#[xX]?0+$")
+    code = F.when(zero, F.lit(0)).otherwise(F.coalesce(number, decimal)).cast("bigint")
+
+    def table(names):
+        return F.map_from_arrays(F.array(*[F.lit(k) for k in names]), F.array(*[F.lit(v) for v in names.values()]))
+
+    named = F.when(reference.endswith(";"), F.try_element_at(table(NAMES), body)).otherwise(F.try_element_at(table(BARE), body))
+    return F.when(body.startswith("#"), _character(code)).otherwise(F.coalesce(named, reference))
+
+
 def decode_entities(text) -> Column:
-    out = _col(text)
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """Character references of an attribute's text decoded once, as HTML reads them.
+
+    A name without its semicolon counts only where nothing follows that could
+    continue it: a letter, a digit or '='.
+    """
+    t = _col(text)
+    follows = F.regexp_replace(t, r"(&[A-Za-z][A-Za-z0-9]*)(?==)", "$1\u0000")
+    pieces = F.split(follows, "(?=&)")
+
+    def piece(p):
+        # Everything up to the next '&': at most one reference, at the start.
+        found = F.regexp_extract(p, "^" + REFERENCE, 0)
+        rest = F.substring(p, F.char_length(found) + 1, F.char_length(p))
+        return F.when((found == "") | rest.startswith("\u0000"), F.replace(p, F.lit("\u0000"), F.lit(""))).otherwise(F.concat(_decoded(found), rest))
+
+    return F.when(t.contains("&"), F.array_join(F.transform(pieces, piece), "")).otherwise(t)
 
 
 def percent_decode(text) -> Column:

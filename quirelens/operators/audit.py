@@ -10,7 +10,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quirelens.functions.paths import is_safe_path
 from quirelens.functions.text import line_count
 from quirelens.operators.search import with_groups
 from quirelens.plans.frames import union_all
@@ -33,10 +35,11 @@ def fk_orphans(child: DataFrame, parent: DataFrame, on: Pairs, salt_by: Sequence
     return lookup_join(child.filter(_all_set(cols)), _parent_keys(parent, on), cols, "left_anti", salt_by)
 
 
-def _key_text(columns: Sequence[str]) -> Column:
-    """One text for a complete key, null for a key with any null. JSON keeps the
-    parts of a composite key apart."""
-    cast = [F.col(c).cast("string").alias(str(i)) for i, c in enumerate(columns)]
+def _key_text(df: DataFrame, columns: Sequence[str]) -> Column:
+    """One text for a complete key, null for a key with any null. Bytes count as hex,
+    as not all are text, and JSON keeps the parts of a composite key apart."""
+    binary = {f.name for f in df.schema.fields if isinstance(f.dataType, T.BinaryType)}
+    cast = [(F.hex(c) if c in binary else F.col(c).cast("string")).alias(str(i)) for i, c in enumerate(columns)]
     whole = cast[0] if len(columns) == 1 else F.to_json(F.struct(*cast))
     return F.when(_all_set(columns), whole)
 
@@ -45,23 +48,24 @@ def key_usage(references: Sequence[tuple[str, DataFrame, DataFrame, Pairs]]) ->
     """Child and parent rows of every key of every reference.
 
     Children and parents of all references are counted by (reference, key) in one
-    aggregate instead of one join each. Counts combine before the shuffle, so
-    neither a hot key nor the rows without a key gather in one task.
+    aggregate instead of one join each, and a table that takes part in several is
+    read once. Counts combine before the shuffle, so neither a hot key nor the rows
+    without a key gather in one task.
     """
-    sides = []
+    tables: list[tuple[DataFrame, list[Column]]] = []
     for name, child, parent, on in references:
         for frame, columns, is_child in ((child, [c for c, _ in on], 1), (parent, [p for _, p in on], 0)):
-            sides.append(
-                frame.select(
-                    F.lit(name).alias("reference"), _key_text(columns).alias("key"),
-                    F.lit(is_child).alias("_child"), F.lit(1 - is_child).alias("_parent"),
-                )
+            side = F.struct(
+                F.lit(name).alias("reference"), _key_text(frame, columns).alias("key"),
+                F.lit(is_child).alias("_child"), F.lit(1 - is_child).alias("_parent"),
             )
-    return (
-        union_all(sides)
-        .groupBy("reference", "key")
-        .agg(F.sum("_child").alias("n_child"), F.sum("_parent").alias("n_parent"))
-    )
+            known = next((sides for seen, sides in tables if seen is frame or seen.sameSemantics(frame)), None)
+            if known is None:
+                tables.append((frame, [side]))
+            else:
+                known.append(side)
+    rows = union_all([frame.select(F.explode(F.array(*sides)).alias("u")).select("u.*") for frame, sides in tables])
+    return rows.groupBy("reference", "key").agg(F.sum("_child").alias("n_child"), F.sum("_parent").alias("n_parent"))
 
 
 def fk_summary(references: Sequence[tuple[str, DataFrame, DataFrame, Pairs]]) -> DataFrame:
@@ -179,11 +183,23 @@ def uncited(df: DataFrame, citations: str) -> DataFrame:
     return df.filter(F.col(citations).isNull() | (F.size(citations) < 1))
 
 
-def bad_citations(cites: DataFrame, files: DataFrame, key: str, line: str, text: str, salt_by: Sequence[str] = ()) -> DataFrame:
-    """Citations of a missing file, or of a line below 1 or past the file's end."""
+def bad_citations(
+    cites: DataFrame, files: DataFrame, key: str, line: str, text: str, salt_by: Sequence[str] = (), roots: Sequence[str] | None = None
+) -> DataFrame:
+    """Citations of a missing file, or of a line below 1 or past the file's end.
+
+    With ``roots`` keys are paths, and one that is absolute, climbs, holds a backslash
+    or begins with none of these folders is refused before it is looked up.
+    """
     sizes = files.select(key, line_count(text).alias("n_lines"))
+    refused = F.lit(False)
+    if roots is not None:
+        path = F.col(key).cast("string")
+        inside = F.split_part(path, F.lit("/"), F.lit(1)).isin(*roots) & path.contains("/")
+        refused = ~F.coalesce(is_safe_path(path) & inside, F.lit(False))
     reason = (
-        F.when(F.col(line).isNull() | (F.col(line) < 1), "invalid line")
+        F.when(refused, "invalid path")
+        .when(F.col(line).isNull() | (F.col(line) < 1), "invalid line")
         .when(F.col("n_lines").isNull(), "missing file")
         .when(F.col(line) > F.col("n_lines"), "line outside file")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quirelens.functions.hashing import key_to_hex, sha256_hex
 from quirelens.operators.graph import components, follow, peel
+from quirelens.plans.frames import null_safe_join
 from quirelens.plans.skew import lookup_join
 from quirelens.plans.windows import latest
 
@@ -227,14 +228,15 @@ def collection_status(pages: DataFrame, members: DataFrame, expected: DataFrame,
     a = members.groupBy(key, "member").agg(F.count(F.lit(1)).alias("_n"))
     b = expected.groupBy(key, "member").agg(F.count(F.lit(1)).alias("_m"))
     off = (
-        a.join(b, [key, "member"], "full_outer")
-        .filter(~F.col("_n").eqNullSafe(F.col("_m")))
+        null_safe_join(a, b, [key, "member"], "full_outer")
+        .withColumn("_off", (~F.col("_n").eqNullSafe(F.col("_m"))).cast("bigint"))
         .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n_unreconciled"))
+        .agg(F.sum("_off").alias("n_unreconciled"))
     )
-    out = last.join(gaps, key, "left").join(off, key, "left").na.fill(0, ["n_unreconciled"])
+    out = null_safe_join(last.join(gaps, key, "left"), off, [key], "full_outer").na.fill(0, ["n_pages", "n_unreconciled"])
     state = (
-        F.when(F.col("_gap"), "page gap")
+        F.when(F.col("n_pages") == 0, "no pages")
+        .when(F.col("_gap"), "page gap")
         .when(F.col("_next") != 0, "unfinished")
         .when(F.col("n_unreconciled") > 0, "membership differs")
         .otherwise("complete")
@@ -278,20 +280,26 @@ def change_totals(files: DataFrame, listing: str) -> DataFrame:
 
 
 def attempt_status(jobs: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Each job's current attempt, how often it was tried again, and its wait."""
-    n = attempts.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_attempts"))
-    now = attempts.select(
-        "job_id", F.col("attempt").alias("current_attempt"), "state", "created_at_us", "not_before_us"
-    )
-    wait = F.greatest(F.col("not_before_us") - F.col("created_at_us"), F.lit(0))
-    return (
-        jobs.select("job_id", "kind", "current_attempt")
-        .join(now, ["job_id", "current_attempt"], "left")
-        .join(n, "job_id", "left")
-        .select(
-            "job_id", "kind", "current_attempt", "state", F.coalesce("n_attempts", F.lit(0)).alias("n_attempts"),
-            F.greatest(F.coalesce("n_attempts", F.lit(0)) - 1, F.lit(0)).alias("n_retries"), wait.alias("wait_us"),
-        )
+    """Each job's current attempt, how often it was tried again, and its wait.
+
+    ``jobs`` may name its current_attempt; without that column it is the last one.
+    The attempts of a job are read in one aggregate.
+    """
+    facts = F.struct("attempt", "state", "created_at_us", "not_before_us")
+    named = "current_attempt" in jobs.columns
+    if named:
+        mine = jobs.select("job_id", F.col("current_attempt").alias("_current"))
+        tried = attempts.join(mine, "job_id")
+        own = F.max(F.when(F.col("attempt") == F.col("_current"), facts))
+    else:
+        tried, own = attempts, F.max(facts)
+    per_job = tried.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_attempts"), own.alias("_now"))
+    current = F.col("current_attempt") if named else F.col("_now.attempt").alias("current_attempt")
+    wait = F.greatest(F.col("_now.not_before_us") - F.col("_now.created_at_us"), F.lit(0))
+    n = F.coalesce("n_attempts", F.lit(0))
+    return jobs.join(per_job, "job_id", "left").select(
+        "job_id", "kind", current, F.col("_now.state").alias("state"), n.alias("n_attempts"),
+        F.greatest(n - 1, F.lit(0)).alias("n_retries"), wait.alias("wait_us"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirelens.functions.hashing import is_digest
 from quirelens.functions.paths import is_safe_path
-from quirelens.plans.frames import union_all
+from quirelens.plans.frames import null_safe_join, union_all
 from quirelens.plans.skew import lookup_join
 
 # A digest is read as five words of 12 hex digits. A word fits decimal(18,0) and
@@ -39,7 +39,7 @@ def fingerprint(df: DataFrame, group: Sequence[str], digest: str, bag: bool = Fa
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: Sequence[str], digest: str) -> DataFrame:
     """added, removed, changed or equal for each key. A renamed row is one removed
-    and one added. Keys are unique on each side; equal nulls are equal."""
+    and one added. Keys are unique on each side; null keys and hashes equal each other."""
     a = old.select(*key, F.col(digest).alias("old_hash"), F.lit(True).alias("_old"))
     b = new.select(*key, F.col(digest).alias("new_hash"), F.lit(True).alias("_new"))
     status = (
@@ -48,7 +48,7 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: Sequence[str], digest: st
         .when(F.col("old_hash").eqNullSafe(F.col("new_hash")), "equal")
         .otherwise("changed")
     )
-    return a.join(b, list(key), "full_outer").select(*key, "old_hash", "new_hash", status.alias("status"))
+    return null_safe_join(a, b, key, "full_outer").select(*key, "old_hash", "new_hash", status.alias("status"))
 
 
 def freshness(expected: DataFrame, actual: DataFrame, key: Sequence[str], content: str) -> DataFrame:
@@ -61,8 +61,8 @@ def freshness(expected: DataFrame, actual: DataFrame, key: Sequence[str], conten
         F.lit(True).alias("_found"),
     )
     return (
-        a.join(b, list(key), "left")
-        .withColumn("status", F.when(F.col("_found").isNull(), "missing").when(F.col("_e") != F.col("_a"), "stale"))
+        null_safe_join(a, b, key, "left")
+        .withColumn("status", F.when(F.col("_found").isNull(), "missing").when(~F.col("_e").eqNullSafe(F.col("_a")), "stale"))
         .filter("status is not null")
         .select(*key, "status", "expected_bytes", "actual_bytes")
     )
@@ -102,7 +102,7 @@ def same_identity(manifests: DataFrame, artifact: DataFrame, fields: Sequence[st
 
 
 def missing_members(required: DataFrame, actual: DataFrame, key: Sequence[str]) -> DataFrame:
-    return required.select(*key).distinct().join(actual.select(*key).distinct(), list(key), "left_anti")
+    return null_safe_join(required.select(*key).distinct(), actual.select(*key).distinct(), key, "left_anti")
 
 
 def set_diff(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -127,7 +127,7 @@ def reconcile(planned: DataFrame, executed: DataFrame, key: str) -> DataFrame:
     b = executed.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_executed"), F.count_if("not_passed").alias("n_not_passed")
     )
-    counts = a.join(b, key, "full_outer").na.fill(0, ["n_planned", "n_executed", "n_not_passed"])
+    counts = null_safe_join(a, b, [key], "full_outer").na.fill(0, ["n_planned", "n_executed", "n_not_passed"])
     problem = (
         F.when(F.col("n_planned") == 0, "unplanned")
         .when(F.col("n_planned") > 1, "planned twice")
@@ -154,7 +154,7 @@ def union_distinct(*frames: DataFrame) -> DataFrame:
 
 def append_absent(base: DataFrame, extra: DataFrame, key: Sequence[str]) -> DataFrame:
     """``base`` and, once each, the members of ``extra`` it lacks."""
-    new = extra.dropDuplicates(list(key)).join(base.select(*key).distinct(), list(key), "left_anti")
+    new = null_safe_join(extra.dropDuplicates(list(key)), base.select(*key).distinct(), key, "left_anti")
     return base.unionByName(new)
 
 

@@ -1,12 +1,14 @@
 """Case-sensitive substring search over a rebuildable trigram index.
 
 The index only narrows the documents to compare. A scan of all texts gives the
-same answer and stands in whenever the index cannot be trusted. Nothing that
-answers a query writes.
+same answer and stands in whenever the index cannot be trusted: it is missing, its
+fence is not the current revision, or it does not hold as many postings as it was
+made with. Nothing that answers a query writes.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,22 @@ def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     postings.sortWithinPartitions("gram", key).write.parquet(path)
 
 
+def index_identity(index: DataFrame, fence) -> DataFrame:
+    """The row that tells later whether an index is whole and of which revision it is."""
+    return index.agg(F.lit(fence).cast("bigint").alias("core_revision_fence"), F.count(F.lit(1)).alias("n_postings"))
+
+
+def build_generation(docs: DataFrame, root: str, generation: int, kind: str, fence, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Write a generation's index below ``root`` and return its row, ready for use."""
+    path = f"{root}/{kind}-{generation}"
+    write_index(docs, path, key, text)
+    row = index_identity(docs.sparkSession.read.parquet(path), fence)
+    return row.select(
+        F.lit(generation).cast("bigint").alias("index_generation_id"), F.lit(kind).alias("kind"), F.lit("ready").alias("state"),
+        "core_revision_fence", "n_postings", F.lit(path).alias("path"),
+    )
+
+
 def direct_scan(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
     return docs.filter(F.col(text).contains(query))
 
@@ -54,7 +72,8 @@ def trigram_search(index: DataFrame, docs: DataFrame, query: str, key: str = "do
     wanted = sorted({query[i : i + GRAM] for i in range(len(query) - GRAM + 1)})
     if not wanted:
         return direct_scan(docs, query, text)
-    hits = index.filter(F.col("gram").isin(wanted)).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    # Different grams count: an id that comes twice has some of its postings twice.
+    hits = index.filter(F.col("gram").isin(wanted)).groupBy(key).agg(F.size(F.collect_set("gram")).alias("_n"))
     candidates = hits.filter(F.col("_n") == len(wanted)).select(key)
     return direct_scan(docs.join(candidates, key, "left_semi"), query, text)
 
@@ -88,22 +107,55 @@ def illegal_transitions(history: DataFrame, key: str, position: str, **options)
     return steps.filter(F.col("next_state").isNotNull() & ~F.coalesce(move == 1, F.lit(False)))
 
 
+def _distrust(query: str, index: DataFrame | None, identity: DataFrame | None, core: DataFrame | None, key: str) -> str | None:
+    """Why the index cannot answer, or None. Reads one row of the identity."""
+    if index is None or identity is None or core is None:
+        return "index missing"
+    if len(query) < GRAM:
+        return "query too short"
+    rows = index_stale(identity, core).limit(2).collect()
+    if not rows:
+        return "index missing"
+    if len(rows) > 1:
+        return "index corrupt"
+    if rows[0]["stale"]:
+        return "index stale"
+    if not {"gram", key} <= set(index.columns):
+        return "index corrupt"
+    if "n_postings" in identity.columns and index.count() != rows[0]["n_postings"]:
+        return "index corrupt"
+    return None
+
+
 def search(docs: DataFrame, query: str, index: DataFrame | None, identity: DataFrame | None, core: DataFrame | None,
            key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Answer from the index when it is present and fresh, else by scanning; the
-    answer is the same and carries why the scan was needed."""
-    reason = None
-    if index is None or identity is None or core is None:
-        reason = "index missing"
-    elif len(query) < GRAM:
-        reason = "query too short"
-    else:
-        row = index_stale(identity, core).select("stale").first()
-        if row is None:
-            reason = "index missing"
-        elif row["stale"]:
-            reason = "index stale"
-        elif not {"gram", key} <= set(index.columns):
-            reason = "index corrupt"
+    """Answer from the index when it is present, fresh and whole, else by scanning; the
+    answer is the same and carries why the scan was needed.
+
+    ``identity`` holds core_revision_fence and, as ``index_identity`` gives it,
+    n_postings: an index that has lost or gained a posting is not used.
+    """
+    reason = _distrust(query, index, identity, core, key)
     found = trigram_search(index, docs, query, key, text) if reason is None else direct_scan(docs, query, text)
     return found.withColumn("fallback_reason", F.lit(reason).cast("string"))
+
+
+def search_ready(docs: DataFrame, query: str, generations: DataFrame, kind: str, core: DataFrame,
+                 key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Answer from the newest ready generation of ``kind``, under its own fence.
+
+    ``generations`` holds the rows of ``build_generation``. A generation whose files
+    are gone or cannot be read gives the scan's answer with the reason.
+    """
+    spark = docs.sparkSession
+    ready = generations.filter(F.col("kind") == kind).join(ready_generation(generations), ["kind", "index_generation_id"], "left_semi")
+    row = ready.filter("state = 'ready'").limit(1).collect()
+    index = identity = None
+    if row:
+        identity = ready.select("core_revision_fence", "n_postings")
+        try:
+            index = spark.read.parquet(row[0]["path"])
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    return search(docs, query, index, identity, core, key, text)

@@ -260,31 +260,35 @@ def ancestry(parents: DataFrame, heads: DataFrame) -> DataFrame:
     return out.select(F.col("origin").alias("head"), F.col("node").alias("ancestor"), F.col("hops").cast("int").alias("depth"))
 
 
-# No path a file system takes nests this deep; only a tree that contains itself does.
-MAX_LEVELS = 4096
-
-
 def flatten_tree(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """Full path of every leaf below each root.
 
     ``entries`` holds tree, name and child; ``roots`` holds root (a tree). One
-    round per level; a subtree shared by several trees appears below each.
+    round per level, however deep; a subtree shared by several trees appears below
+    each. A path keeps the trees it has come through, so one that comes back to any
+    of them is an error as soon as it does.
     """
     entries = cut(entries.select("tree", "name", "child"))
     trees = cut(entries.select("tree").distinct())
     frontier = roots.select("root", F.col("root").alias("tree"), F.lit("").alias("prefix")).distinct()
+    frontier = frontier.withColumn("above", F.array("tree"))
     levels = Pieces()
+    inner = trees.select(F.col("tree").alias("child"), F.lit(True).alias("_tree"))
     while True:
         here = lookup_join(entries, frontier, ["tree"], "inner", ["name"])
-        found = here.select("root", F.col("child"), F.concat("prefix", "name").alias("path"))
-        inner = trees.select(F.col("tree").alias("child"), F.lit(True).alias("_tree"))
-        marked = levels.add(lookup_join(found, inner, ["child"], "left", ["path"]))
+        found = here.select("root", F.col("child"), F.concat("prefix", "name").alias("path"), "above")
+        seen = lookup_join(found, inner, ["child"], "left", ["path"])
+        marked = levels.add(
+            seen.withColumn("_round", F.col("_tree") & F.array_contains("above", F.col("child")))
+            .withColumn("above", F.when(F.col("_tree"), F.array_append("above", F.col("child"))))
+        )
         deeper = marked.filter("_tree")
-        if deeper.isEmpty():
-            return levels.all().filter("_tree is null").select("root", "path", F.col("child").alias("leaf"))
-        if len(levels.paths) == MAX_LEVELS:
+        state = deeper.agg(F.count(F.lit(1)).alias("n"), F.max("_round").alias("cycle")).first()
+        if state["cycle"]:
             raise ValueError("The trees form a cycle")
-        frontier = deeper.select("root", F.col("child").alias("tree"), F.concat("path", F.lit("/")).alias("prefix"))
+        if not state["n"]:
+            return levels.all().filter("_tree is null").select("root", "path", F.col("child").alias("leaf"))
+        frontier = deeper.select("root", F.col("child").alias("tree"), F.concat("path", F.lit("/")).alias("prefix"), "above")
 
 
 def manifest_gaps(flat: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -302,21 +306,31 @@ def peel(refs: DataFrame, tags: DataFrame) -> DataFrame:
     """Each ref with the first object behind its target that is no tag.
 
     ``tags`` holds oid, target_oid and target_type, ``refs`` holds ref and
-    target_oid. A chain that ends at a tag which is not there peels to null.
+    target_oid. An id names an object within its format: both may hold
+    object_format, and tags target_format (their own where it is null). A chain that
+    ends at a tag which is not there peels to null.
     """
-    ends = follow(tags.select(F.col("oid").alias("node"), F.col("target_oid").alias("next")))
+    own = F.col("object_format") if "object_format" in tags.columns else F.lit(None).cast("string")
+    next_format = F.coalesce("target_format", own) if "target_format" in tags.columns else own
+    ref_format = F.col("object_format") if "object_format" in refs.columns else F.lit(None).cast("string")
+
+    def name(form, oid):
+        # A null format is a format of its own.
+        return F.struct(F.coalesce(form, F.lit("")).alias("format"), F.col(oid).alias("oid"))
+
+    links = tags.select(name(own, "oid").alias("node"), name(next_format, "target_oid").alias("next"), "target_type")
+    ends = follow(links.select("node", "next"))
     lost = (
-        tags.filter("target_type = 'tag'")
-        .select(F.col("target_oid").alias("last"))
+        links.filter("target_type = 'tag'")
+        .select(F.col("next").alias("last"))
         .distinct()
-        .join(tags.select(F.col("oid").alias("last")), "last", "left_anti")
+        .join(links.select(F.col("node").alias("last")), "last", "left_anti")
         .withColumn("_lost", F.lit(True))
     )
-    known = lookup_join(ends, lost, ["last"], "left", ["node"]).select(
-        F.col("node").alias("target_oid"), "last", "hops", "_lost"
-    )
-    return lookup_join(refs, known, ["target_oid"], "left", ["ref"]).select(
+    known = lookup_join(ends, lost, ["last"], "left", ["node"]).select(F.col("node").alias("_node"), "last", "hops", "_lost")
+    out = lookup_join(refs.withColumn("_node", name(ref_format, "target_oid")), known, ["_node"], "left", ["ref"])
+    return out.select(
         *refs.columns,
-        F.when(F.col("_lost").isNull(), F.coalesce("last", "target_oid")).alias("peeled_oid"),
+        F.when(F.col("_lost").isNull(), F.coalesce("last.oid", "target_oid")).alias("peeled_oid"),
         F.coalesce("hops", F.lit(0)).alias("n_tags"),
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +65,7 @@ def link_audit(pages: DataFrame) -> DataFrame:
     return broken.select("page_id", "link_no", "host", "target", F.col("file").alias("resolved"))
 
 
+# Which links of a markdown text count.
 MD_LINK = r"!?\[[^\]]*\]\([^\s)]+\)"
 MD_PARTS = r"(?s)^(!?\[[^\]]*\]\()([^\s)]+)\)\z"
 
@@ -75,14 +79,18 @@ def rewrite_links(
     text: str = "text",
     home: str = "",
     aliases: DataFrame | None = None,
+    bases: Sequence[tuple[str, str]] = (),
+    moved_prefix: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Rewrite the links of markdown texts.
 
     A relative target is read from the folder of ``source``. Found in
     ``link_map(path, published)`` it becomes a path from ``home``; otherwise it
-    points to ``external_base``. Query and fragment stay. External, absolute and
-    empty targets stay as they are. ``aliases(old_key, new_key)`` renames
-    resolved paths before the lookup.
+    points to ``external_base``, or to the base of the first of ``bases`` (pattern of
+    paths, base) that fits. Query and fragment stay. External, absolute and empty
+    targets stay as they are, but a target that begins with the first of
+    ``moved_prefix`` begins with the second instead. ``aliases(old_key, new_key)``
+    renames resolved paths before the lookup.
     """
     found = F.regexp_extract_all(text, F.lit(MD_LINK), F.lit(0))
     links = docs.select(key, source, F.posexplode(found).alias("pos", "link")).select(
@@ -102,14 +110,25 @@ def rewrite_links(
             .drop("new_key")
         )
     moved = lookup_join(moving, link_map.select("path", "published"), ["path"], "left", [key, "pos"])
+    base = F.lit(external_base)
+    for pattern, other in reversed(bases):
+        base = F.when(F.col("path").rlike(pattern), F.lit(other)).otherwise(base)
     url = F.when(F.col("published").isNotNull(), relative_path(F.col("published"), F.lit(home))).otherwise(
-        F.concat(F.lit(external_base), F.col("path"))
+        F.concat(base, F.col("path"))
     )
     new = F.concat(F.col("_open"), url, link_tail("target"), F.lit(")"))
+    changed = moved.select(key, F.struct("pos", new.alias("link")).alias("_l"))
+    if moved_prefix is not None:
+        before, after = moved_prefix
+        if not re.match(r"[/]|[A-Za-z][A-Za-z0-9+.\-]*:", before):
+            raise ValueError("Only an absolute prefix can move")
+        renamed = links.filter(F.col("target").startswith(before)).select(
+            key, F.struct("pos", F.concat("_open", F.lit(after), F.substring("target", len(before) + 1, 1 << 30), F.lit(")")).alias("link")).alias("_l")
+        )
+        changed = changed.unionByName(renamed)
     # A text's links are gathered again; they came from one row and fit in one.
     per_doc = (
-        moved.select(key, F.struct("pos", new.alias("link")).alias("_l"))
-        .groupBy(key)
+        changed.groupBy(key)
         .agg(F.map_from_entries(F.array_agg("_l")).alias("_new"))
     )
     pieces = F.split(F.col(text), MD_LINK, -1)

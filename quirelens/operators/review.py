@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 from quirelens.functions.text import grams, inner_words, word_run_hashes, word_runs, words
 from quirelens.plans.frames import union_all
 from quirelens.plans.lineage import cut
-from quirelens.plans.skew import fits_broadcast, lookup_join
+from quirelens.plans.skew import lookup_join
 
-# The two reason texts.
+# The two reason texts, and what an unknown acknowledgement is called.
+UNKNOWN = "Not a previously pending review path"
 FIRST_RUN = "Initial or unavailable baseline: review applicability manually"
 CHANGED = "Changed source: "
 
@@ -32,13 +33,11 @@ def _marks(text: str, way: str) -> Column:
     return F.transform(grams(text, int(way)), lambda g: F.xxhash64(g))
 
 
-def _anchors(sources: DataFrame, key: str, text: str) -> DataFrame:
-    """One anchor per source: something every text that contains it must hold.
+def _offers(sources: DataFrame, key: str, text: str) -> DataFrame:
+    """The marks each source offers as its anchor: _source, way, length and mark.
 
     Words cut by the source's own ends are left out, since they may be parts of
-    longer words in a page. Of the marks a source offers, the one fewest sources
-    share is taken, the longest among those, so that common words do not bring
-    many sources and many pages together.
+    longer words in a page.
     """
     size = F.char_length("_text")
     staged = sources.select(F.col(key).alias("_source"), F.col(text).alias("_text")).filter(size > 0)
@@ -53,11 +52,26 @@ def _anchors(sources: DataFrame, key: str, text: str) -> DataFrame:
         hashes = F.transform(grams("_text", n), lambda g: F.struct(F.lit(n).alias("length"), F.xxhash64(g).alias("hash")))
         pick = pick.when(size >= n, offer(str(n), hashes))
     offers = staged.select("_source", pick.alias("p")).select("_source", "p.way", F.explode("p.marks").alias("m"))
-    offers = cut(offers.select("_source", "way", "m.length", F.col("m.hash").alias("mark")))
+    return cut(offers.select("_source", "way", "m.length", F.col("m.hash").alias("mark")))
+
+
+def _anchors(sources: DataFrame, key: str, text: str, offers: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
+    """One anchor per source: something every text that contains it must hold.
+
+    Of the marks a source offers, the one fewest pages hold is taken (``hits`` has
+    way, mark and page), then the one fewest sources share, the longest among those,
+    so that common words do not bring many sources and many pages together.
+    """
+    offers = _offers(sources, key, text) if offers is None else offers
     shared = offers.groupBy("way", "mark").agg(F.count(F.lit(1)).alias("n"))
-    best = F.min(F.struct("n", (-F.col("length")).alias("l"), "mark"))["mark"]
+    if hits is None:
+        known = shared.withColumn("pages", F.lit(0).cast("bigint"))
+    else:
+        held = hits.groupBy("way", "mark").agg(F.count(F.lit(1)).alias("pages"))
+        known = shared.join(held, ["way", "mark"], "left").na.fill(0, ["pages"])
+    best = F.min(F.struct("pages", "n", (-F.col("length")).alias("l"), "mark"))["mark"]
     return (
-        lookup_join(offers, shared, ["way", "mark"], "inner", ["_source"])
+        lookup_join(offers, known, ["way", "mark"], "inner", ["_source"])
         .groupBy("_source", "way")
         .agg(best.alias("mark"))
     )
@@ -73,28 +87,33 @@ def text_dependents(
 ) -> DataFrame:
     """(source, page) where the page's text contains the source's text.
 
-    Page texts are read once and meet the sources on equal anchors; only pairs
-    that share one are compared as texts. Hashes keep the exploded rows narrow; a
-    collision only adds a pair to compare. Empty source texts name nothing.
+    Page texts are read once for their marks, of which only those that a source
+    offers are kept, and once more for the pages that share a source's anchor; there
+    the pairs bring the short source texts along. Hashes keep the exploded rows
+    narrow; a collision only adds a pair to compare. Empty source texts name nothing.
     """
-    anchors = cut(_anchors(sources, source_key, source_text))
-    ways = sorted(r["way"] for r in anchors.select("way").distinct().collect())
-    found = []
-    for way in ways:
-        marks = F.array_distinct(_marks(page_text, way))
-        rows = pages.select(F.col(page_key).alias("_page"), F.explode(marks).alias("mark"))
-        wanted = anchors.filter(F.col("way") == way).select("_source", "mark")
-        found.append(lookup_join(rows, wanted, ["mark"], "inner", ["_page"]).select("_source", "_page"))
+    offers = _offers(sources, source_key, source_text)
+    wanted = cut(offers.select("way", "mark").distinct())
+    # At most one row per way of marking a text.
+    ways = sorted(r["way"] for r in wanted.select("way").distinct().collect())
     key_types = [sources.schema[source_key].dataType, pages.schema[page_key].dataType]
-    if not found:
+    if not ways:
         schema = T.StructType([T.StructField(source_key, key_types[0]), T.StructField(page_key, key_types[1])])
         return pages.sparkSession.createDataFrame([], schema)
-    # Written down so that its true size decides how the long texts are fetched.
-    pairs = cut(union_all(found))
+
+    def tagged(way):
+        marks = F.array_distinct(F.coalesce(_marks(page_text, way), F.array().cast("array<bigint>")))
+        return F.transform(marks, lambda m: F.struct(F.lit(way).alias("way"), m.alias("mark")))
+
+    marks = pages.select(F.col(page_key).alias("_page"), F.explode(F.concat(*[tagged(w) for w in ways])).alias("m"))
+    hits = cut(lookup_join(marks.select("_page", "m.way", "m.mark"), wanted, ["way", "mark"], "left_semi", ["_page"]))
+    anchors = cut(_anchors(sources, source_key, source_text, offers, hits))
+    pairs = lookup_join(hits, anchors, ["way", "mark"], "inner", ["_page"]).select("_source", "_page")
     needles = sources.select(F.col(source_key).alias("_source"), F.col(source_text).alias("_needle"))
+    # Written down so that its true size decides how the long texts are fetched.
+    near = cut(lookup_join(pairs, needles, ["_source"], "inner", ["_page"]))
     texts = pages.select(F.col(page_key).alias("_page"), F.col(page_text).alias("_text"))
-    near = lookup_join(texts, pairs, ["_page"], "inner", ["_page"]) if fits_broadcast(pairs) else pairs.join(texts, "_page")
-    checked = lookup_join(near, needles, ["_source"], "inner", ["_page"])
+    checked = near.join(texts, "_page")
     return checked.filter(F.col("_text").contains(F.col("_needle"))).select(
         F.col("_source").alias(source_key), F.col("_page").alias(page_key)
     )
@@ -125,12 +144,11 @@ class Impact:
 
     def counts(self) -> DataFrame:
         """Pending pages with the number of their reasons and the first of them."""
-        every = self.everywhere.agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("first"))
-        n_every = every.select("n").scalar()
-        first_every = every.select("first").scalar()
+        every = self.everywhere.agg(F.struct(F.count(F.lit(1)).alias("n"), F.min("source").alias("first")).alias("e")).scalar()
+        n_every, first_every = every["n"], every["first"]
         per_rule = self.rule_sources.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("first"))
         by_rule = (
-            self.rule_pages.join(F.broadcast(per_rule), "rule")  # one row per rule
+            self.rule_pages.join(per_rule, "rule")
             .groupBy("page")
             .agg(F.sum("n").alias("n_rule"), F.min("first").alias("first_rule"))
         )
@@ -181,8 +199,10 @@ def rule_dependents(
     ruled = sources.select(F.col(source_key).alias("source"), rule.alias("rule"))
     classes = F.array_compact(F.array(*[F.when(r.page(), F.lit(r.name)) for r in rules]))
     rule_pages = pages.select(F.explode(classes).alias("rule"), F.col(page_key).alias("page"))
-    matches = text_dependents(sources, pages, source_key, source_text, page_key, page_text).select(
-        F.col(source_key).alias("source"), F.col(page_key).alias("page")
+    matches = cut(
+        text_dependents(sources, pages, source_key, source_text, page_key, page_text).select(
+            F.col(source_key).alias("source"), F.col(page_key).alias("page")
+        )
     )
     everywhere = (
         ruled.filter("rule is null").select("source").join(matches.select("source").distinct(), "source", "left_anti")
@@ -218,7 +238,7 @@ def update_pending(pending: DataFrame, acknowledged: DataFrame, reasons: DataFra
     """
     unknown = unknown_acknowledgements(pending, acknowledged).limit(1).collect()
     if unknown:
-        raise ValueError(f"Not a previously pending review path: {unknown[0]['page']}")
+        raise ValueError(f"{UNKNOWN}: {unknown[0]['page']}")
     done = acknowledged.select("page").distinct()
     left = lookup_join(pending.select("page", "reason"), done, ["page"], "left_anti", ["reason"])
     return merge_reasons(left, reasons)

@@ -16,7 +16,7 @@ def name_or_member(name: str, members: str, query: str) -> Column:
     if not q:
         return F.lit(True)
     return F.coalesce(
-        F.lower(name).contains(q) | F.exists(members, lambda m: F.lower(m).contains(q)), F.lit(False)
+        F.lower(name).contains(q) | F.coalesce(F.exists(members, lambda m: F.lower(m).contains(q)), F.lit(False)), F.lit(False)
     )
 
 
@@ -37,8 +37,8 @@ def search_fields(
 
 
 def search_records(df: DataFrame, query: str) -> DataFrame:
-    """Lowered query anywhere in the record's JSON."""
-    return df.filter(F.lower(F.to_json(F.struct("*"))).contains(query.lower()))
+    """Lowered query anywhere in the record's JSON, which keeps null fields."""
+    return df.filter(F.lower(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).contains(query.lower()))
 
 
 def match_counts(df: DataFrame, predicate: Column, *group: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Windows over groups of any size.
 
 ``latest`` needs one row per key, so a rank filter lets every map task keep its
-best row before the shuffle. ``next_in_group`` needs real neighbours: groups are
-sorted in one task each while they are small, and cut into range chunks with a
-stitch between chunks once the largest group is not.
+best row before the shuffle. ``next_in_group`` needs real neighbours: rows are cut
+into ranges by key and order, so that a group of any size spreads over tasks, with a
+stitch between the ranges.
 """
 
 from __future__ import annotations
@@ -15,14 +15,6 @@ from pyspark.sql import functions as F
 
 from quirelens.plans.lineage import cut
 
-GROUP_ROWS = 5_000_000
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the biggest group; counts are combined before the shuffle."""
-    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
-    return row["n"] or 0
-
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """The first row of each key under ``order``, which should be total."""
@@ -36,32 +28,27 @@ def next_in_group(
     order: Sequence[str],
     columns: Sequence[str],
     prefix: str = "next_",
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Add, for every row, ``columns`` of the following row of its group.
 
     ``order`` is ascending and total inside a group. The last row of a group gets
-    nulls.
+    nulls. ``group_rows`` sets how many rows a range is to hold; without it the
+    session's number of shuffle partitions does.
     """
     keys, order, columns = list(keys), list(order), list(columns)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    if largest_group(df, keys) <= group_rows:
-        ahead = df.withColumn("_ahead", F.lead(F.struct(*columns)).over(w))
-    else:
-        ahead = _chunked_lead(df, keys, order, columns)
+    ahead = _chunked_lead(df, keys, order, columns, group_rows)
     return ahead.select(
         *df.columns, *[F.col("_ahead")[c].alias(prefix + c) for c in columns]
     )
 
 
-def _chunked_lead(df, keys, order, columns) -> DataFrame:
+def _chunked_lead(df, keys, order, columns, rows: int | None) -> DataFrame:
     # Range partitioning on key and order splits a hot key by its order. The chunk
     # number is written down, so both uses below read the same one.
-    chunked = cut(
-        df.repartitionByRange(*[F.col(c) for c in keys + order]).withColumn(
-            "_chunk", F.spark_partition_id()
-        )
-    )
+    by = [F.col(c) for c in keys + order]
+    ranged = df.repartitionByRange(*by) if rows is None else df.repartitionByRange(-(-max(1, df.count()) // rows), *by)
+    chunked = cut(ranged.withColumn("_chunk", F.spark_partition_id()))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_chunk")
     # One row per key and chunk: a key never has more of them than there are chunks.

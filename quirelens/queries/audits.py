@@ -114,9 +114,18 @@ def _profile_sql(name, child, parent, c, p):
       FROM (SELECT {c} AS k, count(*) AS n FROM {child} WHERE {c} IS NOT NULL GROUP BY 1)"""
 
 
-@query("relationship_profile", "\nUNION ALL ".join(_profile_sql(*r) for r in REFERENCE_SQL))
+TURN_PROFILE_SQL = """SELECT 'turn_previous' AS reference, (SELECT count(*) FROM conversations) AS child_rows,
+      (SELECT count(*) FROM conversations WHERE turn = 0) AS null_rows, count(*) AS used_parents,
+      CASE WHEN (SELECT count(*) FROM conversations WHERE turn = 0) = 0 THEN 'exactly one' ELSE 'zero or one' END AS parent_side,
+      CASE WHEN coalesce(max(n), 0) <= 1 THEN 'zero or one' ELSE 'many' END AS child_side,
+      (SELECT count(*) FROM conversations p WHERE NOT EXISTS (SELECT 1 FROM conversations c
+        WHERE c.turn > 0 AND c.conv_id = p.conv_id AND c.turn - 1 = p.turn)) AS childless_parents
+      FROM (SELECT count(*) AS n FROM conversations WHERE turn > 0 GROUP BY conv_id, turn)"""
+
+
+@query("relationship_profile", "\nUNION ALL ".join([*[_profile_sql(*r) for r in REFERENCE_SQL], TURN_PROFILE_SQL]))
 def relationship_profile(spark, sf):
-    return audit.relationship_profile(references(spark, sf)[:-1])
+    return audit.relationship_profile(references(spark, sf))
 
 
 def trade_edges(spark, sf):

@@ -125,19 +125,20 @@ def available_objects(spark, sf):
 
 @query(
     "available_acquisitions",
-    f"""WITH {AVAILABLE_SQL} SELECT DISTINCT source AS git_acquisition_id FROM documents WHERE source NOT IN
-    (SELECT source FROM documents JOIN labels USING (doc_id) WHERE lang = 'fr' AND doc_id NOT IN (SELECT git_object_id FROM avail))""",
+    f"""WITH {AVAILABLE_SQL}, g AS (SELECT doc_id, source || '/' || lang || '/' || doc_id % 7 AS id FROM documents)
+    SELECT DISTINCT id AS git_acquisition_id FROM g WHERE id NOT IN
+    (SELECT id FROM g JOIN labels USING (doc_id) WHERE doc_id NOT IN (SELECT git_object_id FROM avail))""",
 )
 def available_acquisitions(spark, sf):
+    name = F.concat_ws("/", "source", "lang", (F.col("doc_id") % 7).cast("string")).alias("git_acquisition_id")
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     objects = catalog.available_objects(*_git_tables(spark, sf)).select(
         F.lit("id").alias("object_format"), F.col("git_object_id").alias("oid")
     )
-    roots = docs.filter("lang = 'fr'").join(labels.select("doc_id"), "doc_id", "left_semi").select(
-        F.col("source").alias("git_acquisition_id"), F.lit("id").alias("object_format"), F.col("doc_id").alias("oid")
+    roots = docs.join(labels.select("doc_id"), "doc_id", "left_semi").select(
+        name, F.lit("id").alias("object_format"), F.col("doc_id").alias("oid")
     )
-    acquisitions = docs.select(F.col("source").alias("git_acquisition_id")).distinct()
-    return catalog.available_acquisitions(acquisitions, roots, objects)
+    return catalog.available_acquisitions(docs.select(name).distinct(), roots, objects)
 
 
 def _snapshots(spark, sf):
@@ -293,9 +294,9 @@ def relation_staging(spark, sf):
 @query(
     "collection_status",
     """WITH p AS (SELECT conv_id, count(*) AS n_pages, max(turn) - min(turn) + 1 > count(DISTINCT turn) OR count(*) > count(DISTINCT turn) AS gap,
-        max_by(role = 'user', turn) AS more FROM conversations WHERE length(text) > 60 GROUP BY 1),
-    a AS (SELECT conv_id, role AS member, count(*) AS n FROM conversations WHERE length(text) > 60 GROUP BY 1, 2),
-    b AS (SELECT conv_id, role AS member, count(*) AS m FROM conversations WHERE turn < 4 GROUP BY 1, 2),
+        max_by(role = 'user', turn) AS more FROM conversations GROUP BY 1),
+    a AS (SELECT conv_id, role AS member, count(*) AS n FROM conversations GROUP BY 1, 2),
+    b AS (SELECT conv_id, CASE WHEN turn % 5 = 4 THEN 'user' ELSE role END AS member, count(*) AS m FROM conversations GROUP BY 1, 2),
     o AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, count(*) AS n FROM a FULL JOIN b
       ON a.conv_id = b.conv_id AND a.member = b.member WHERE n IS DISTINCT FROM m GROUP BY 1)
     SELECT conv_id, n_pages, coalesce(o.n, 0) AS n_unreconciled, CASE WHEN gap THEN 'page gap' WHEN more THEN 'unfinished'
@@ -303,10 +304,9 @@ def relation_staging(spark, sf):
 )
 def collection_status(spark, sf):
     rows = table(spark, sf, "conversations")
-    seen = rows.filter("char_length(text) > 60")
-    pages = seen.select("conv_id", F.col("turn").alias("ordinal"), (F.col("role") == "user").cast("int").alias("has_next"))
-    members = seen.select("conv_id", F.col("role").alias("member"))
-    expected = rows.filter("turn < 4").select("conv_id", F.col("role").alias("member"))
+    pages = rows.select("conv_id", F.col("turn").alias("ordinal"), (F.col("role") == "user").cast("int").alias("has_next"))
+    members = rows.select("conv_id", F.col("role").alias("member"))
+    expected = rows.select("conv_id", F.when(F.col("turn") % 5 == 4, "user").otherwise(F.col("role")).alias("member"))
     return catalog.collection_status(pages, members, expected, "conv_id")
 
 
@@ -342,9 +342,8 @@ def attempt_status(spark, sf):
     attempts = lines.groupBy(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("attempt")).agg(
         F.max("l_returnflag").alias("state"), F.min("us").alias("created_at_us"), F.max("us").alias("not_before_us")
     )
-    last = attempts.groupBy("job_id").agg(F.max("attempt").alias("current_attempt"))
     jobs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("kind"))
-    return catalog.attempt_status(jobs.join(last, "job_id", "left"), attempts)
+    return catalog.attempt_status(jobs, attempts)
 
 
 @query(

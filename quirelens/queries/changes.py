@@ -142,9 +142,8 @@ def manifest_identity(spark, sf):
 
 @query(
     "multiset_reconcile",
-    """WITH a AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'signup' AND value < 10 GROUP BY 1),
-    b AS (SELECT user_id, count(*) AS n, count(*) FILTER (value > 60) AS bad FROM events
-      WHERE event_type = 'purchase' AND value > 20 GROUP BY 1),
+    """WITH a AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1),
+    b AS (SELECT o_custkey AS user_id, count(*) AS n, count(*) FILTER (o_orderstatus = 'P') AS bad FROM orders GROUP BY 1),
     c AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.n, 0) AS n_planned, coalesce(b.n, 0) AS n_executed,
       coalesce(bad, 0) AS n_not_passed FROM a FULL JOIN b ON a.user_id = b.user_id)
     SELECT * FROM (SELECT *, CASE WHEN n_planned = 0 THEN 'unplanned' WHEN n_planned > 1 THEN 'planned twice'
@@ -152,20 +151,22 @@ def manifest_identity(spark, sf):
       WHEN n_not_passed > 0 THEN 'not passed' END AS problem FROM c) WHERE problem IS NOT NULL""",
 )
 def multiset_reconcile(spark, sf):
-    events = table(spark, sf, "events")
-    planned = events.filter("event_type = 'signup' and value < 10").select("user_id")
-    done = events.filter("event_type = 'purchase' and value > 20").select("user_id", (F.col("value") > 60).alias("not_passed"))
+    """Events of users as planned, orders of customers as executed."""
+    planned = table(spark, sf, "events").select("user_id")
+    done = table(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"), (F.col("o_orderstatus") == "P").alias("not_passed"))
     return diff.reconcile(planned, done, "user_id")
 
 
 DAY_SETS_SQL = """
-a AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'click'),
-b AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase')"""
+a AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events),
+b AS (SELECT DISTINCT o_custkey AS user_id, CAST(o_orderdate AS DATE) AS day FROM orders)"""
 
 
 def _day_sets(spark, sf):
-    events = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
-    return [events.filter(F.col("event_type") == k).select("user_id", "day") for k in ("click", "purchase")]
+    """Days on which a user has events, and days on which the customer of that number orders."""
+    events = table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day"))
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"), F.to_date("o_orderdate").alias("day"))
+    return events, orders
 
 
 @query(
@@ -214,12 +215,16 @@ def size_guard(spark, sf):
 
 @query(
     "file_census",
-    """SELECT source || '/' || doc_id AS path, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS byte_length,
-      starts_with(text, 'SQLite format 3' || chr(0)) AS refused FROM documents""",
+    """SELECT source || '/' || doc_id AS path, CASE WHEN lang = 'de' THEN 493 ELSE 420 END AS mode, sha256(text) AS sha256,
+      CAST(strlen(text) AS BIGINT) AS byte_length, starts_with(text, 'SQLite format 3' || chr(0)) OR lang = 'de' AS refused FROM documents""",
 )
 def file_census(spark, sf):
-    docs = table(spark, sf, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
-    return census(docs, "path", "text")
+    """The documents as files, German ones executable."""
+    mode = F.when(F.col("lang") == "de", 0o755).otherwise(0o644)
+    docs = table(spark, sf, "documents").select(
+        F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text", mode.alias("mode")
+    )
+    return census(docs, "path", "text", mode="mode")
 
 
 @query(
@@ -289,12 +294,12 @@ def impact_review(spark, sf):
     "impact_reasons",
     f"""WITH {IMPACT_SQL} SELECT CAST(NULL AS BIGINT) AS page, 'Changed source: ' || item_id AS reason FROM s
       WHERE rule IS NULL AND item_id NOT IN (SELECT item_id FROM hits)
-    UNION ALL SELECT doc_id, 'Changed source: ' || item_id FROM reasons JOIN labels USING (doc_id)
-      WHERE toxic = 1 AND item_id NOT IN (SELECT item_id FROM s WHERE rule IS NULL AND item_id NOT IN (SELECT item_id FROM hits))""",
+    UNION ALL SELECT doc_id, 'Changed source: ' || item_id FROM reasons
+      WHERE item_id NOT IN (SELECT item_id FROM s WHERE rule IS NULL AND item_id NOT IN (SELECT item_id FROM hits))""",
 )
 def impact_reasons(spark, sf):
-    toxic = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("page"))
-    return _impact(spark, sf).reasons(toxic)
+    impact = _impact(spark, sf)
+    return impact.reasons(impact.pages)
 
 
 def _reasons(spark, sf, flag, text):

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from quirelens.operators import catalog, graph
+from quirelens.plans.frames import union_all
+from quirelens.plans.lineage import cut
 from quirelens.queries.audits import TRADE_SQL, trade_edges, trade_nodes
 from quirelens.queries.registry import query
 from quirelens.session import table
@@ -29,7 +31,7 @@ def _nation_edges(spark, sf):
     pairs = trade_edges(spark, sf).select("source", "target").distinct()
     nodes = trade_nodes(spark, sf)
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("group"), "n_name", "n_regionkey")
-    named = nodes.join(F.broadcast(nations), "group").select("node", "n_name", "n_regionkey")
+    named = nodes.join(nations, "group").select("node", "n_name", "n_regionkey")
     c, s = named.alias("c"), named.alias("s")
     kind = F.when(F.col("c.n_regionkey") == F.col("s.n_regionkey"), "physical").otherwise("logical")
     joined = pairs.join(c, F.col("source") == F.col("c.node")).join(s, F.col("target") == F.col("s.node"))
@@ -61,11 +63,14 @@ def group_edges(spark, sf):
 
 @query(
     "isolated",
-    f"""WITH {TRADE_SQL}, r AS (SELECT * FROM trade WHERE kind = 'logical')
-    SELECT node FROM actors WHERE node NOT IN (SELECT source FROM r) AND node NOT IN (SELECT target FROM r)""",
+    f"""WITH {TRADE_SQL}, n AS (SELECT node FROM actors UNION SELECT 's' || p_partkey FROM part)
+    SELECT node FROM n WHERE node NOT IN (SELECT source FROM trade) AND node NOT IN (SELECT target FROM trade)""",
 )
 def isolated(spark, sf):
-    return graph.isolated(trade_nodes(spark, sf), trade_edges(spark, sf).filter("kind = 'logical'"))
+    """Of customers, suppliers and suppliers numbered like parts those no order line names."""
+    more = table(spark, sf, "part").select(F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("node"))
+    nodes = trade_nodes(spark, sf).select("node").unionByName(more).distinct()
+    return graph.isolated(nodes, trade_edges(spark, sf))
 
 
 FIVE_SQL = """
@@ -97,16 +102,14 @@ def path_follows_edges(spark, sf):
 
 MARK_SQL = f"""{TRADE_SQL},
 stops AS (SELECT row_number() OVER (ORDER BY o_orderkey, x) AS pos, node FROM (
-    SELECT l_orderkey AS o_orderkey, 'c' || min(o_custkey) AS node, 0 AS x FROM lineitem JOIN orders ON o_orderkey = l_orderkey
-      WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' GROUP BY 1
-    UNION ALL SELECT l_orderkey, 's' || min(l_suppkey), 1 FROM lineitem JOIN orders ON o_orderkey = l_orderkey
-      WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' GROUP BY 1)),
+    SELECT l_orderkey AS o_orderkey, 'c' || min(o_custkey) AS node, 0 AS x FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1
+    UNION ALL SELECT l_orderkey, 's' || min(l_suppkey), 1 FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)),
 hops AS (SELECT node AS a, lead(node) OVER (ORDER BY pos) AS b FROM stops)"""
 
 
 def _tour(spark, sf):
-    """One path through all urgent finished orders: customer, then a supplier of theirs."""
-    orders = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
+    """One path through all orders: customer, then a supplier of theirs."""
+    orders = table(spark, sf, "orders")
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
     per = lines.join(orders, "o_orderkey").groupBy("o_orderkey").agg(
         F.min("o_custkey").alias("c"), F.min("l_suppkey").alias("s")
@@ -140,17 +143,17 @@ def mark_path_nodes(spark, sf):
 
 LINE_SQL = """
 lines AS (SELECT DISTINCT doc_id, lang, line FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line FROM documents)
-  WHERE length(line) >= 40),
+  WHERE line <> ''),
 heads AS (SELECT lang, line, min(doc_id) AS head FROM lines GROUP BY 1, 2),
 rel AS (SELECT DISTINCT l.lang AS entity_kind, head AS "left", doc_id AS "right" FROM lines l JOIN heads h
   ON h.lang = l.lang AND h.line = l.line WHERE doc_id <> head)"""
 
 
 def shared_lines(spark, sf):
-    """Documents of a language that share a long line, each tied to the first that
-    holds it rather than to all others."""
+    """Documents of a language that share a line, each tied to the first that holds it
+    rather than to all others. An empty line says nothing."""
     docs = table(spark, sf, "documents")
-    lines = docs.select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("line")).filter("char_length(line) >= 40")
+    lines = docs.select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
     keyed = lines.select("doc_id", "lang", F.sha2("line", 256).alias("line")).distinct()
     # A document holds a line once, so spreading by document splits the hot lines.
     heads = keyed.groupBy("lang", "line").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -169,13 +172,20 @@ reach AS (SELECT a AS member, a AS other FROM e UNION SELECT member, b FROM reac
 
 @query(
     "equivalence_closure",
-    f"""WITH RECURSIVE {LINE_SQL}, r AS (SELECT * FROM rel WHERE entity_kind = 'en'), {CLOSURE_SQL}
-    SELECT doc_id AS member, coalesce((SELECT min(other) FROM reach WHERE member = doc_id), doc_id) AS representative
-    FROM documents WHERE lang = 'en'""",
+    f"""WITH RECURSIVE {LINE_SQL}, r AS (SELECT * FROM rel), {CLOSURE_SQL},
+    least AS (SELECT member, min(other) AS representative FROM reach GROUP BY 1)
+    SELECT lang AS entity_kind, doc_id AS member, coalesce(representative, doc_id) AS representative
+    FROM documents LEFT JOIN least ON member = doc_id""",
 )
 def equivalence_closure(spark, sf):
-    members = table(spark, sf, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("node"))
-    return catalog.equivalence_closure(shared_lines(spark, sf), members, "en")
+    """The closure of each language's relations, with all of its documents."""
+    docs, relations = table(spark, sf, "documents"), cut(shared_lines(spark, sf))
+    out = []
+    for kind in ("de", "en", "es", "fr"):
+        members = docs.filter(F.col("lang") == kind).select(F.col("doc_id").alias("node"))
+        closed = catalog.equivalence_closure(relations, members, kind)
+        out.append(closed.select(F.lit(kind).alias("entity_kind"), "member", "representative"))
+    return union_all(out)
 
 
 @query(
@@ -190,7 +200,7 @@ def components(spark, sf):
 
 @query(
     "reachability",
-    f"""WITH RECURSIVE {TRADE_SQL}, t AS (SELECT DISTINCT source AS a, target AS b FROM trade WHERE kind = 'logical'),
+    f"""WITH RECURSIVE {TRADE_SQL}, t AS (SELECT DISTINCT source AS a, target AS b FROM trade),
     e AS (SELECT a, b FROM t UNION SELECT b, a FROM t),
     seed AS (SELECT min(node) AS node FROM actors),
     w AS (SELECT node, 0 AS hops FROM seed UNION SELECT b, hops + 1 FROM w JOIN e ON a = node WHERE hops < 12)
@@ -198,7 +208,7 @@ def components(spark, sf):
 )
 def reachability(spark, sf):
     seed = trade_nodes(spark, sf).agg(F.min("node").alias("node"))
-    return graph.reachable(trade_edges(spark, sf).filter("kind = 'logical'"), seed)
+    return graph.reachable(trade_edges(spark, sf), seed)
 
 
 def turn_id(column="turn"):

@@ -12,9 +12,8 @@ from quirelens.sources.markup import extract_links, parse_md_rows, parse_tree_li
 LINKS_SQL = r"""
 clean AS (
   SELECT page_id, url,
-         regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
-           '(?is)(<script\b[^>]*>).*?</script\s*>', '\1', 'g'),
-           '(?is)(<style\b[^>]*>).*?</style\s*>', '\1', 'g') AS html
+         regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|(<script\b[^>]*>).*?(?:</script\s*>|\z)|(<style\b[^>]*>).*?(?:</style\s*>|\z)',
+           '\1\2', 'g') AS html
   FROM pages),
 found AS (
   SELECT page_id, url, regexp_extract_all(html, '(?i)<[a-z][^>]*\shref\s*=\s*"([^"]*)"', 1) AS l FROM clean),
@@ -131,34 +130,30 @@ def url_parts(spark, sf):
 
 
 def _menus(spark, sf):
-    """Each page's menu as a markdown list of relative links."""
-    anchor = F.lit(r'<a href="/([^"]*)">([^<]*)</a>')
-    pairs = F.arrays_zip(
-        F.regexp_extract_all("html", anchor, F.lit(1)).alias("href"), F.regexp_extract_all("html", anchor, F.lit(2)).alias("label")
+    """Each page's links as a markdown list of relative links."""
+    href = F.regexp_replace("target", "^/+", "")
+    item = F.concat(F.lit("- [link "), F.col("link_no").cast("string"), F.lit("](../nav/"), href, F.lit("?v=1#top)"))
+    # A page's own links fit in one value, as the page does.
+    lists = extract_links(table(spark, sf, "pages")).groupBy("page_id").agg(
+        F.array_sort(F.array_agg(F.struct("link_no", item.alias("item")))).alias("items")
     )
-    item = F.transform(pairs, lambda p: F.concat(F.lit("- ["), p["label"], F.lit("](../nav/"), p["href"], F.lit("?v=1#top)")))
-    return table(spark, sf, "pages").select(
+    text = F.array_join(F.transform("items", lambda x: x["item"]), "\n")
+    return table(spark, sf, "pages").select("page_id").join(lists, "page_id", "left").select(
         "page_id", F.concat(F.lit("site/p"), F.col("page_id").cast("string"), F.lit(".md")).alias("source"),
-        F.array_join(item, "\n").alias("text"),
+        F.coalesce(text, F.lit("")).alias("text"),
     )
 
 
-MENU_SQL = r"""
-m AS (SELECT page_id, regexp_extract_all(html, '<a href="/([^"]*)">([^<]*)</a>', 1) AS h,
-        regexp_extract_all(html, '<a href="/([^"]*)">([^<]*)</a>', 2) AS t FROM pages),
-items AS (SELECT page_id, i, h[i + 1] AS href, t[i + 1] AS label FROM m, unnest(range(len(h))) u(i))"""
-
-
 @query(
     "link_rewrite",
-    rf"""WITH {MENU_SQL},
-    named AS (SELECT *, rtrim(href, ',.') AS word FROM items),
+    rf"""WITH {LINKS_SQL},
+    named AS (SELECT *, regexp_replace(ltrim(target, '/'), '[,.]+$', '') AS word FROM links),
     often AS (SELECT word FROM named GROUP BY word HAVING count(*) > 3),
-    new AS (SELECT page_id, i, '- [' || label || '](' || CASE WHEN word IN (SELECT word FROM often)
-        THEN '../pub/' || word || '.html' ELSE 'https://code.example.org/blob/nav/' || word END || '?v=1#top)' AS item
-      FROM named)
+    new AS (SELECT page_id, link_no, '- [link ' || link_no || '](' || CASE WHEN word IN (SELECT word FROM often)
+        THEN '../pub/' || word || '.html' WHEN word LIKE 't%' THEN 'https://data.example.org/nav/' || word
+        ELSE 'https://code.example.org/blob/nav/' || word END || '?v=1#top)' AS item FROM named)
     SELECT page_id, 'site/p' || page_id || '.md' AS source,
-      coalesce((SELECT string_agg(item, chr(10) ORDER BY i) FROM new n WHERE n.page_id = p.page_id), '') AS text
+      coalesce((SELECT string_agg(item, chr(10) ORDER BY link_no) FROM new n WHERE n.page_id = p.page_id), '') AS text
     FROM pages p""",
 )
 def link_rewrite(spark, sf):
@@ -173,28 +168,22 @@ def link_rewrite(spark, sf):
         F.concat(F.lit("nav/"), F.col("href")).alias("old_key"), nav.alias("new_key")
     )
     return links.rewrite_links(
-        menus, link_map, "https://code.example.org/blob/", "page_id", home="site", aliases=aliases
+        menus, link_map, "https://code.example.org/blob/", "page_id", home="site", aliases=aliases,
+        bases=[("^nav/t", "https://data.example.org/")],
     )
 
 
 @query(
     "md_rows",
-    rf"""WITH {MENU_SQL} SELECT page_id, '/' || href AS target, '| [' || label || '](/' || href || ') | ' || page_id || ' |' AS row
-    FROM items WHERE label <> '' AND label NOT LIKE '%]%'""",
+    rf"""WITH {LINKS_SQL} SELECT page_id, target, '| [' || link_no || '](' || target || ') | ' || page_id || ' |' AS row
+    FROM links WHERE target <> '' AND NOT contains(target, ')') AND NOT contains(target, chr(10)) AND NOT contains(target, chr(13))""",
 )
 def md_rows(spark, sf):
-    anchor = F.lit(r'<a href="/([^"]*)">([^<]*)</a>')
-    pairs = F.arrays_zip(
-        F.regexp_extract_all("html", anchor, F.lit(1)).alias("href"), F.regexp_extract_all("html", anchor, F.lit(2)).alias("label")
-    )
-    line = F.transform(
-        pairs,
-        lambda p: F.concat(
-            F.lit("| ["), p["label"], F.lit("](/"), p["href"], F.lit(") | "), F.col("page_id").cast("string"), F.lit(" |")
-        ),
+    line = F.concat(
+        F.lit("| ["), F.col("link_no").cast("string"), F.lit("]("), F.col("target"), F.lit(") | "), F.col("page_id").cast("string"), F.lit(" |")
     )
-    head = F.lit("| page | id |\n| --- | --- |\n")
-    doc = table(spark, sf, "pages").select("page_id", F.concat(head, F.array_join(line, "\n")).alias("text"))
+    plain = extract_links(table(spark, sf, "pages")).filter("not rlike(target, '[)\\r\\n]')")
+    doc = plain.groupBy("page_id").agg(F.concat(F.lit("| page | id |\n| --- | --- |\n"), F.array_join(F.array_agg(line), "\n")).alias("text"))
     return parse_md_rows(doc, "text", "page_id")
 
 

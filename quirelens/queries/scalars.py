@@ -166,15 +166,16 @@ def micros(spark, sf):
     )
 
 
+TITLE = "(?is)<title[^>]*>(.*?)</title"
 TITLE_SQL = r"""
-t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS raw FROM pages),
+t AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1) AS raw FROM pages),
 d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
   '&#39;', ''''), '&#x27;', ''''), '&apos;', ''''), '&amp;', '&') AS title FROM t)"""
 
 
 @query("entity_decode", f"WITH {TITLE_SQL} SELECT page_id, title FROM d")
 def entity_decode(spark, sf):
-    raw = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    raw = F.regexp_extract("html", TITLE, 1)
     return table(spark, sf, "pages").select("page_id", decode_entities(raw).alias("title"))
 
 
@@ -184,7 +185,7 @@ def entity_decode(spark, sf):
     FROM d WHERE title <> ''""",
 )
 def heading_slugs(spark, sf):
-    raw = decode_entities(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    raw = decode_entities(F.regexp_extract("html", TITLE, 1))
     doc = table(spark, sf, "pages").select("page_id", F.concat(F.lit("# "), raw, F.lit("\n\ntext\n")).alias("md"))
     heads = doc.select("page_id", F.explode(text.headings("md")).alias("heading"))
     return heads.select("page_id", text.heading_slug("heading").alias("slug"))
@@ -218,7 +219,7 @@ def fenced_block(spark, sf):
     "line_counts",
     r"""SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE len(t) - len(replace(t, chr(10), ''))
       + CASE WHEN t LIKE '%' || chr(10) THEN 0 ELSE 1 END END AS INTEGER) AS n_lines
-    FROM (SELECT doc_id, regexp_replace(text, '\r\n|\r', chr(10), 'g') AS t FROM documents)""",
+    FROM (SELECT doc_id, regexp_replace(text, '\r\n|[\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]', chr(10), 'g') AS t FROM documents)""",
 )
 def line_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.line_count("text").alias("n_lines"))

@@ -4,21 +4,24 @@ from pyspark.sql import functions as F
 
 from quirelens.functions.hashing import sha256_hex
 from quirelens.operators import catalog, fulltext, search
+from quirelens.plans.lineage import scratch_path
 from quirelens.queries.audits import TRADE_SQL, trade_edges
+from quirelens.queries.links import LINKS_SQL
 from quirelens.queries.registry import query
 from quirelens.session import table
+from quirelens.sources.markup import extract_links
 
 
 @query(
     "entity_search",
-    """SELECT page_id, url FROM pages WHERE url LIKE 'https%' AND (contains(lower(url), 'the')
-      OR len(list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: contains(lower(x), 'the'))) > 0)""",
+    f"""WITH {LINKS_SQL} SELECT page_id, url FROM pages p WHERE url LIKE 'https%' AND (contains(lower(url), 'the')
+      OR EXISTS (SELECT 1 FROM links l WHERE l.page_id = p.page_id AND contains(lower(l.target), 'the')))""",
 )
 def entity_search(spark, sf):
-    members = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    pages = table(spark, sf, "pages").select(
-        "page_id", "url", members.alias("members"), F.regexp_extract("url", "^(https?)", 1).alias("scheme")
-    )
+    """Pages by their url or any of their links' targets."""
+    pages = table(spark, sf, "pages")
+    members = extract_links(pages).groupBy("page_id").agg(F.array_agg("target").alias("members"))
+    pages = pages.select("page_id", "url", F.regexp_extract("url", "^(https?)", 1).alias("scheme")).join(members, "page_id", "left")
     return search.search_entities(pages, " The ", "url", "members", "scheme", "https").select("page_id", "url")
 
 
@@ -68,10 +71,41 @@ def edge_filter(spark, sf):
     return search.filter_edges(trade_edges(spark, sf).distinct(), "logical", "s1", nearby=True)
 
 
+_GENERATIONS: dict[tuple[str, str], list] = {}
+
+
+def _generations(spark, sf):
+    """The stored index of the documents: built by the first search of a session and
+    read by the later ones, as an index is."""
+    name = (spark.sparkContext.applicationId, sf)
+    docs = table(spark, sf, "documents")
+    if name not in _GENERATIONS:
+        fence = docs.agg(F.max("doc_id")).first()[0]
+        _GENERATIONS[name] = fulltext.build_generation(docs, scratch_path(spark), 1, "code", fence).collect()
+    rows = spark.createDataFrame(_GENERATIONS[name], GENERATION)
+    return docs, rows, docs.agg(F.max("doc_id").alias("local_revision"))
+
+
+GENERATION = "index_generation_id bigint, kind string, state string, core_revision_fence bigint, n_postings bigint, path string"
+
+
+@query(
+    "index_build",
+    """WITH d AS (SELECT doc_id, text FROM documents),
+    g AS (SELECT DISTINCT doc_id, substr(text, i, 3) AS gram FROM d, unnest(range(1, length(text) - 1)) AS u(i))
+    SELECT gram, count(*) AS n_documents FROM g GROUP BY 1""",
+)
+def index_build(spark, sf):
+    """Build and store a generation, and count what it holds."""
+    docs = table(spark, sf, "documents")
+    path = fulltext.build_generation(docs, scratch_path(spark), 1, "code", 0).first()["path"]
+    return spark.read.parquet(path).groupBy("gram").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
 @query("trigram_search", "SELECT doc_id, lang FROM documents WHERE contains(text, 'tion the')")
 def trigram_search(spark, sf):
-    docs = table(spark, sf, "documents")
-    return fulltext.trigram_search(fulltext.trigram_index(docs), docs, "tion the").select("doc_id", "lang")
+    docs, generations, core = _generations(spark, sf)
+    return fulltext.search_ready(docs, "tion the", generations, "code", core).select("doc_id", "lang")
 
 
 @query("direct_scan", "SELECT doc_id, lang FROM documents WHERE contains(text, 'tion the')")
@@ -81,8 +115,8 @@ def direct_scan(spark, sf):
 
 @query("short_search", "SELECT doc_id, lang FROM documents WHERE contains(text, 'Th')")
 def short_search(spark, sf):
-    docs = table(spark, sf, "documents")
-    return fulltext.trigram_search(fulltext.trigram_index(docs), docs, "Th").select("doc_id", "lang")
+    docs, generations, core = _generations(spark, sf)
+    return fulltext.search_ready(docs, "Th", generations, "code", core).select("doc_id", "lang")
 
 
 @query(
@@ -91,10 +125,10 @@ def short_search(spark, sf):
       THEN 'index stale' END AS fallback_reason FROM documents WHERE contains(text, 'Ment')""",
 )
 def search_fallback(spark, sf):
-    docs = table(spark, sf, "documents")
-    identity = table(spark, sf, "labels").agg(F.max("doc_id").alias("core_revision_fence"))
-    core = docs.agg(F.max("doc_id").alias("local_revision"))
-    return fulltext.search(docs, "Ment", fulltext.trigram_index(docs), identity, core).select("doc_id", "fallback_reason")
+    docs, generations, core = _generations(spark, sf)
+    fence = table(spark, sf, "labels").agg(F.max("doc_id").alias("core_revision_fence")).scalar()
+    old = generations.withColumn("core_revision_fence", fence)
+    return fulltext.search_ready(docs, "Ment", old, "code", core).select("doc_id", "fallback_reason")
 
 
 @query(

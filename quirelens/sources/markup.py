@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from quirelens.functions.paths import strip
 from quirelens.functions.urls import decode_entities
 
-# Text inside these is not markup: comments, and script or style bodies.
-COMMENTS = r"(?s)<!--.*?-->"
-RAW_BODIES = r"(?is)(<(script|style)\b[^>]*>).*?</\2\s*>"
+# Text inside these is not markup: comments, and script or style bodies. Whichever
+# opens first goes up to its own end, or to the end of the page if it has none.
+NOT_MARKUP = r"(?is)<!--.*?(?:-->|\z)|(<(script|style)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>).*?(?:</\2\s*>|\z)"
 START_TAGS = r"""<[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 ATTRIBUTES = r"""([^\s=/>"'<]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]*)"""
 
@@ -21,7 +21,7 @@ def extract_links(pages: DataFrame, key: str = "page_id", html: str = "html", *k
     Attributes are read one after another, so an ``href=`` inside another
     attribute's value is not a link. Returns key, kept columns, link_no, target.
     """
-    clean = F.regexp_replace(F.regexp_replace(F.col(html), COMMENTS, ""), RAW_BODIES, "$1")
+    clean = F.regexp_replace(F.col(html), NOT_MARKUP, "$1")
     tags = F.filter(
         F.regexp_extract_all(clean, F.lit(START_TAGS), F.lit(0)), lambda t: t.rlike(r"(?i)\bhref\b")
     )
@@ -57,16 +57,21 @@ def parse_tree_listing(df: DataFrame, listing: str, *keep: str) -> DataFrame:
     )
 
 
+# A table row that opens with a link, and a fenced block.
+MD_ROW = r"^\| \[[^\]]+\]\(([^)]+)\)"
+FENCED = r"(?s)```{tag}\n(.*?)\n```"
+
+
 def parse_md_rows(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """Table rows that open with a link: link target and the whole row."""
     row = F.explode(F.split(F.col(text), r"\r\n|\n|\r")).alias("row")
-    target = F.regexp_extract("row", r"^\| \[[^\]]+\]\(([^)]+)\)", 1).alias("target")
+    target = F.regexp_extract("row", MD_ROW, 1).alias("target")
     return df.select(*keep, row).select(*keep, target, "row").filter(F.col("target") != "")
 
 
 def extract_block(df: DataFrame, text: str, tag: str, *keep: str) -> DataFrame:
     """First fenced block with the given tag, trimmed. A text without one fails the job."""
-    pattern = rf"(?s)```{tag}\n(.*?)\n```"
+    pattern = FENCED.replace("{tag}", tag)
     body = F.regexp_extract(text, pattern, 1)
     missing = F.raise_error(F.lit(f"no {tag} block found"))
     return df.select(

@@ -112,3 +112,34 @@ def test_searches(frame):
     assert rows(search.search_fields(df, "alpha git_oid X", ["name", "cols"]), "name") == [("Alpha",)]
     assert rows(search.search_records(df, '"GRP":"g2"'), "name") == [("beta",)]
     assert rows(search.match_counts(df, F.col("grp") == "g1")) == [(2, 3)]
+
+
+def test_bytes_that_are_no_text_stay_apart(frame):
+    child = frame([(bytearray(b"\xff\x01"), 1), (bytearray(b"\xfe\x01"), 1)], "k binary, n int")
+    parent = frame([(bytearray(b"\xff\x01"), 1)], "k binary, n int")
+    on = [("k", "k"), ("n", "n")]
+    assert rows(audit.fk_summary([("r", child, parent, on)])) == [("r", 2, 0, 1)]
+    assert audit.fk_orphans(child, parent, on, []).count() == 1
+
+
+def test_a_table_of_several_references_is_read_once(spark):
+    from conftest import SF
+    from quirelens.queries.audits import references
+
+    plan = audit.fk_summary(references(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and sum("l_linenumber" in x or "l_orderkey" in x for x in plan.splitlines() if "Relation" in x) == 1
+
+
+def test_citation_paths(frame):
+    cites = frame([("docs/a.md", 1), ("/docs/a.md", 1), ("docs/../x", 1), ("docs\\\\a.md", 1), ("src/b.py", 1), ("docs/none", 1), ("docs/a.md", 9)], "p string, n int")
+    files = frame([("docs/a.md", "x\ny"), ("src/b.py", "x")], "p string, t string")
+    got = rows(audit.bad_citations(cites, files, "p", "n", "t", roots=["docs"]), "p", "reason")
+    assert got == [
+        ("/docs/a.md", "invalid path"), ("docs/../x", "invalid path"), ("docs/a.md", "line outside file"), ("docs/none", "missing file"),
+        ("docs\\\\a.md", "invalid path"), ("src/b.py", "invalid path"),
+    ]
+
+
+def test_null_fields_are_part_of_a_record(frame):
+    df = frame([(1, None), (2, "x")], "a int, b string")
+    assert rows(search.search_records(df, '"b":null'), "a") == [(1,)]

@@ -147,3 +147,34 @@ def test_projection_is_unique(frame):
     used = frame([("pr", "ab"), ("pr", "ab"), ("issue", "ab"), ("pr", "gone")], "kind string, sha256 string")
     bodies = frame([("ab", "y")], "sha256 string, text string")
     assert rows(fulltext.search_projection(objects, used, bodies), "kind", "source_key") == [("code", "git:1"), ("issue", "ab"), ("pr", "ab")]
+
+
+def test_a_lost_posting_gives_the_scans_answer(frame, spark, tmp_path):
+    docs = frame([(i, t) for i, t in enumerate(DOCS)], "doc_id int, text string")
+    core = frame([(5,)], "local_revision long")
+    made = fulltext.build_generation(docs, str(tmp_path), 3, "code", 5)
+    generations = spark.createDataFrame(made.collect(), made.schema)
+    assert rows(fulltext.search_ready(docs, "alpha", generations, "code", core), "doc_id", "fallback_reason") == [(0, None), (7, None)]
+    index = spark.read.parquet(generations.first()["path"])
+    for gone in index.filter("doc_id = 0").collect():
+        less = index.filter(~((F.col("gram") == gone["gram"]) & (F.col("doc_id") == 0)))
+        got = fulltext.search(docs, "alpha", less, generations, core)
+        assert rows(got, "doc_id", "fallback_reason") == [(0, "index corrupt"), (7, "index corrupt")]
+    nowhere = generations.withColumn("path", F.lit(str(tmp_path / "none")))
+    assert {r["fallback_reason"] for r in fulltext.search_ready(docs, "alpha", nowhere, "code", core).collect()} == {"index missing"}
+    old = generations.withColumn("core_revision_fence", F.lit(4).cast("long"))
+    assert {r["fallback_reason"] for r in fulltext.search_ready(docs, "alpha", old, "code", core).collect()} == {"index stale"}
+    assert {r["fallback_reason"] for r in fulltext.search_ready(docs, "alpha", generations, "pr", core).collect()} == {"index missing"}
+
+
+def test_repeated_ids_keep_their_hits(frame):
+    docs = frame([(1, "xx alpha"), (1, "alpha yy"), (2, "no")], "doc_id int, text string")
+    assert fulltext.trigram_search(fulltext.trigram_index(docs), docs, "alpha").count() == 2
+
+
+def test_collections_without_pages(frame):
+    pages = frame([("a", 0, 0)], "c string, ordinal long, has_next int")
+    members = frame([("a", "m"), ("b", "m")], "c string, member string")
+    expected = frame([("a", "m"), ("d", "m")], "c string, member string")
+    assert rows(catalog.collection_status(pages, members, expected, "c")) == [
+        ("a", 1, 0, "complete"), ("b", 0, 1, "no pages"), ("d", 0, 1, "no pages")]

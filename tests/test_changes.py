@@ -188,3 +188,12 @@ def test_refresh_plan(frame):
 def test_cache_validity(frame):
     checks = frame([("a", "ok"), ("a", "mismatch"), ("b", "ok")], "part string, status string")
     assert rows(review.cache_valid(checks)) == [("a", False), ("b", True)]
+
+
+def test_nulls_equal_themselves(frame):
+    old = frame([(None, "h"), (1, None), (2, "x")], "k int, h string")
+    new = frame([(None, "h"), (1, None), (3, "x")], "k int, h string")
+    got = {(r["k"], r["status"]) for r in diff.snapshot_diff(old, new, ["k"], "h").collect()}
+    assert got == {(None, "equal"), (1, "equal"), (2, "removed"), (3, "added")}
+    assert rows(diff.set_diff(old, new, ["k"])) == [(2, "left"), (3, "right")]
+    assert rows(diff.freshness(old.filter("k = 1"), old.filter("k = 1").withColumn("h", F.lit("y")), ["k"], "h"), "status") == [("stale",)]

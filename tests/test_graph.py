@@ -172,3 +172,25 @@ def test_edges_between_groups(frame):
     nodes = frame([("a", "g"), ("b", "g"), ("c", "h")], "node string, group string")
     edges = frame([("a", "c"), ("a", "c"), ("b", "c"), ("a", "b"), ("c", "a")], EDGE)
     assert rows(graph.group_edges(edges, nodes)) == [("g", "h", 3), ("h", "g", 1)]
+
+
+def test_a_deep_tree_flattens_and_a_cycle_is_found_at_once(frame, monkeypatch):
+    deep = [(f"t{i}", "d", f"t{i + 1}") for i in range(40)]
+    flat = graph.flatten_tree(frame(deep, "tree string, name string, child string"), frame([("t0",)], "root string"))
+    assert rows(flat) == [("t0", "/".join("d" * 40), "t40")]
+    written = []
+    add = graph.Pieces.add
+    monkeypatch.setattr(graph.Pieces, "add", lambda self, df: written.append(1) or add(self, df))
+    loop = [("a", "x", "b"), ("b", "y", "c"), ("c", "z", "b"), *deep]
+    with pytest.raises(ValueError, match="cycle"):
+        graph.flatten_tree(frame(loop, "tree string, name string, child string"), frame([("a",), ("t0",)], "root string"))
+    assert len(written) <= 5  # two for the tables, one for each level
+
+
+def test_an_id_means_an_object_of_its_format(frame):
+    tags = frame(
+        [("sha1", "t", "c", "commit", None), ("sha256", "t", "d", "commit", None), ("sha1", "u", "t", "tag", "sha256")],
+        "object_format string, oid string, target_oid string, target_type string, target_format string",
+    )
+    refs = frame([("a", "sha1", "t"), ("b", "sha256", "t"), ("c", "sha1", "u"), ("d", None, "t")], "ref string, object_format string, target_oid string")
+    assert rows(graph.peel(refs, tags), "ref", "peeled_oid", "n_tags") == [("a", "c", 1), ("b", "d", 1), ("c", "d", 2), ("d", "t", 0)]

@@ -103,17 +103,16 @@ def test_globs(frame):
 
 def test_rewriting(frame):
     text = (
-        "[next](0036-x.md#decision) [private](../testing.md) ![pic](img.png) [ext](https://x.org/a) [abs](/r) [top](#t) "
-        "[old](../old.md?v=1)"
+        "[sib](beta.md#two) [up](../plan.txt) ![chart](c.webp) [web](https://q.net/z) [root](/home) [here](#h) [was](../past.md?k=2)"
     )
-    docs = frame([(1, "docs/adr/0029.md", text), (2, "docs/adr/1.md", "no links")], "doc_id long, source string, text string")
-    published = frame([("docs/adr/0036-x.md", "adr/0036-x.md"), ("docs/new.md", "adr/new.md")], "path string, published string")
-    aliases = frame([("docs/old.md", "docs/new.md")], "old_key string, new_key string")
-    out = dict(links.rewrite_links(docs, published, "https://h/blob/r/", home="adr", aliases=aliases).select("doc_id", "text").collect())
-    assert out[2] == "no links"
+    docs = frame([(1, "notes/log/alpha.md", text), (2, "notes/log/none.md", "plain words")], "doc_id long, source string, text string")
+    published = frame([("notes/log/beta.md", "log/beta.md"), ("notes/now.md", "log/now.md")], "path string, published string")
+    aliases = frame([("notes/past.md", "notes/now.md")], "old_key string, new_key string")
+    out = dict(links.rewrite_links(docs, published, "https://g/tree/", home="log", aliases=aliases).select("doc_id", "text").collect())
+    assert out[2] == "plain words"
     assert out[1] == (
-        "[next](0036-x.md#decision) [private](https://h/blob/r/docs/testing.md) ![pic](https://h/blob/r/docs/adr/img.png) "
-        "[ext](https://x.org/a) [abs](/r) [top](#t) [old](new.md?v=1)"
+        "[sib](beta.md#two) [up](https://g/tree/notes/plan.txt) ![chart](https://g/tree/notes/log/c.webp) "
+        "[web](https://q.net/z) [root](/home) [here](#h) [was](now.md?k=2)"
     )
 
 
@@ -123,14 +122,49 @@ def test_routes_of_an_index_page(frame):
 
 
 def test_publication_safety(frame):
-    from quirelens.operators.safety import safety_violations
+    from quirelens.operators.safety import ALLOWED_SUFFIXES, FORBIDDEN_PATTERNS, safety_violations
 
-    safe = ["index.html", "a.css", "b/app.js", "x.svg", "core.dbml", "m.webmanifest", "sw.js"]
+    safe = [f"part{i}/Leaf{i}{s}" for i, s in enumerate(ALLOWED_SUFFIXES)]
     assert safety_violations(frame([(s,) for s in safe], "path string")).count() == 0
-    bad = ["dump.sqlite3", "test.py", "deploy.SH", "server.key", ".env.local"]
-    found = safety_violations(frame([(b,) for b in bad], "path string"))
-    assert {p for (p,) in rows(found, "path")} == set(bad) and found.count() == 10
-    odd = frame([("a/Token.json",), ("a/mytoken.json",), ("transcript-1.jsonl",)], "path string")
-    assert rows(safety_violations(odd)) == [
-        ("a/Token.json", r"(?:^|/)token[s]?\."), ("transcript-1.jsonl", "extension"), ("transcript-1.jsonl", r"transcript.*\.jsonl$"),
+    bad = ["notes.parquet", "a/run.bat", "shelf/credential.txt", "SECRETS.json", "lemon"]
+    found = rows(safety_violations(frame([(b,) for b in bad], "path string")))
+    assert {p for p, _ in found} == set(bad)
+    assert [r for p, r in found if p == "lemon"] == ["extension"]
+    assert {r for p, r in found if p == "SECRETS.json"} == {x for x in FORBIDDEN_PATTERNS if "secret" in x}
+    odd = frame([("b/TOKENS.txt",), ("b/nottoken.txt",)], "path string")
+    assert {p for (p,) in rows(safety_violations(odd), "path")} == {"b/TOKENS.txt"}
+
+
+def hrefs(frame, body):
+    return [t for (_, t) in rows(extract_links(site(frame, body)).filter("page_id = 1"), "link_no", "target")]
+
+
+def test_links_as_a_parser_sees_them(frame):
+    cases = [
+        ('<script>var x = "<!--";</script><a href="kept">', ["kept"]),
+        ('<a href="one"><script>if (a) b("<a href=no>");', ["one"]),
+        ('<!-- <script> --><a href="two"><!-- </script> -->', ["two"]),
+        ('<a href="three"><!-- open <a href="gone">', ["three"]),
+        ('<STYLE>a{}</STYLE ><a HREF=four>', ["four"]),
+        ('<script data-x="a>b">"<a href=no>"</script><a href="five">', ["five"]),
+        ("<a href='six\"x'><a title='>' href=\"seven'y\">", ['six"x', "seven'y"]),
+        ('<a href="a&#47;b&#x2F;c&eacute;&amp;lt;&nosuch;">', ["a/b/c\u00e9&lt;&nosuch;"]),
+        ('<a href="?a=1&copy=2&amp=3&lt;">', ["?a=1&copy=2&amp=3<"]),
+        ('<a href="&#0;&#128;&#xD800;&#x110000;&#9999999999;&notin;">', ["\ufffd\u20ac\ufffd\ufffd\ufffd\u2209"]),
     ]
+    for body, want in cases:
+        assert hrefs(frame, body) == want, body
+
+
+def test_a_broken_link_after_a_script_is_found(frame):
+    assert broken(frame, '<script>s = "<!--"</script><a href="lost.html">x</a><!-- end -->') == ["lost.html"]
+
+
+def test_several_bases_and_a_moved_prefix(frame):
+    text = "[a](data/x.csv) [b](lib/y.py) [c](/old/page) [d](/older) [e](https://h/old/z?q#f)"
+    docs = frame([(1, "w/doc.md", text)], "doc_id long, source string, text string")
+    none = frame([], "path string, published string")
+    out = links.rewrite_links(docs, none, "https://code/", bases=[("[.]csv$", "https://data/")], moved_prefix=("/old/", "/new/"))
+    assert out.first()["text"] == "[a](https://data/w/data/x.csv) [b](https://code/w/lib/y.py) [c](/new/page) [d](/older) [e](https://h/old/z?q#f)"
+    moved = links.rewrite_links(docs, none, "https://code/", moved_prefix=("https://h/old/", "https://h/"))
+    assert "[e](https://h/z?q#f)" in moved.first()["text"]

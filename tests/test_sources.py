@@ -183,3 +183,71 @@ def test_times_need_a_zone(frame):
     assert got == [1704067200000000, 1704067200000000, None, None]
     wall = frame([("2024-01-01 20:00:00",)], "t string").select(times.time_element(F.col("t").cast("timestamp_ntz"))).first()[0]
     assert wall == '<time datetime="2024-01-01T20:00:00+00:00">2024-01-02T05:00:00+09:00 (JST)</time>'
+
+
+def test_null_parts_and_microseconds_are_written(spark, tmp_path):
+    import datetime
+
+    path, at = str(tmp_path / "out"), datetime.datetime(2024, 5, 1, 1, 2, 3, 123456)
+    kind = "id int, at timestamp, wall timestamp_ntz, part string"
+    first = spark.createDataFrame([(1, at, at, None), (2, at, at, "b")], kind)
+    assert rows(sinks.write_changed(first, path, "part")) == [("b", "added"), (None, "added")]
+    assert rows(spark.read.schema(kind).parquet(path), "id", "part") == [(1, None), (2, "b")]
+    assert {r[1] for r in rows(sinks.write_changed(first, path, "part"))} == {"equal"}
+    late = at.replace(microsecond=123999)
+    second = spark.createDataFrame([(1, late, at, None), (2, at, late, "b")], kind)
+    assert {r[1] for r in rows(sinks.write_changed(second, path, "part"))} == {"changed"}
+    assert rows(spark.read.schema(kind).parquet(path), "id", "at", "wall") == [(1, late, at), (2, at, late)]
+    with pytest.raises(sinks.EmptyPart):
+        sinks.write_changed(spark.createDataFrame([(1, at, at, "")], kind), str(tmp_path / "other"), "part")
+
+
+def test_more_than_a_thousand_parts(spark, tmp_path):
+    many = spark.range(1100).select(F.col("id").cast("int").alias("id"), F.col("id").cast("string").alias("part")).coalesce(1)
+    assert sinks.write_changed(many, str(tmp_path / "out"), "part").filter("status = 'added'").count() == 1100
+
+
+def test_a_broken_move_is_finished_by_the_next_write(spark, frame, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    sinks.write_changed(parts(frame, (1, "x", "a"), (2, "y", "b")), path, "part")
+    whole, calls = sinks._Target._move_in, []
+
+    def halfway(self, staged, old):
+        self._fs.mkdirs(old)
+        place = self._path(self.root, "part=a")
+        self._fs.rename(place, self._path(old, "part=a"))
+        calls.append(1)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(sinks._Target, "_move_in", halfway)
+    new = parts(frame, (1, "z", "a"), (2, "w", "b"))
+    with pytest.raises(RuntimeError):
+        sinks.write_changed(new, path, "part")
+    monkeypatch.setattr(sinks._Target, "_move_in", whole)
+    assert {r[1] for r in rows(sinks.write_changed(new, path, "part"))} == {"equal"} and calls
+    assert rows(spark.read.parquet(path), "id", "v", "part") == [(1, "z", "a"), (2, "w", "b")]
+    assert not [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith(("_staged", "_old"))]
+
+
+def test_a_version_counts_once_its_marker_is_there(spark, frame, tmp_path):
+    store = sinks.BaselineStore(spark, str(tmp_path / "base"))
+    store.advance(frame([(1,)], "x int"))
+    frame([(9,)], "x int").write.parquet(str(tmp_path / "base" / "v2-half"))
+    assert rows(store.read()) == [(1,)]
+    assert store.advance(frame([(2,)], "x int")) == 2 and rows(store.read()) == [(2,)]
+    reason = "long " * 300
+    bad = frame([(3,)], "x int").select(F.raise_error(F.lit(reason)).cast("int").alias("x"))
+    with pytest.raises(Exception, match="long"):
+        store.advance(bad)
+    assert reason.strip() in store.attempts().filter("status = 'failed'").first()["reason"]
+
+
+def test_census_with_modes(frame):
+    df = frame([("a", "x", 0o755), ("b", "x", 0o644), ("c", "x", None)], "path string, content string, mode int")
+    assert rows(files.file_census(df, mode="mode"), "path", "mode", "refused") == [("a", 0o755, True), ("b", 0o644, False), ("c", None, False)]
+
+
+def test_line_ends_are_those_of_the_language(frame):
+    texts = ["", "a", "a\n", "a\r\nb", "a\x0bb\x0cc", "a\x85b\u2028c\u2029", "\n\n", "a\x1cb", "a\r\n\r\n"]
+    got = frame([(t,) for t in texts], "t string").select("t", text.line_count("t")).collect()
+    assert {r[0]: r[1] for r in got} == {t: len(t.splitlines()) for t in texts}
