@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelens.plans.lineage import cut
+import quirelens
+from quirelens.plans.lineage import cut, scratch_path
 
 # Fixed value: a word is a run of anything but ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
 _PID_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per application.
+
+    Operators with Python stages call it, so that they also run where the package is
+    installed on the driver alone. The archive goes through the shared folder.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_quirelens", False):
+        return
+    root = Path(quirelens.__file__).parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, f"{root.name}/{file.relative_to(root).as_posix()}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark)}/{root.name}.zip")
+    stream = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    context.addPyFile(place.toString())
+    context._quirelens = True
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null counted as empty."""
     return F.coalesce(F.col(column), F.lit(""))

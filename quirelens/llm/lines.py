@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelens.llm.common import fresh, text_of
+from quirelens.llm.common import fresh, ship, text_of
 from quirelens.plans.lineage import cut
 
 LEAST_WORDS = 5
@@ -140,6 +140,7 @@ def common_blocks(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataF
     Earlier is the smaller doc_id, a null one comes last, and of equal ids with
     different texts the smaller text digest.
     """
+    ship(documents.sparkSession)
     lines = cut(rare_lines(documents, least_words))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "pos", "gap")
     owner = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelens.llm.common import running, text_of
+from quirelens.llm.common import running, ship, text_of
 from quirelens.llm.tokens import DTYPE, coder
 from quirelens.plans.lineage import cut
 
@@ -113,6 +113,7 @@ def pack(
     """
     if sequence < 1 or window < 1:
         raise ValueError("sequence and window must be positive")
+    ship(documents.sparkSession)
     tokens = tokenized(documents, path, end)
     narrow = tokens.select("row", "doc_id", "source", "n")
     total = narrow.agg(F.sum("n")).first()[0] or 0

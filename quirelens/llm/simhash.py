@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelens.llm.common import text_of
+from quirelens.llm.common import ship, text_of
 from quirelens.operators.graph import components
 from quirelens.plans.lineage import cut
 
@@ -160,6 +160,7 @@ def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3, tile:
     Repeated rows each give a row. Whole texts count; an empty table gives no rows;
     other columns are left alone.
     """
+    ship(documents.sparkSession)
     prints = cut(fingerprints(documents, words))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(nodes.select("fp"), radius, tile))

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelens.llm.common import ship
 from quirelens.plans.lineage import cut
 
 SHARD = 12_288  # vectors of one shard, on average
@@ -178,6 +179,7 @@ def top_k(
     others give fewer rows, none give none; an empty table gives no rows. Components
     are taken to be below 2**25, so that sums fit a long. Other columns are left alone.
     """
+    ship(embeddings.sparkSession)
     vectors = cut(integers(embeddings))
     asked = vectors.filter(F.col("vec_id") % every == 0) if queries is None else cut(integers(queries))
     shards = max(1, -(-vectors.count() // shard))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelens.llm.common import fresh, text_of
+from quirelens.llm.common import fresh, ship, text_of
 from quirelens.plans.lineage import cut
 
 SAMPLE = 8_000  # labelled rows that are learned from, at most
@@ -299,6 +299,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     Labels other than 0 and 1 are passed over; an id labelled twice counts as toxic if
     one label says so.
     """
+    ship(documents.sparkSession)
     usable = labels.filter(F.col("toxic").isin(0, 1) & ~held_out()).select(F.col("doc_id").cast("bigint").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = usable.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = documents.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
@@ -337,6 +338,7 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD, keep
                 [*columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*names, "score", "predicted"]
             )
 
+    ship(documents.sparkSession)
     names = ["doc_id", *[c for c in keep if c != "doc_id"]]
     held = fresh(documents, "_text")
     rows = documents.select(*names, text_of().alias(held))

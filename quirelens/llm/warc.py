@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
+from quirelens.llm.common import ship
 from quirelens.plans.lineage import scratch_path
 
 # Fixed values of the format.
@@ -240,6 +241,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     switch for filters in Python sources, which is turned on here. Paths are those
     pyarrow opens (file, s3, gs, hdfs).
     """
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
