@@ -29,6 +29,8 @@ THRESHOLD = 0.3
 KEPT = 200_000  # runs of characters remembered per worker
 STATES = 50_000  # automaton states remembered per worker
 
+ONE_WORD = 0.6  # a beginning is no term if one word has this share of its toxic documents
+
 # Signs and words that tell how a term is used.
 OPEN, CLOSE = "\"'“‘«„‹(", "\"'”’»“‹)"
 REPORTS = frozenset(
@@ -257,10 +259,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def lexicon(counts: list[tuple], parts: tuple[int, ...]) -> tuple[dict[str, float], dict[str, float]]:
     """Words and stems with their log odds, from (term, stem, toxic and clean documents per part)."""
+    top: dict[str, int] = {}  # the toxic documents of the commonest word with a beginning
+    for term, stem, toxic, _ in counts[1:]:
+        for n in STEMS:
+            if not stem and len(term) > n:
+                top[term[:n]] = max(top.get(term[:n], 0), sum(toxic[p] for p in parts))
     toxic_all, clean_all = (sum(counts[0][2 + side][p] for p in parts) for side in (0, 1)) if counts else (0, 0)
     found = []
     for term, stem, toxic, clean in counts[1:]:
         a, b = sum(toxic[p] for p in parts), sum(clean[p] for p in parts)
+        if stem and top.get(term, 0) >= ONE_WORD * a:
+            continue  # one word, which is a term itself
         odds = math.log((a + 0.5) / (toxic_all + 1)) - math.log((b + 0.5) / (clean_all + 1))
         z = odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
         if a >= LEAST_DOCS and odds >= LEAST_ODDS and z >= LEAST_Z:
