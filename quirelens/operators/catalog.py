@@ -154,14 +154,19 @@ def cas_store(bodies: DataFrame, key: str, body: str) -> DataFrame:
 
     Bodies themselves are not shuffled; fetch them by their first owner.
     """
-    refs = cas_references(bodies, key, body)
+    return store_of(cas_references(bodies, key, body), key)
+
+
+def store_of(refs: DataFrame, key: str) -> DataFrame:
+    """The same from references that are at hand."""
     return refs.groupBy("sha256").agg(
         F.max("byte_length").cast("bigint").alias("byte_length"), F.min(key).alias("first_owner"), F.count(F.lit(1)).alias("n_refs")
     )
 
 
 def cas_bodies(bodies: DataFrame, key: str, body: str) -> DataFrame:
-    """The distinct bodies with their hash."""
+    """The distinct bodies with their hash. Bodies are fetched by owner, so they are
+    shuffled where the store is too large to broadcast."""
     first = cas_store(bodies, key, body).select("sha256", F.col("first_owner").alias(key), "byte_length")
     return first.join(bodies.select(key, body), key).select("sha256", "byte_length", body)
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelens.plans.lineage import Pieces, cut
+from quirelens.plans.lineage import Pieces, cut, release
 from quirelens.plans.skew import lookup_join
 from quirelens.plans.windows import next_in_group
 
@@ -198,10 +198,12 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             move = lookup_join(move, ahead, ["head"], "inner", ["member"]).select("member", F.col("_head").alias("head"))
         move = cut(move)
         moves.append(move)
+        moved = edges
         for end, other in (("_lo", "_hi"), ("_hi", "_lo")):
             side = move.select(F.col("member").alias(end), F.col("head").alias("_head"))
-            edges = lookup_join(edges, side, [end], "inner", [other]).select(F.col("_head").alias(end), other)
-        edges = cut(edges.select(*_unordered("_lo", "_hi")).filter("_lo <> _hi").distinct())
+            moved = lookup_join(moved, side, [end], "inner", [other]).select(F.col("_head").alias(end), other)
+        before, edges = edges, cut(moved.select(*_unordered("_lo", "_hi")).filter("_lo <> _hi").distinct())
+        release(before)
     if moves:
         # Later moves speak of the few nodes left by earlier ones; fold them back.
         final = moves[-1]
@@ -211,6 +213,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
                 "member", F.coalesce("_next", "head").alias("head")
             )
         final = cut(final)
+        release(*moves)
         least = final.groupBy("head").agg(F.min("member").alias("representative"))
         out = lookup_join(final, least, ["head"], "inner", ["member"]).select("member", "representative")
     else:

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names; a temporary one only on a local master."""
+    """The folder the cluster names. Only a local master that names none, where all
+    tasks share the machine, gets one of its own."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
@@ -36,7 +37,19 @@ def scratch_path(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a scan of the written table."""
-    return Pieces().add(df)
+    pieces = Pieces()
+    out = pieces.add(df)
+    out._scratch = pieces.paths
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of cut tables that nothing will read again: a loop's last round
+    once the next one is written."""
+    for df in tables:
+        for path in getattr(df, "_scratch", ()):
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 class Pieces:

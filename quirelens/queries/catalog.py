@@ -20,11 +20,11 @@ def _us(column):
     FROM documents) WHERE doc_id <> first AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
 )
 def active_relations(spark, sf):
-    docs = table(spark, sf, "documents")
-    store = catalog.cas_store(docs, "doc_id", "text").filter("n_refs > 1").select("sha256", F.col("first_owner").alias("left"))
-    refs = catalog.cas_references(docs, "doc_id", "text")
+    from quirelens.plans.lineage import cut
     from quirelens.plans.skew import lookup_join
 
+    refs = cut(catalog.cas_references(table(spark, sf, "documents"), "doc_id", "text"))
+    store = catalog.store_of(refs, "doc_id").filter("n_refs > 1").select("sha256", F.col("first_owner").alias("left"))
     copies = lookup_join(refs, store, ["sha256"], "inner", ["doc_id"]).filter("doc_id <> left")
     relations = copies.select(F.col("doc_id").alias("relation_uuidv4"), "left")
     cancelled = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("relation_uuidv4"))

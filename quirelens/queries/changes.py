@@ -400,17 +400,23 @@ def first_run_reasons(spark, sf):
 
 @query(
     "changed_parts_written",
-    """SELECT o_orderpriority AS part, CASE WHEN bool_or(o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '2001-07-01')
-      OR o_orderpriority = '1-URGENT' THEN 'changed' ELSE 'equal' END AS status FROM orders GROUP BY 1""",
+    """SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS part,
+      CASE WHEN bool_or(o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '2001-07-01')
+        OR o_orderpriority = '1-URGENT' OR o_orderpriority LIKE '4%' THEN 'changed' ELSE 'equal' END AS status
+    FROM orders GROUP BY o_orderpriority""",
 )
 def changed_parts_written(spark, sf):
-    """Write the orders by priority, then again after a change; only parts that differ
-    are rewritten the second time."""
+    """Write the orders by priority, the lowest as a part without a name, then again after
+    a change of states, and of one priority's times by a microsecond; only parts that
+    differ are rewritten the second time."""
     path = scratch_path(spark)
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("part"), "o_orderdate")
+    part = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("part")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", part, "o_orderdate")
     write_changed(orders, path, "part")
-    late = F.expr("o_orderstatus = 'P' and o_orderdate >= timestamp_ntz '2001-07-01'") | (F.col("part") == "1-URGENT")
-    return write_changed(orders.withColumn("o_orderstatus", F.when(late, "X").otherwise(F.col("o_orderstatus"))), path, "part")
+    late = F.expr("o_orderstatus = 'P' and o_orderdate >= timestamp_ntz '2001-07-01'") | F.coalesce(F.col("part") == "1-URGENT", F.lit(False))
+    at = F.expr("if(part like '4%', o_orderdate + interval 1 microsecond, o_orderdate)")
+    new = orders.withColumn("o_orderstatus", F.when(late, "X").otherwise(F.col("o_orderstatus"))).withColumn("o_orderdate", at)
+    return write_changed(new, path, "part")
 
 
 @query(
