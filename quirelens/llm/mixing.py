@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelens.llm.common import WORD, running, text_of
+from quirelens.llm.common import WORD, fresh, running, text_of
 from quirelens.plans.lineage import cut
 
 # Expected copies are counted in units of 2**-24 so that prefix sums are exact.
@@ -21,10 +21,10 @@ def offset_of(seed: int) -> int:
     return random.Random(seed).randrange(1 << UNIT_BITS)
 
 
-def sizes(documents: DataFrame) -> DataFrame:
-    """doc_id, source and size in words; a null text has size 0."""
+def sizes(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size in words and ``keep``; a null text has size 0."""
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("bigint")
-    return documents.select("doc_id", "source", size.alias("size"))
+    return documents.select("doc_id", "source", size.alias("size"), *keep)
 
 
 def targets(sized: DataFrame, share: float, cycle: Sequence[int], most: float) -> DataFrame:
@@ -58,8 +58,9 @@ def mix(
     cycle: Sequence[int] = (3, 1, 2),
     most: float = 2.0,
     seed: int = SEED,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken for every row.
+    """doc_id, source, size, source_size, target, copies, taken and ``keep`` for every row.
 
     Every document of a source expects target / source_size copies. The prefix sum of
     that over the source, ordered by size and doc_id, plus one random offset drawn from
@@ -74,7 +75,7 @@ def mix(
     """
     if not cycle or min(cycle) <= 0 or share < 0 or most < 0:
         raise ValueError("weights must be positive, share and most not negative")
-    sized = cut(sizes(documents))
+    sized = cut(sizes(documents, keep))
     aim = cut(targets(sized, share, cycle, most))
     ranked = running(sized, ["source"], ["size", "doc_id"])
     right = aim.select(F.col("source").alias("_source"), "source_size", "target")
@@ -85,4 +86,16 @@ def mix(
     upto = F.shiftright(F.col("rank") * F.col("_each") + F.lit(offset), UNIT_BITS)
     before = F.shiftright((F.col("rank") - 1) * F.col("_each") + F.lit(offset), UNIT_BITS)
     out = out.withColumn("copies", (upto - before).cast("bigint"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", taken, *keep)
+
+
+def mixed(documents: DataFrame, **how) -> DataFrame:
+    """The documents with their columns, every row as many times as the mixture takes it."""
+    row, copies = fresh(documents, "_row"), fresh(documents, "_copies")
+    # Written down, as the number of a row must be the same in both reads.
+    numbered = cut(documents.withColumn(row, F.monotonically_increasing_id()))
+    drawn = mix(numbered, keep=[row], **how).filter("copies > 0")
+    drawn = drawn.select(F.col(row).alias("_drawn"), F.col("copies").cast("int").alias(copies))
+    taken = numbered.join(drawn, F.col(row) == F.col("_drawn"))
+    return taken.select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies)).select(*documents.columns)

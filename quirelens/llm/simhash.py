@@ -9,7 +9,7 @@ compared bit for bit.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelens.llm.common import ship, text_of
+from quirelens.llm.common import fresh, ship, text_of
 from quirelens.operators.graph import components
 from quirelens.plans.lineage import cut
 
@@ -55,17 +55,19 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(on, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long), one row per document."""
+def fingerprints(documents: DataFrame, words: int = 3, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns of ``keep`` and fp (the fingerprint as a signed long) of every document."""
+    fp, held = fresh(documents, "fp"), fresh(documents, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
+            texts = batch.column(held)
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(fps)], [*keep, fp])
 
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = documents.select(*keep, text_of().alias(held))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, f"{kinds}, `{fp}` bigint")
 
 
 # ---- tiled comparison ----------------------------------------------------------
@@ -147,6 +149,13 @@ def links(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     return met.mapInArrow(compare, "source bigint, target bigint")
 
 
+def groups(fps: DataFrame, radius: int, tile: int) -> DataFrame:
+    """fp and head of its group, for every distinct ``fp``."""
+    nodes = cut(fps.select("fp").distinct())
+    found = components(links(nodes, radius, tile))
+    return cut(nodes.join(found, nodes["fp"] == F.col("member"), "left").select("fp", F.coalesce("representative", "fp").alias("head")))
+
+
 def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, one row per document.
 
@@ -161,12 +170,27 @@ def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3, tile:
     other columns are left alone.
     """
     ship(documents.sparkSession)
-    prints = cut(fingerprints(documents, words))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(nodes.select("fp"), radius, tile))
-    member = F.col("member")
-    grouped = nodes.join(found, nodes["fp"] == member, "left").select("fp", F.coalesce("representative", "fp").alias("head"), "least")
-    least = grouped.groupBy("head").agg(F.min("least").alias("component_id"))
-    placed = cut(grouped.select("fp", "head").join(least, "head").select(F.col("fp").alias("_fp"), "component_id"))
+    prints = cut(fingerprints(documents.select("doc_id", "text"), words))
+    heads = groups(prints, radius, tile)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(heads, "fp")
+    least = least.groupBy("head").agg(F.min("least").alias("component_id"))
+    placed = cut(heads.join(least, "head").select(F.col("fp").alias("_fp"), "component_id"))
     out = prints.join(placed, F.col("fp") == F.col("_fp"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(documents: DataFrame, words: int = 3, radius: int = 3, tile: int = TILE) -> DataFrame:
+    """The documents with their columns, of each group the row with the smallest doc_id.
+
+    Null ids come last, and of rows that repeat an id within a group one stays.
+    """
+    ship(documents.sparkSession)
+    row, fp = fresh(documents, "_row"), fresh(documents, "fp")
+    prints = fingerprints(documents, words, documents.columns)
+    prints = cut(prints.withColumn(row, F.monotonically_increasing_id()))
+    narrow = prints.select(F.col(fp).alias("fp"), "doc_id", F.col(row).alias("row"))
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    # One row per fingerprint first, so that a group of copies is small before it meets its head.
+    each = narrow.groupBy("fp").agg(F.min(best).alias("best")).join(groups(narrow, radius, tile), "fp")
+    stay = each.groupBy("head").agg(F.min("best")["row"].alias("_stays"))
+    return prints.join(cut(stay.select("_stays")), F.col(row) == F.col("_stays"), "left_semi").select(*documents.columns)

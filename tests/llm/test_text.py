@@ -360,6 +360,24 @@ def test_pipeline_stage_by_stage(spark, coder, tmp_path):
     check_packing(after.collect(), [(r["doc_id"], r["text"]) for r in before.collect()], coder, 2048)
 
 
+def test_stages_count_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(9)
+    same, other = brute.prose(rng, 40), brute.prose(rng, 40)
+    rows = [(1, same), (1, same), (None, same), (1, other), (None, brute.prose(rng, 40)), (None, brute.prose(rng, 40)), (4, None), (5, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], DOCS)
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    left = pipeline.dedup_near(spark, docs, SF)
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(1, same), (1, other), rows[4], rows[5], (4, None)])
+    left.write.parquet(str(tmp_path / "left"))
+    taken = pipeline.mix_sources(spark, spark.read.parquet(str(tmp_path / "left")), SF)
+    assert taken.columns == docs.columns
+    counts = Counter((r["doc_id"], r["text"]) for r in taken.collect())
+    assert set(counts.values()) <= {1, 2} and 5 <= sum(counts.values()) <= 9
+
+
 def test_pipeline_without_rows(spark, tmp_path):
     import corpus_pipeline as pipeline
 
