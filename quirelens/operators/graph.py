@@ -184,7 +184,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         sides = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
         degree = sides.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
         best = (
-            lookup_join(sides, degree, ["b"], "inner", ["a"])
+            lookup_join(sides, degree, ["b"], "inner", ["a"], moves_on=True)
             .groupBy("a")
             .agg(
                 F.max(F.struct("n", F.xxhash64("b").alias("h"), F.col("b").alias("v"))).alias("near"),
@@ -195,13 +195,13 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         move = best.select(F.col("a").alias("member"), F.greatest(own, F.col("near"))["v"].alias("head"))
         for _ in range(JUMPS):
             ahead = move.select(F.col("member").alias("head"), F.col("head").alias("_head"))
-            move = lookup_join(move, ahead, ["head"], "inner", ["member"]).select("member", F.col("_head").alias("head"))
+            move = lookup_join(move, ahead, ["head"], "inner", ["member"], moves_on=True).select("member", F.col("_head").alias("head"))
         move = cut(move)
         moves.append(move)
         moved = edges
         for end, other in (("_lo", "_hi"), ("_hi", "_lo")):
             side = move.select(F.col("member").alias(end), F.col("head").alias("_head"))
-            moved = lookup_join(moved, side, [end], "inner", [other]).select(F.col("_head").alias(end), other)
+            moved = lookup_join(moved, side, [end], "inner", [other], moves_on=True).select(F.col("_head").alias(end), other)
         before, edges = edges, cut(moved.select(*_unordered("_lo", "_hi")).filter("_lo <> _hi").distinct())
         release(before)
     if moves:
@@ -209,13 +209,13 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         final = moves[-1]
         for move in reversed(moves[:-1]):
             later = final.select(F.col("member").alias("head"), F.col("head").alias("_next"))
-            final = lookup_join(move, later, ["head"], "left", ["member"]).select(
+            final = lookup_join(move, later, ["head"], "left", ["member"], moves_on=True).select(
                 "member", F.coalesce("_next", "head").alias("head")
             )
         final = cut(final)
         release(*moves)
         least = final.groupBy("head").agg(F.min("member").alias("representative"))
-        out = lookup_join(final, least, ["head"], "inner", ["member"]).select("member", "representative")
+        out = lookup_join(final, least, ["head"], "inner", ["member"], moves_on=True).select("member", "representative")
     else:
         out = edges.select(F.col("_lo").alias("member"), F.col("_hi").alias("representative"))
     if nodes is None:

@@ -27,11 +27,13 @@ def fits_broadcast(df: DataFrame) -> bool:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 
 
-def splits_skew(df: DataFrame) -> bool:
-    """Whether the session splits skewed join partitions by itself."""
+def splits_skew(df: DataFrame, forced: bool = True) -> bool:
+    """Whether the session splits skewed join partitions by itself. Unless that is
+    ``forced``, Spark passes over a split that would cost it a shuffle."""
     conf = df.sparkSession.conf
-    wanted = {"enabled": "true", "skewJoin.enabled": "true", "forceOptimizeSkewedJoin": "false"}
-    # Without the last one Spark passes over a split that would cost it a shuffle.
+    wanted = {"enabled": "true", "skewJoin.enabled": "true"}
+    if forced:
+        wanted["forceOptimizeSkewedJoin"] = "false"
     return all(conf.get(f"spark.sql.adaptive.{k}", default) == "true" for k, default in wanted.items())
 
 
@@ -53,13 +55,15 @@ def lookup_join(
     on: Sequence[str],
     how: str = "left",
     salt_by: Sequence[str] = (),
+    moves_on: bool = False,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on equal columns when a left key may be hot.
 
     ``salt_by`` names left columns that vary inside a hot key (a row id). ``how``
-    is one of inner, left, left_semi, left_anti.
+    is one of inner, left, left_semi, left_anti. ``moves_on`` says that the rows are
+    written or shuffled by another key next, so that a split costs no shuffle.
     """
-    if not salt_by or splits_skew(left) or fits_broadcast(right):
+    if not salt_by or splits_skew(left, not moves_on) or fits_broadcast(right):
         return left.join(right, list(on), how)
     return salted_join(left, right, on, how, salt_by)
 
