@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from conftest import rows
 from quirelens.functions import paths, urls
 from quirelens.operators import links
