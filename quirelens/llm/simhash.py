@@ -177,20 +177,3 @@ def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3, tile:
     placed = cut(heads.join(least, "head").select(F.col("fp").alias("_fp"), "component_id"))
     out = prints.join(placed, F.col("fp") == F.col("_fp"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(documents: DataFrame, words: int = 3, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """The documents with their columns, of each group the row with the smallest doc_id.
-
-    Null ids come last, and of rows that repeat an id within a group one stays.
-    """
-    ship(documents.sparkSession)
-    row, fp = fresh(documents, "_row"), fresh(documents, "fp")
-    prints = fingerprints(documents, words, documents.columns)
-    prints = cut(prints.withColumn(row, F.monotonically_increasing_id()))
-    narrow = prints.select(F.col(fp).alias("fp"), "doc_id", F.col(row).alias("row"))
-    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    # One row per fingerprint first, so that a group of copies is small before it meets its head.
-    each = narrow.groupBy("fp").agg(F.min(best).alias("best")).join(groups(narrow, radius, tile), "fp")
-    stay = each.groupBy("head").agg(F.min("best")["row"].alias("_stays"))
-    return prints.join(cut(stay.select("_stays")), F.col(row) == F.col("_stays"), "left_semi").select(*documents.columns)

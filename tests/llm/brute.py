@@ -51,6 +51,21 @@ def near(texts, radius=3):
     return [(d, f"{prints[i]:016x}", min(least[root(i)], default=None)) for i, (d, _) in enumerate(texts)]
 
 
+def similar(texts, words=5):
+    """texts: [(doc_id, text)]; the least ids of the groups of near copies, and the pairs of places that are near copies"""
+    sets = []
+    for _, t in texts:
+        w = [x.lower() for x in WORD.findall(t or "")]
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))})
+    group, pairs = list(range(len(texts))), []
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) * 5 >= len(a | b) * 4:
+                pairs.append((i, j))
+                group = [group[j] if g == group[i] else g for g in group]
+    return sorted({min(d for (d, _), h in zip(texts, group) if h == g) for g in group}), pairs
+
+
 def targets(sizes, share=1.5, cycle=(3, 1, 2), most=2.0):
     """sizes: {source: words}; excess is shared out again and again."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))

@@ -378,6 +378,31 @@ def test_stages_count_rows_not_ids(spark, tmp_path):
     assert set(counts.values()) <= {1, 2} and 5 <= sum(counts.values()) <= 9
 
 
+def test_near_dedup_finds_all_similar_pairs(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(12)
+    rows = []
+    for _ in range(40):
+        base = brute.prose(rng, rng.randrange(60, 200), 3000).split()
+        for edits in (0, 1, 1, 2, 3, 4):
+            words = list(base)
+            for at in rng.sample(range(len(words)), edits):
+                words[at] = "new"
+            rows.append((len(rows), " ".join(words[: len(words) - rng.randrange(4)])))
+    # A group whose members all share a passage, of which some are near copies.
+    passage = brute.prose(rng, 70, 3000)
+    rows += [(len(rows) + i, f"{passage} {brute.prose(rng, rng.randrange(4, 16), 3000)}") for i in range(60)]
+    rng.shuffle(rows)
+    want, pairs = brute.similar(rows)
+    prints = [brute.fingerprint(t) for _, t in rows]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 3 for i, j in pairs) > len(pairs) // 4  # what a radius of 3 misses
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], DOCS)
+    docs.write.parquet(str(tmp_path / "docs"))
+    left = pipeline.dedup_near(spark, spark.read.parquet(str(tmp_path / "docs")), SF)
+    assert sorted(r["doc_id"] for r in left.collect()) == want
+
+
 def test_pipeline_without_rows(spark, tmp_path):
     import corpus_pipeline as pipeline
 
