@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelens.llm import exact, lines, mixing, packing, pii, simhash, topk, toxicity, urls, warc
+from quirelens.llm import exact, lines, mixing, packing, pii, quality, simhash, spelling, topk, toxicity, urls, warc, whitening
 from quirelens.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,127 @@ def _url_sql(depth: int = 3, branches: int = 32, z2: float = 3.84, strength: flo
 @query("op10_url_filter", _url_sql())
 def op10(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op11_whitening")
+def op11(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def _quality_sql() -> str:
+    share, error, lift = f"{quality.SHARE}::DOUBLE", f"{quality.ERROR}::DOUBLE", f"{quality.LIFT}::DOUBLE"
+    quoted = lambda chars: chars.replace("'", "''")
+    values = {
+        "symbols": "n_symbols::DOUBLE / greatest(word_chars, 1)", "marks": "n_marks::DOUBLE / greatest(word_chars, 1)",
+        "capitals": "n_capitals::DOUBLE / greatest(word_chars, 1)", "dup_lines": "n_dup_lines::DOUBLE / greatest(n_lines, 1)",
+        "repeats": "n_repeat_words::DOUBLE / greatest(n_words, 1)", "long_words": "word_chars::DOUBLE / greatest(n_words, 1)",
+        "short_words": "-(word_chars::DOUBLE / greatest(n_words, 1))", "long_lines": "n_words::DOUBLE / greatest(n_lines, 1)",
+    }
+    assert list(values) == list(quality.RULES)
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+    a AS (
+      SELECT r, doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS l FROM d),
+    win AS (
+      SELECT r, i, list_slice(w, i, i + 7) AS x FROM (SELECT r, w, unnest(range(1, CAST(len(w) AS BIGINT) - 6)) AS i FROM a WHERE len(w) > 8)),
+    twice AS (SELECT r, x FROM win GROUP BY r, x HAVING count(*) > 1),
+    hit AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS j FROM win JOIN twice USING (r, x)),
+    rep AS (SELECT r, CAST(sum(least(8, coalesce(j - i, 8))) AS BIGINT) AS n_repeat_words FROM hit GROUP BY r),
+    m AS (
+      SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(translate(t, '{quoted(quality.SYMBOLS)}', '')) AS BIGINT) AS n_symbols,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+        CAST(len(l) AS BIGINT) AS n_lines,
+        CAST(length(t) - length(translate(t, '{quoted(quality.MARKS)}', '')) AS BIGINT) AS n_marks,
+        CAST(length(t) - length(translate(t, '{quality.CAPITALS}', '')) AS BIGINT) AS n_capitals
+      FROM a LEFT JOIN rep USING (r)),
+    b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+    q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+    v AS (
+      SELECT lang, left(md5(CAST(b.doc_id AS VARCHAR)), 1) < '8' AS choosing, quality, unnest([{
+        ", ".join(f"{{'rule': '{k}', 'value': {x}}}" for k, x in values.items())}], recursive := true)
+      FROM b JOIN q ON b.doc_id = q.doc_id WHERE NOT base_failed),
+    n AS (SELECT lang, choosing, rule, sum(quality) AS n_good, sum(1 - quality) AS n_bad FROM v GROUP BY ALL),
+    counted AS (SELECT lang, choosing, rule, value, sum(quality) AS good FROM v GROUP BY lang, choosing, rule, value),
+    above AS (
+      SELECT lang, choosing, rule, value,
+        coalesce(sum(good) OVER (PARTITION BY lang, choosing, rule ORDER BY value DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above
+      FROM counted),
+    c AS (
+      SELECT x.lang, x.rule, n_good, n_bad, min(value) AS cut_at
+      FROM above x JOIN n ON x.lang IS NOT DISTINCT FROM n.lang AND x.rule = n.rule AND n.choosing
+      WHERE x.choosing AND above <= floor({share} / {len(values)} * n_good) GROUP BY ALL),
+    e AS (
+      SELECT c.lang, c.rule, n_good, n_bad, count(*) FILTER (WHERE value > cut_at AND quality = 1) AS g, count(*) FILTER (WHERE value > cut_at AND quality = 0) AS h
+      FROM c JOIN v ON c.lang IS NOT DISTINCT FROM v.lang AND c.rule = v.rule AND v.choosing GROUP BY ALL),
+    chosen AS (
+      SELECT lang, rule, count(*) OVER (PARTITION BY lang) AS r, count(*) OVER () AS t FROM e WHERE h > 0 AND h * n_good >= {lift} * g * n_bad),
+    trial AS (
+      SELECT x.lang, x.rule, n.n_good, {share} / r AS p, {error} / t AS err
+      FROM chosen x JOIN n ON x.lang IS NOT DISTINCT FROM n.lang AND x.rule = n.rule AND NOT n.choosing),
+    terms AS (SELECT *, unnest(range(0, CAST(floor(n_good * p) AS BIGINT) + 1)) AS k FROM trial WHERE n_good > 0),
+    tail AS (
+      SELECT *, sum(exp(lgamma(n_good + 1) - lgamma(k + 1) - lgamma(n_good - k + 1) + k * ln(p) + (n_good - k) * ln(1 - p)))
+        OVER (PARTITION BY lang, rule ORDER BY k) AS chance FROM terms),
+    bound AS (SELECT lang, rule, max(k) AS k FROM tail WHERE chance <= err GROUP BY ALL),
+    cutoffs AS (
+      SELECT x.lang, x.rule, min(value) AS cutoff
+      FROM above x JOIN bound y ON x.lang IS NOT DISTINCT FROM y.lang AND x.rule = y.rule WHERE NOT choosing AND above <= k GROUP BY ALL),
+    wide AS (SELECT lang, {", ".join(f"max(cutoff) FILTER (WHERE rule = '{k}') AS c_{k}" for k in values)} FROM cutoffs GROUP BY lang),
+    judged AS (
+      SELECT b.*, concat_ws(',', {", ".join(f"CASE WHEN {x} > c_{k} THEN '{k}' END" for k, x in values.items())}) AS failed_rules
+      FROM b LEFT JOIN wide ON b.lang IS NOT DISTINCT FROM wide.lang)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_marks, n_capitals, base_failed, failed_rules,
+      NOT base_failed AND failed_rules = '' AS kept FROM judged"""
+
+
+@query("op12_quality_rules", _quality_sql())
+def op12(spark, sf_dir):
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# Half-bytes of the crc32 polynomial's table: the rule is eight shifts, four of which one entry covers.
+def _crc_steps() -> list[int]:
+    out = []
+    for i in range(16):
+        for _ in range(4):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        out.append(i)
+    return out
+
+
+@query("op13_spelling_variants", f"""
+    WITH RECURSIVE run AS (
+      SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{spelling.UPPER}', '{spelling.LOWER}') AS run FROM documents),
+    once AS (SELECT doc_id, run, count(*) AS n FROM run WHERE length(run) >= 6 GROUP BY ALL),
+    hexed AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM once),
+    hashed AS (
+      SELECT run, n, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(range(CAST(length(x) AS BIGINT)), lambda i: instr('0123456789ABCDEF', substr(x, CAST(xor(i, 1) AS BIGINT) + 1, 1))::BIGINT - 1)),
+        lambda c, v: xor(c >> 4, {_crc_steps()}[CAST(xor(c & 15, v) AS BIGINT) + 1]::BIGINT))) AS h FROM hexed),
+    named AS (
+      SELECT CASE WHEN h % {spelling.DAMAGE} = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n
+      FROM hashed),
+    vocab AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM named WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+    hole AS (
+      SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS short
+      FROM (SELECT word, unnest(range(1, CAST(length(word) AS BIGINT) + 1)) AS i FROM vocab)),
+    near AS (
+      SELECT a.word, b.word AS other FROM hole a JOIN hole b ON a.i = b.i AND a.short = b.short AND a.word <> b.word
+      UNION SELECT h.word, v.word FROM hole h JOIN vocab v ON v.word = h.short
+      UNION SELECT v.word, h.word FROM hole h JOIN vocab v ON v.word = h.short),
+    ranked AS (
+      SELECT near.word, other, n, count(*) OVER (PARTITION BY near.word) AS n_near,
+        row_number() OVER (PARTITION BY near.word ORDER BY n DESC, other) AS k FROM near JOIN vocab ON vocab.word = other),
+    formed AS (
+      SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN r.n >= 5 * v.n THEN other END AS form, CASE WHEN r.n >= 5 * v.n THEN r.n END AS form_n
+      FROM vocab v LEFT JOIN ranked r ON r.word = v.word AND k = 1),
+    chain AS (
+      SELECT word, word AS at FROM formed UNION ALL
+      SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, c.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+    FROM formed f JOIN chain c ON c.word = f.word JOIN formed e ON e.word = c.at AND e.form IS NULL
+""")
+def op13(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
