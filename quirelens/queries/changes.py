@@ -9,7 +9,8 @@ from quirelens.plans.skew import lookup_join
 from quirelens.queries.registry import query
 from quirelens.session import table
 from quirelens.sources.files import file_census as census
-from quirelens.sources.sinks import BaselineStore, write_changed
+from quirelens.sources.parts import PartStore
+from quirelens.sources.sinks import BaselineStore
 from quirelens.sources.sinks import write_plan as plan_write
 
 
@@ -406,17 +407,35 @@ def first_run_reasons(spark, sf):
     FROM orders GROUP BY o_orderpriority""",
 )
 def changed_parts_written(spark, sf):
-    """Write the orders by priority, the lowest as a part without a name, then again after
+    """Commit the orders by priority, the lowest as a part without a name, then again after
     a change of states, and of one priority's times by a microsecond; only parts that
-    differ are rewritten the second time."""
-    path = scratch_path(spark)
+    differ are written the second time."""
+    store, new = _order_versions(spark, sf)
+    return store.commit(new)
+
+
+def _order_versions(spark, sf):
+    """A store whose first version holds the orders by priority, and the rows of a second one."""
+    store = PartStore(spark, scratch_path(spark))
     part = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("part")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", part, "o_orderdate")
-    write_changed(orders, path, "part")
+    store.commit(orders, stage=False)
     late = F.expr("o_orderstatus = 'P' and o_orderdate >= timestamp_ntz '2001-07-01'") | F.coalesce(F.col("part") == "1-URGENT", F.lit(False))
     at = F.expr("if(part like '4%', o_orderdate + interval 1 microsecond, o_orderdate)")
-    new = orders.withColumn("o_orderstatus", F.when(late, "X").otherwise(F.col("o_orderstatus"))).withColumn("o_orderdate", at)
-    return write_changed(new, path, "part")
+    return store, orders.withColumn("o_orderstatus", F.when(late, "X").otherwise(F.col("o_orderstatus"))).withColumn("o_orderdate", at)
+
+
+@query(
+    "rows_of_changed_parts",
+    """SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS part, o_orderkey, 'changed' AS status
+    FROM orders WHERE (o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '2001-07-01')
+      OR o_orderpriority = '1-URGENT' OR o_orderpriority LIKE '4%'""",
+)
+def rows_of_changed_parts(spark, sf):
+    """The rows that differ between two committed versions; files of equal parts stay closed."""
+    store, new = _order_versions(spark, sf)
+    store.commit(new)
+    return store.row_changes(["o_orderkey"], *store.versions())
 
 
 @query(
