@@ -3,19 +3,23 @@
 The index only narrows the documents to compare. A scan of all texts gives the
 same answer and stands in whenever the index cannot be trusted: it is missing, its
 fence is not the current revision, or it does not hold as many postings as it was
-made with. Nothing that answers a query writes.
+made with. Stored generations (``sources.generations``) also carry a digest per bucket of
+grams, and a query checks the buckets it reads. Nothing that answers a query writes.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelens.functions.text import grams
+from quirelens.plans.skew import lookup_join
 from quirelens.plans.windows import next_in_group
 
 GRAM = 3
+# Postings are dealt to so many buckets, each with a digest; a query reads a bucket for each of its grams.
+BUCKETS = 1024
 
 # The states of an index generation, in order.
 STATES = ("building", "ready", "retired", "removed")
@@ -46,6 +50,67 @@ def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     postings.sortWithinPartitions("gram", key).write.parquet(path)
 
 
+def bucket_of(gram) -> Column:
+    """The bucket of a gram, one of BUCKETS."""
+    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+
+
+def bucket_digests(postings: DataFrame, key: str = "doc_id") -> DataFrame:
+    """bucket and digest of the postings (gram, key) of each bucket, whatever their order.
+
+    A digest is the number of postings and two sums of 64-bit hashes of each: a posting changed, lost, repeated
+    or moved to another gram or document changes it. Sums combine before the shuffle, so a bucket
+    is never gathered.
+    """
+    sums = [F.sum(h.cast("decimal(20,0)")).cast("string") for h in (F.xxhash64("gram", key), F.xxhash64(F.lit("digest"), key, "gram"))]
+    counted = postings.groupBy(bucket_of("gram").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), sums[0].alias("a"), sums[1].alias("b"))
+    return counted.select("bucket", F.concat_ws(":", F.col("n").cast("string"), "a", "b").alias("digest"))
+
+
+def query_grams(query: str) -> list[str]:
+    return sorted({query[i : i + GRAM] for i in range(len(query) - GRAM + 1)})
+
+
+def files_fence(docs: DataFrame) -> str:
+    """A fence that changes with any file of a file-based frame: its files' names, sizes and times, not their rows."""
+    file = F.col("_metadata")
+    files = docs.select(file["file_path"].alias("p"), file["file_size"].alias("n"), file["file_modification_time"].alias("t")).distinct()
+    row = files.agg(F.count(F.lit(1)).alias("files"), F.sum(F.xxhash64("p", "n", "t").cast("decimal(20,0)")).alias("h")).first()
+    return f"{row['files']}:{row['h']}"
+
+
+def lives(attempts: DataFrame, key: str = "generation", at: str = "at") -> DataFrame:
+    """Each generation's life, replayed from attempts to change its state.
+
+    ``attempts`` holds key, at (unique per key) and the wanted state. An attempt succeeds if the state before the
+    wanted one is current: a generation enters each state once, by the first attempt after it entered the one
+    before. Gives when each state was entered (``building_at`` and so on), the state, and how many attempts were
+    refused. Generations that nobody began have none. Each step is a least value that combines before its shuffle.
+    """
+    tries = attempts.select(key, at, "state")
+    out = tries.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_attempts"), F.min(F.when(F.col("state") == STATES[0], F.col(at))).alias(f"{STATES[0]}_at"))
+    for before, state in zip(STATES, STATES[1:]):
+        since = out.filter(F.col(f"{before}_at").isNotNull()).select(key, F.col(f"{before}_at").alias("_since"))
+        later = lookup_join(tries.filter(F.col("state") == state), since, [key], "inner", [at]).filter(F.col(at) > F.col("_since"))
+        out = out.join(later.groupBy(key).agg(F.min(at).alias(f"{state}_at")), key, "left")
+    times = [f"{s}_at" for s in STATES]
+    current = F.coalesce(*[F.when(F.col(f"{s}_at").isNotNull(), F.lit(s)) for s in reversed(STATES)])
+    taken = sum((F.col(t).isNotNull().cast("bigint") for t in times), F.lit(0).cast("bigint"))
+    return out.select(key, *times, current.alias("state"), (F.col("n_attempts") - taken).alias("n_refused"))
+
+
+def removable(generations: DataFrame, leases: DataFrame, now, key: str = "generation") -> DataFrame:
+    """Retired generations that nobody holds at ``now``.
+
+    ``generations`` holds key and state; ``leases`` holds key, acquired_at, expires_at and released_at (null: not
+    released). A lease holds from when it was acquired until it was released or expires.
+    """
+    now = F.lit(now) if not isinstance(now, Column) else now
+    held = leases.filter((F.col("acquired_at") <= now) & (F.col("expires_at") > now) & (F.col("released_at").isNull() | (F.col("released_at") > now)))
+    return generations.filter("state = 'retired'").join(held.select(key).distinct(), key, "left_anti").select(key)
+
+
 def index_identity(index: DataFrame, fence) -> DataFrame:
     """The row that tells later whether an index is whole and of which revision it is."""
     return index.agg(F.lit(fence).cast("bigint").alias("core_revision_fence"), F.count(F.lit(1)).alias("n_postings"))
@@ -69,7 +134,7 @@ def direct_scan(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
 def trigram_search(index: DataFrame, docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents whose text contains ``query``. Queries under three characters have
     no gram and are scanned."""
-    wanted = sorted({query[i : i + GRAM] for i in range(len(query) - GRAM + 1)})
+    wanted = query_grams(query)
     if not wanted:
         return direct_scan(docs, query, text)
     # Different grams count: an id that comes twice has some of its postings twice.

@@ -28,7 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession) -> str:
     """A new path in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_folder(spark)}/quirelens-{uuid.uuid4().hex}"
+    return shared_path(spark, uuid.uuid4().hex)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """The path of that name in the shared folder, removed when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/quirelens-{name}"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     target.getFileSystem(hadoop).deleteOnExit(target)

@@ -1,14 +1,17 @@
 """Explorer filters and full-text search."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from quirelens.functions.hashing import sha256_hex
 from quirelens.operators import catalog, fulltext, search
-from quirelens.plans.lineage import scratch_path
+from quirelens.plans.lineage import scratch_path, shared_path
 from quirelens.queries.audits import TRADE_SQL, trade_edges
 from quirelens.queries.links import LINKS_SQL
 from quirelens.queries.registry import query
 from quirelens.session import table
+from quirelens.sources.generations import GenerationStore
 from quirelens.sources.markup import extract_links
 
 
@@ -71,22 +74,10 @@ def edge_filter(spark, sf):
     return search.filter_edges(trade_edges(spark, sf).distinct(), "logical", "s1", nearby=True)
 
 
-_GENERATIONS: dict[tuple[str, str], list] = {}
-
-
-def _generations(spark, sf):
-    """The stored index of the documents: built by the first search of a session and
-    read by the later ones, as an index is."""
-    name = (spark.sparkContext.applicationId, sf)
-    docs = table(spark, sf, "documents")
-    if name not in _GENERATIONS:
-        fence = docs.agg(F.max("doc_id")).first()[0]
-        _GENERATIONS[name] = fulltext.build_generation(docs, scratch_path(spark), 1, "code", fence).collect()
-    rows = spark.createDataFrame(_GENERATIONS[name], GENERATION)
-    return docs, rows, docs.agg(F.max("doc_id").alias("local_revision"))
-
-
-GENERATION = "index_generation_id bigint, kind string, state string, core_revision_fence bigint, n_postings bigint, path string"
+def _index(spark, sf):
+    """Where the index of a folder's documents is kept. ``index_build`` writes it; searches only read, and
+    scan while there is none."""
+    return GenerationStore(spark, shared_path(spark, "search-" + hashlib.md5(sf.encode()).hexdigest()))
 
 
 @query(
@@ -96,16 +87,20 @@ GENERATION = "index_generation_id bigint, kind string, state string, core_revisi
     SELECT gram, count(*) AS n_documents FROM g GROUP BY 1""",
 )
 def index_build(spark, sf):
-    """Build and store a generation, and count what it holds."""
-    docs = table(spark, sf, "documents")
-    path = fulltext.build_generation(docs, scratch_path(spark), 1, "code", 0).first()["path"]
-    return spark.read.parquet(path).groupBy("gram").agg(F.count(F.lit(1)).alias("n_documents"))
+    """Build a generation, publish it, remove retired ones, and count what the new one holds."""
+    docs, store = table(spark, sf, "documents"), _index(spark, sf)
+    number = store.build(docs, fulltext.files_fence(docs))
+    for old, state in store.states().items():
+        if state == "retired":
+            store.remove(old)
+    with store.lease(number) as postings:
+        return postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
 @query("trigram_search", "SELECT doc_id, lang FROM documents WHERE contains(text, 'tion the')")
 def trigram_search(spark, sf):
-    docs, generations, core = _generations(spark, sf)
-    return fulltext.search_ready(docs, "tion the", generations, "code", core).select("doc_id", "lang")
+    docs = table(spark, sf, "documents")
+    return _index(spark, sf).search(docs, "tion the", fulltext.files_fence(docs)).select("doc_id", "lang")
 
 
 @query("direct_scan", "SELECT doc_id, lang FROM documents WHERE contains(text, 'tion the')")
@@ -115,8 +110,8 @@ def direct_scan(spark, sf):
 
 @query("short_search", "SELECT doc_id, lang FROM documents WHERE contains(text, 'Th')")
 def short_search(spark, sf):
-    docs, generations, core = _generations(spark, sf)
-    return fulltext.search_ready(docs, "Th", generations, "code", core).select("doc_id", "lang")
+    docs = table(spark, sf, "documents")
+    return _index(spark, sf).search(docs, "Th", fulltext.files_fence(docs)).select("doc_id", "lang")
 
 
 @query(
@@ -125,10 +120,65 @@ def short_search(spark, sf):
       THEN 'index stale' END AS fallback_reason FROM documents WHERE contains(text, 'Ment')""",
 )
 def search_fallback(spark, sf):
-    docs, generations, core = _generations(spark, sf)
-    fence = table(spark, sf, "labels").agg(F.max("doc_id").alias("core_revision_fence")).scalar()
-    old = generations.withColumn("core_revision_fence", fence)
-    return fulltext.search_ready(docs, "Ment", old, "code", core).select("doc_id", "fallback_reason")
+    """A search under one revision of an index built under another."""
+    docs, store = table(spark, sf, "documents"), GenerationStore(spark, scratch_path(spark))
+    last = {t: str(table(spark, sf, t).agg(F.max("doc_id")).first()[0]) for t in ("documents", "labels")}
+    store.build(docs, last["labels"])
+    return store.search(docs, "Ment", last["documents"]).select("doc_id", "fallback_reason")
+
+
+@query("search_corrupt", "SELECT doc_id, 'index corrupt' AS fallback_reason FROM documents WHERE contains(text, 'tion the')")
+def search_corrupt(spark, sf):
+    """A search in an index that has lost the postings of a document in seven: its digests tell, and the scan answers."""
+    docs, store = table(spark, sf, "documents"), GenerationStore(spark, scratch_path(spark))
+    whole, less = store.begin("1"), store.begin("1")
+    digests = store.write(whole, docs)
+    store.write(less, docs.filter("doc_id % 7 <> 3"))
+    store.publish(less, digests)
+    return store.search(docs, "tion the", "1").select("doc_id", "fallback_reason")
+
+
+_STATE_SQL = """CASE event_type WHEN 'signup' THEN 'building' WHEN 'view' THEN 'ready' WHEN 'purchase' THEN 'retired' WHEN 'error' THEN 'removed' END"""
+_LIVES_SQL = f"""
+    a AS (SELECT user_id, event_id, ts, {_STATE_SQL} AS state FROM events WHERE event_type <> 'click'),
+    g0 AS (SELECT user_id, count(*) AS n, min(event_id) FILTER (WHERE state = 'building') AS building_at FROM a GROUP BY 1),
+    g1 AS (SELECT g0.*, (SELECT min(event_id) FROM a WHERE a.user_id = g0.user_id AND state = 'ready' AND event_id > building_at) AS ready_at FROM g0),
+    g2 AS (SELECT g1.*, (SELECT min(event_id) FROM a WHERE a.user_id = g1.user_id AND state = 'retired' AND event_id > ready_at) AS retired_at FROM g1),
+    g3 AS (SELECT g2.*, (SELECT min(event_id) FROM a WHERE a.user_id = g2.user_id AND state = 'removed' AND event_id > retired_at) AS removed_at FROM g2),
+    lives AS (SELECT user_id, building_at, ready_at, retired_at, removed_at,
+      CASE WHEN removed_at IS NOT NULL THEN 'removed' WHEN retired_at IS NOT NULL THEN 'retired' WHEN ready_at IS NOT NULL THEN 'ready'
+        WHEN building_at IS NOT NULL THEN 'building' END AS state,
+      n - (building_at IS NOT NULL)::BIGINT - (ready_at IS NOT NULL)::BIGINT - (retired_at IS NOT NULL)::BIGINT - (removed_at IS NOT NULL)::BIGINT AS n_refused
+    FROM g3)"""
+
+
+def _lives(spark, sf, removed="error"):
+    """Lives of generations, one per user, whose events are attempts to change the state."""
+    e = F.col("event_type")
+    state = F.when(e == "signup", "building").when(e == "view", "ready").when(e == "purchase", "retired").when(e == removed, "removed")
+    events = table(spark, sf, "events").filter(e != "click")
+    return fulltext.lives(events.select("user_id", "event_id", state.alias("state")), "user_id", "event_id")
+
+
+@query("generation_lives", f"WITH {_LIVES_SQL} SELECT * FROM lives")
+def generation_lives(spark, sf):
+    return _lives(spark, sf)
+
+
+@query(
+    "removable_generations",
+    f"""WITH {_LIVES_SQL.replace("WHEN 'error' THEN 'removed'", "")}, now AS (SELECT max(ts) AS now FROM events),
+    held AS (SELECT DISTINCT user_id FROM events, now WHERE event_type = 'click' AND ts <= now AND ts + to_microseconds(CAST(floor(value * 60000000) AS BIGINT)) > now)
+    SELECT user_id FROM lives WHERE state = 'retired' AND user_id NOT IN (SELECT user_id FROM held)""",
+)
+def removable_generations(spark, sf):
+    """Retired generations that no lease holds; a click takes one for as many minutes as its value."""
+    events = table(spark, sf, "events")
+    leases = events.filter("event_type = 'click'").select(
+        "user_id", F.col("ts").alias("acquired_at"),
+        F.expr("ts + make_dt_interval(0, 0, 0, cast(floor(value * 60000000) as decimal(18, 0)) / 1000000)").alias("expires_at"),
+        F.lit(None).cast("timestamp_ntz").alias("released_at"))
+    return fulltext.removable(_lives(spark, sf, "none"), leases, events.agg(F.max("ts")).scalar(), "user_id")
 
 
 @query(
