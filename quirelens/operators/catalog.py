@@ -33,6 +33,22 @@ def equivalence_closure(relations: DataFrame, members: DataFrame | None, kind: s
     return components(edges.dropna(), members)
 
 
+def equivalence_closures(relations: DataFrame, members: DataFrame) -> DataFrame:
+    """entity_kind, member and the least member it is equivalent to, of all kinds in one run.
+
+    ``relations`` holds entity_kind, left and right, ``members`` holds entity_kind and node; ids of
+    different kinds are different. A relation without a kind relates nothing; members without
+    one stand for themselves.
+    """
+    known = relations.dropna(subset=["entity_kind", "left", "right"])
+    end = lambda c: F.struct(F.col("entity_kind").alias("kind"), F.col(c).alias("id"))
+    found = components(known.select(end("left").alias("source"), end("right").alias("target")))
+    found = found.select(F.col("member.kind").alias("entity_kind"), F.col("member.id").alias("member"), F.col("representative.id").alias("representative"))
+    every = members.select("entity_kind", F.col("node").alias("member")).distinct()
+    return every.join(found, ["entity_kind", "member"], "left").select(
+        "entity_kind", "member", F.coalesce("representative", "member").alias("representative"))
+
+
 def available_objects(objects: DataFrame, object_payloads: DataFrame, payloads: DataFrame, quarantine: DataFrame) -> DataFrame:
     """Objects whose payload is kept and not quarantined."""
     kept = (

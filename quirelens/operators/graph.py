@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelens.plans.frames import union_all
 from quirelens.plans.lineage import Pieces, cut, release
 from quirelens.plans.skew import lookup_join
 from quirelens.plans.windows import next_in_group
@@ -96,52 +97,91 @@ def mark_path(nodes: DataFrame, edges: DataFrame, steps: DataFrame, position: st
 
 # Doubled links may outnumber the edges by this factor before hops stay single.
 GROWTH = 8
+# A node is a hub when more two-hop walks than this lead through it.
+HUB = 64
 
 
-def _doubled(links: DataFrame, budget: int) -> DataFrame | None:
-    """Pairs joined by two of ``links`` in a row, or None when there could be more than
-    ``budget`` of them. The bound is counted before any pair is made."""
+def _through(links: DataFrame) -> DataFrame:
+    """For each node that links lead through, how many come in (a) and go out (b)."""
     into = links.groupBy(F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("a"))
     out = links.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("b"))
-    bound = into.join(out, "node").agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0]
+    return into.join(out, "node")
+
+
+def _doubled(links: DataFrame, budget: int, hubs: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame | None:
+    """Pairs joined by two of ``links`` in a row, or None when there could be more than
+    ``budget`` of them. The bound is counted before any pair is made.
+
+    No walk leads through one of ``hubs``. Pairs of ``known`` have a shorter walk, as has a node to
+    itself, and are left out: on a line that can be walked both ways two ends are left to
+    each node, where all walks would give as many as there are steps.
+    """
+    through = _through(links)
+    if hubs is not None:
+        through = through.join(hubs, "node", "left_anti")
+    bound = through.agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0]
     if bound is None or bound > budget:
         return None
     first = links.withColumnRenamed("target", "mid")
     second = links.withColumnRenamed("source", "mid")
-    return cut(lookup_join(first, second, ["mid"], "inner", ["source"]).select("source", "target").distinct())
+    if hubs is not None:
+        first = first.join(hubs.select(F.col("node").alias("mid")), "mid", "left_anti")
+    pairs = lookup_join(first, second, ["mid"], "inner", ["source"]).select("source", "target").distinct()
+    if known is not None:
+        pairs = pairs.filter("source <> target").join(known, ["source", "target"], "left_anti")
+    return cut(pairs)
 
 
 def walk(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes reached from each origin along edge direction, with the least hops.
 
-    ``seeds`` holds origin and node. Links of 2, 4, 8, ... hops are made first, as
-    long as they stay few: a history that is mostly one line gets links as long as
-    itself, a dense graph none. The frontier then strides along the longest links,
-    and the shorter ones fill in between, longest first. Every shortest path is a
-    run of strides and at most one link of each shorter length, so the least
-    hops found are exact, and a line of n edges takes about log2(n) rounds.
+    ``seeds`` holds origin and node. Links of 2, 4, 8, ... hops that lead through no hub are
+    made first. Between two hubs a shortest path is a run of strides along the longest links
+    and at most one link of each shorter length, longest first, so a segment of n
+    edges takes about log2(n) rounds. Hubs are where segments end: those that were
+    reached, each with its distance, are the sources of the next segments. So a line takes
+    rounds in the logarithm of its length also where a star sits on it, and a path through h
+    hubs that many times h. Where all nodes are hubs, as in a dense graph, hops are single.
     """
-    links = [cut(edges.select("source", "target").distinct())]
+    links = [cut(edges.select("source", "target").filter("source <> target").distinct())]
     n_edges = links[0].count()
-    # No shortest path has more hops than there are edges, even where edges turn in
-    # a circle and can be doubled for ever.
+    hubs = cut(_through(links[0]).filter(F.col("a").cast("double") * F.col("b") > HUB).select("node"))
+    # No shortest path has more hops than there are edges.
     while 1 << len(links) <= n_edges:
-        longer = _doubled(links[-1], GROWTH * n_edges)
+        longer = _doubled(links[-1], GROWTH * n_edges, hubs, union_all(links))
         if longer is None or longer.isEmpty():
             break
         links.append(longer)
-    stride = 1 << (len(links) - 1)
+    top = len(links) - 1
     reached = Pieces()
     frontier = reached.add(seeds.select("origin", "node").distinct().withColumn("hops", F.lit(0).cast("bigint")))
-    while not frontier.isEmpty():
-        step = _along(frontier, links[-1]).select("origin", "node").distinct()
-        new = step.join(reached.all().select("origin", "node"), ["origin", "node"], "left_anti")
-        frontier = reached.add(new.withColumn("hops", F.lit(len(reached.paths) * stride).cast("bigint")))
-    found = reached.all()
-    for i, shorter in reversed(list(enumerate(links[:-1]))):
-        step = _along(found, shorter).withColumn("hops", F.col("hops") + (1 << i))
-        found = cut(found.unionByName(step).groupBy("origin", "node").agg(F.min("hops").alias("hops")))
-    return found
+    while True:
+        # What this round has found, in pieces; a later stage goes on from all of them.
+        found = [frontier]
+        while not found[-1].isEmpty():
+            found.append(_nearer(reached, found[-1], links[top], 1 << top))
+        found.pop()
+        for i in reversed(range(top)):
+            step = _nearer(reached, union_all(found) if found else frontier, links[i], 1 << i)
+            if not step.isEmpty():
+                found.append(step)
+        if not top or len(found) < 2:
+            return _least(reached)
+        frontier = cut(union_all(found[1:]).join(hubs, "node", "left_semi").groupBy("origin", "node").agg(F.min("hops").alias("hops")))
+        if frontier.isEmpty():
+            return _least(reached)
+
+
+def _least(reached: Pieces) -> DataFrame:
+    return reached.all().groupBy("origin", "node").agg(F.min("hops").alias("hops"))
+
+
+def _nearer(reached: Pieces, places: DataFrame, links: DataFrame, hops: int) -> DataFrame:
+    """Places that one of ``links`` leads to from ``places`` in fewer hops than any known way, added to ``reached``."""
+    step = _along(places, links).groupBy("origin", "node").agg((F.min("hops") + hops).alias("hops"))
+    before = _least(reached).withColumnRenamed("hops", "_hops")
+    new = step.join(before, ["origin", "node"], "left").filter("_hops is null or hops < _hops")
+    return reached.add(new.select("origin", "node", "hops"))
 
 
 def _along(places: DataFrame, links: DataFrame) -> DataFrame:

@@ -3,8 +3,6 @@
 from pyspark.sql import functions as F
 
 from quirelens.operators import catalog, graph
-from quirelens.plans.frames import union_all
-from quirelens.plans.lineage import cut
 from quirelens.queries.audits import TRADE_SQL, trade_edges, trade_nodes
 from quirelens.queries.registry import query
 from quirelens.session import table
@@ -179,13 +177,8 @@ reach AS (SELECT a AS member, a AS other FROM e UNION SELECT member, b FROM reac
 )
 def equivalence_closure(spark, sf):
     """The closure of each language's relations, with all of its documents."""
-    docs, relations = table(spark, sf, "documents"), cut(shared_lines(spark, sf))
-    out = []
-    for kind in ("de", "en", "es", "fr"):
-        members = docs.filter(F.col("lang") == kind).select(F.col("doc_id").alias("node"))
-        closed = catalog.equivalence_closure(relations, members, kind)
-        out.append(closed.select(F.lit(kind).alias("entity_kind"), "member", "representative"))
-    return union_all(out)
+    members = table(spark, sf, "documents").select(F.col("lang").alias("entity_kind"), F.col("doc_id").alias("node"))
+    return catalog.equivalence_closures(shared_lines(spark, sf), members)
 
 
 @query(

@@ -102,6 +102,40 @@ def test_a_long_line_takes_few_rounds(frame, monkeypatch):
     assert len(written) < 40
 
 
+def test_a_star_on_a_line_takes_few_rounds(frame, monkeypatch):
+    """A line that is walked both ways, with a star in its middle and one near its end."""
+    written = []
+    add = graph.Pieces.add
+    monkeypatch.setattr(graph.Pieces, "add", lambda self, df: written.append(1) or add(self, df))
+    n = 1500
+    edges = [(i, i + 1) for i in range(n)] + [(n // 2, 10_000 + i) for i in range(500)] + [(n - 10, 20_000 + i) for i in range(100)]
+    got = graph.reachable(frame(edges, "source long, target long"), frame([(0,)], "node long"))
+    hops = {r["node"]: r["hops"] for r in got.collect()}
+    want = {i: i for i in range(n + 1)} | {10_000 + i: n // 2 + 1 for i in range(500)} | {20_000 + i: n - 9 for i in range(100)}
+    assert hops == want
+    assert len(written) < 130
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_walk_around_hubs_finds_least_hops(frame, seed, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", 6)
+    r = random.Random(seed)
+    edges = [(i, i + 1) for i in range(60)] + [(r.randrange(60), r.randrange(60)) for _ in range(12)]
+    for hub in r.sample(range(60), 4):
+        edges += [(hub, 100 + 10 * hub + j) for j in range(4)] + [(100 + 10 * hub + j, r.randrange(60)) for j in range(2)] + [(r.randrange(60), hub) for _ in range(3)]
+    seeds = [0, 17]
+    got = graph.walk(frame(edges, "source int, target int"), frame([(s, s) for s in seeds], "origin int, node int"))
+    want = sorted((s, n, h) for s in seeds for n, h in brute_hops(edges, s).items())
+    assert sorted((x.origin, x.node, x.hops) for x in got.collect()) == want
+
+
+def test_closure_of_all_kinds(frame):
+    relations = frame([("x", 1, 2), ("x", 2, 3), ("y", 1, 5), (None, 1, 7), ("x", None, 3)], "entity_kind string, left int, right int")
+    members = frame([("x", 1), ("x", 2), ("x", 3), ("y", 1), ("y", 5), ("y", 2), (None, 7), ("z", 9)], "entity_kind string, node int")
+    assert rows(catalog.equivalence_closures(relations, members)) == [
+        ("x", 1, 1), ("x", 2, 1), ("x", 3, 1), ("y", 1, 1), ("y", 2, 2), ("y", 5, 1), ("z", 9, 9), (None, 7, 7)]
+
+
 def test_a_hub_is_never_doubled(frame):
     links = graph.both_ways(frame([(0, i) for i in range(1, 100)], "source int, target int"))
     assert graph._doubled(links, graph.GROWTH * links.count()) is None
