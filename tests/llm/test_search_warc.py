@@ -36,24 +36,63 @@ def test_top_k_equals_plain(spark, shard, block):
     assert run(spark, table, shard=shard, block=block) == want
 
 
-def test_adding_up_stops_early_and_is_proven(monkeypatch):
-    table = vectors(3000, near=300)
+def shard_of(table, ids=None):
     import pandas as pd
 
-    frame = pd.DataFrame({"shard": 0, "vec_id": list(table), "v": [[int(np.floor(256 * x)) for x in v] for v in table.values()]})
-    shard = topk.Shard(topk.build_shard(frame))
-    matrix = np.array(frame["v"].tolist())
-    seen = []
-    whole = topk.Shard._spread
-    monkeypatch.setattr(topk.Shard, "_spread", lambda self, done, rest, a, b: seen.append(len(rest)) or whole(self, done, rest, a, b))
-    early = 0
-    for row in range(0, 3000, 100):
-        seen.clear()
-        members = set(shard._possible(matrix[row], 6).tolist())
-        early += seen[-1] > 0
+    frame = pd.DataFrame({"shard": 0, "vec_id": list(table) if ids is None else ids, "v": [[int(np.floor(256 * x)) for x in v] for v in table.values()]})
+    return topk.Shard(topk.build_shard(frame).iloc[0]), np.array(frame["v"].tolist()), frame["vec_id"].to_numpy()
+
+
+def test_adding_up_stops_early_and_is_proven():
+    # A few large components and many small ones: the first run of segments tells most vectors apart.
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(3000, 16)) * 0.02
+    for i in range(3):
+        rows[np.arange(3000), rng.integers(0, 16, 3000)] += rng.normal(size=3000) * 2
+    shard, matrix, ids = shard_of({i: [float(x) for x in v] for i, v in enumerate(rows)})
+    asked = np.arange(0, 3000, 100)
+    members, proven = shard.possible(ids[asked], matrix[asked], 5, np.full(len(asked), -np.inf))
+    assert (proven < len(shard.runs)).sum() > 15
+    for i, row in enumerate(asked):
         scores = matrix @ matrix[row]
-        assert set(np.flatnonzero(scores > np.sort(scores)[-6]).tolist()) <= members
-    assert early > 15
+        scores[row] = scores.min() - 1
+        assert set(np.flatnonzero(scores >= np.sort(scores)[-5]).tolist()) <= set(members[i].tolist())
+
+
+def test_repeated_ids_are_ranked_by_their_best_row(spark):
+    rows = [(50, [1.0, 0.0], 1), (1, [0.1, 0.0], 1), (1, [0.9, 0.0], 1), (2, [0.5, 0.0], 1)]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, VECTORS)).orderBy("rank").collect()]
+    assert got == [(50, 1, 1, 256 * 230), (50, 2, 2, 256 * 128)]
+    # One id in a third of the rows, with vectors of its own that would all be among the best.
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=8)], 0) for i in range(1, 200)]
+    rows += [(7, [float(x) for x in rng.normal(size=8) * 3], 0) for _ in range(100)] + [(100, [float(x) for x in rng.normal(size=8)], 0)]
+    whole = [(i, [int(np.floor(256 * np.float32(x))) for x in v]) for i, v, _ in rows]
+    want = []
+    for q in (50, 100, 150):
+        best = {}
+        for _, u in [r for r in whole if r[0] == q]:
+            for i, v in whole:
+                if i != q:
+                    best[i] = max(best.get(i, -(1 << 60)), sum(a * b for a, b in zip(u, v)))
+        want += [(q, r + 1, i, s) for r, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5])]
+    for shard in (10_000, 40):
+        assert sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, VECTORS), shard=shard).collect())) == want
+
+
+def test_most_shards_are_ruled_out_on_clustered_vectors(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 24)) * 4
+    rows = [(i, [float(x) for x in centres[i % 12] + 0.1 * rng.normal(size=24)], 0) for i in range(2400)]
+    vectors = topk.integers(spark.createDataFrame(rows, VECTORS))
+    index = topk.build_index(vectors, 12, 300)
+    shards = index.count()
+    asked = vectors.filter("vec_id % 50 = 0").selectExpr("vec_id as q", "vec_id as query_id", "v")
+    found, pairs = topk.search(asked, index, shards, 5)
+    assert pairs.count() < 0.4 * shards * asked.count() and shards >= 8
+    want = brute.top_k({i: list(np.float32(v)) for i, v, _ in rows}, {i: list(np.float32(v)) for i, v, _ in rows if i % 50 == 0}, 5)
+    got = run(spark, {i: v for i, v, _ in rows}, shard=300)
+    assert got == want
 
 
 def test_top_k_odd_tables(spark):
