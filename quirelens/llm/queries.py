@@ -121,7 +121,9 @@ def op9(spark, sf_dir):
     return pii.pseudonymize(table(spark, sf_dir, "documents")).select("doc_id", "text", F.to_json("found").alias("found"))
 
 
-def _url_sql(depth: int = 3, branches: int = 32, z2: float = 3.84, strength: float = 4.0, reject: float = 0.8) -> str:
+def _url_sql(depth: int = 6, rare: int = 2, many: int = 32, z2: float = 3.84, strength: float = 4.0, reject: float = 0.8) -> str:
+    """The tree level by level, for paths of fewer than ``depth`` segments, more than the given tables' have."""
+
     def rule(column):
         out = "NULL"
         for verdict, text in sorted(urls.RULES, key=lambda r: (len(r[1]), r[1])):
@@ -130,49 +132,49 @@ def _url_sql(depth: int = 3, branches: int = 32, z2: float = 3.84, strength: flo
             out = f"CASE WHEN (host = '{domain}' OR host LIKE '%.{domain}') AND starts_with(path, '/{rest}') THEN '{value}' ELSE {out} END"
         return out
 
-    segs = [f"s{i}" for i in range(1, depth + 1)]
     text = f"""
     WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
     p AS (
       SELECT page_id, translate(regexp_extract(url, '{urls.PARTS}', 1), '{urls.UPPER}', '{urls.LOWER}') AS host,
         regexp_extract(url, '{urls.PARTS}', 2) AS path FROM u),
-    rows AS (
-      SELECT *, {rule('rule')} AS rule, {rule('verdict')} AS ruled,
-        {', '.join(f"coalesce(string_split(substr(path, 2), '/')[{i}], '') AS s{i}" for i in range(1, depth + 1))} FROM p),
-    tree0 AS (
-      SELECT host, {', '.join(segs)}, count(*) AS n, count(ruled) AS lab, count(*) FILTER (WHERE ruled = 'block') AS bad
-      FROM rows GROUP BY ALL)"""
-    above = ["host"]
+    rows AS (SELECT *, {rule('rule')} AS rule, {rule('verdict')} AS ruled FROM p),
+    r0 AS (
+      SELECT host, path, string_split(substr(path, 2), '/') AS segs, '' AS template, count(*) AS n, count(ruled) AS lab,
+        count(*) FILTER (WHERE ruled = 'block') AS bad, false AS rests
+      FROM rows GROUP BY host, path)"""
     for k in range(1, depth + 1):
-        cols, seg = ", ".join(above), f"s{k}"
-        on = " AND ".join(f"c.{a} = q.{a}" for a in above)
-        back = " AND ".join(f"t.{a} = k.{a}" for a in (*above, seg))
+        own = "seg IS NOT NULL AND NOT is_id"
         text += f""",
-    c{k} AS (SELECT {cols}, {seg}, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM tree{k - 1} GROUP BY ALL),
-    q{k} AS (SELECT {cols}, count(*) AS kinds, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM c{k} GROUP BY ALL),
+    a{k} AS (SELECT *, segs[{k}] AS seg FROM r{k - 1} WHERE NOT rests),
+    c{k} AS (
+      SELECT host, template, seg, sum(n) AS cn, sum(lab) AS cl, sum(bad) AS cb, count(*) AS paths, coalesce(regexp_matches(seg, '{urls.ID_LIKE}'), false) AS is_id
+      FROM a{k} GROUP BY host, template, seg),
+    n{k} AS (
+      SELECT host, template, sum(paths) AS everything, count(*) FILTER (WHERE {own} AND cn <= {rare}) AS kinds,
+        coalesce(sum(cl) FILTER (WHERE {own} AND cn > {rare}), 0) AS fl, coalesce(sum(cb) FILTER (WHERE {own} AND cn > {rare}), 0) AS fb,
+        coalesce(sum(cl) FILTER (WHERE {own} AND cn <= {rare}), 0) AS rl, coalesce(sum(cb) FILTER (WHERE {own} AND cn <= {rare}), 0) AS rb
+      FROM c{k} GROUP BY host, template),
     z{k} AS (
-      SELECT c.*, q.kinds > {branches} OR q.kinds * 2 > q.n AS variable, c.lab::DOUBLE AS n1, c.bad::DOUBLE AS b1,
-        (q.lab - c.lab)::DOUBLE AS n0, (q.bad - c.bad)::DOUBLE AS b0, q.lab AS all_lab, q.bad AS all_bad
-      FROM c{k} c JOIN q{k} q ON {on}),
-    k{k} AS (
-      SELECT {cols}, {seg}, CASE WHEN NOT variable AND n1 > 0 AND n0 > 0 AND all_bad > 0 AND all_bad < all_lab AND
-        pow(b1 / n1 - b0 / n0, 2) > {z2}::DOUBLE * ((b1 + b0) / (n1 + n0)) * (1 - (b1 + b0) / (n1 + n0)) * (1 / n1 + 1 / n0)
-        THEN {seg} ELSE '*' END AS t{k} FROM z{k}),
-    tree{k} AS (SELECT t.*, k.t{k} FROM tree{k - 1} t JOIN k{k} k ON {back})"""
-        above.append(f"t{k}")
-    leaf = ", ".join(above)
-    on_leaf = " AND ".join(f"t.{a} = v.{a}" for a in above)
-    on_row = " AND ".join(f"r.{a} = t.{a}" for a in ("host", *segs))
+      SELECT c.*, everything, is_id OR (cn <= {rare} AND kinds >= {many}) AS variable, cl::DOUBLE AS n1, cb::DOUBLE AS b1,
+        (fl + CASE WHEN kinds >= {many} THEN 0 ELSE rl END - cl)::DOUBLE AS n0, (fb + CASE WHEN kinds >= {many} THEN 0 ELSE rb END - cb)::DOUBLE AS b0
+      FROM c{k} c JOIN n{k} n ON c.host = n.host AND c.template = n.template),
+    d{k} AS (
+      SELECT host, template, seg, everything = 1 AS single, seg IS NULL OR everything = 1 OR (NOT variable AND cl = 0) AS rests,
+        CASE WHEN variable THEN '*' WHEN cl = 0 THEN seg || '/**' WHEN n0 <= 0 THEN seg
+          WHEN pow(b1 / n1 - b0 / n0, 2) > {z2}::DOUBLE * ((b1 + b0) / (n1 + n0)) * (1 - (b1 + b0) / (n1 + n0)) * (1 / n1 + 1 / n0) THEN seg ELSE '+' END AS part
+      FROM z{k}),
+    r{k} AS (
+      SELECT a.host, path, segs, CASE WHEN a.seg IS NULL THEN a.template WHEN single THEN a.template || '/' || array_to_string(list_slice(segs, {k}, len(segs)), '/')
+        ELSE a.template || '/' || part END AS template, n, lab, bad, d.rests
+      FROM a{k} a JOIN d{k} d ON a.host = d.host AND a.template = d.template AND a.seg IS NOT DISTINCT FROM d.seg)"""
+    every = " UNION ALL ".join(f"SELECT host, path, template, lab, bad FROM r{k} WHERE rests" for k in range(1, depth + 1))
     return text + f""",
-    h AS (SELECT host, sum(lab) AS hl, sum(bad) AS hb FROM tree{depth} GROUP BY host),
-    b AS (SELECT coalesce(sum(hb)::DOUBLE / nullif(sum(hl), 0), 0) AS base FROM h),
-    hp AS (SELECT host, (hb + {strength}::DOUBLE * base) / (hl + {strength}::DOUBLE) AS hp FROM h, b),
-    v AS (
-      SELECT {leaf}, (sum(bad) + {strength}::DOUBLE * any_value(hp)) / (sum(lab) + {strength}::DOUBLE) AS purity
-      FROM tree{depth} JOIN hp USING (host) GROUP BY ALL)
-    SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN purity >= {reject}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
-      {" || ".join(f"'/' || t.t{i}" for i in range(1, depth + 1))} AS template, purity
-    FROM rows r JOIN tree{depth} t ON {on_row} JOIN v ON {on_leaf}"""
+    leaf AS ({every}),
+    b AS (SELECT coalesce(sum(bad)::DOUBLE / nullif(sum(lab), 0), 0) AS base FROM leaf),
+    v AS (SELECT host, template, sum(lab) AS l, (sum(bad) + {strength}::DOUBLE * any_value(base)) / (sum(lab) + {strength}::DOUBLE) AS purity FROM leaf, b GROUP BY host, template)
+    SELECT page_id, r.host, r.path, rule, coalesce(ruled, CASE WHEN l > 0 AND purity >= {reject}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
+      t.template, purity
+    FROM rows r JOIN leaf t ON r.host = t.host AND r.path = t.path JOIN v ON t.host = v.host AND t.template = v.template"""
 
 
 @query("op10_url_filter", _url_sql())

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelens.plans.lineage import cut
+from quirelens.plans.lineage import Pieces, cut, release
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# A segment that looks like an id: a number, four digits in a row, or a long hexadecimal name.
+ID_LIKE = "^[0-9]+\\z|[0-9]{4}|^[0-9a-fA-F-]{16,}\\z"
 PARTS = "(?s)^.*?://([^/?#]*)([^?#]*)"
 
 # (verdict, host and path)
@@ -43,59 +45,65 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return rule, verdict
 
 
-def _settle(tree: DataFrame, level: int, above: list[str], branches: int, z2: float) -> DataFrame:
-    """The tree with segment ``level`` turned into a template part, rows merged.
-
-    A node's segments are variable, and become one wildcard, when there are more than
-    ``branches`` of them or each comes up less than twice. Of the others, a branch
-    stays apart only if its share of blocked pages differs from that of its siblings
-    together (two-proportion test, squared statistic over ``z2``); the rest merge.
-    """
-    seg, part = f"s{level}", f"t{level}"
-    child = cut(tree.groupBy(*above, seg).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]))
-    parent = cut(
-        child.groupBy(*above).agg(
-            F.count(F.lit(1)).alias("_kinds"), F.sum("n").alias("_n"),
-            F.sum("labelled").alias("_labelled"), F.sum("blocked").alias("_blocked"),
-        )
-    )
-    parent = parent.select(*[F.col(c).alias("_p_" + c) for c in above], "_kinds", "_n", "_labelled", "_blocked")
-    on = F.lit(True)
-    for c in above:
-        on = on & (F.col(c) == F.col("_p_" + c))
-    variable = (F.col("_kinds") > branches) | (F.col("_kinds") * 2 > F.col("_n"))
-    n1, b1 = F.col("labelled").cast("double"), F.col("blocked").cast("double")
-    n0, b0 = (F.col("_labelled") - F.col("labelled")).cast("double"), (F.col("_blocked") - F.col("blocked")).cast("double")
+def _next_level(active: DataFrame, level: int, rare: int, many: int, z2: float) -> DataFrame:
+    """Active paths (host, path, template, n, labelled, blocked) with one more template part, and whether they rest."""
+    parts = F.split(F.substring("path", 2, 1 << 30), "/")
+    at = active.withColumn("seg", F.get(parts, F.lit(level - 1))).withColumn("rest", F.array_join(F.slice(parts, level, F.greatest(F.size(parts) - level + 1, F.lit(0))), "/"))
+    child = at.groupBy("host", "template", "seg").agg(*[F.sum(c).alias("_" + c) for c in ("n", "labelled", "blocked")], F.count(F.lit(1)).alias("_paths"))
+    child = cut(child.withColumn("_id", F.coalesce(F.col("seg").rlike(ID_LIKE), F.lit(False))).withColumn("_rare", ~F.col("_id") & (F.col("_n") <= rare)))
+    own = F.col("seg").isNotNull() & ~F.col("_id")
+    part = lambda c, which: F.sum(F.when(own & which, F.col(c)).otherwise(0))
+    node = cut(child.groupBy("host", "template").agg(
+        F.sum("_paths").alias("_all"), F.count_if(own & F.col("_rare")).alias("_kinds"),
+        part("_labelled", ~F.col("_rare")).alias("_fl"), part("_blocked", ~F.col("_rare")).alias("_fb"),
+        part("_labelled", F.col("_rare")).alias("_rl"), part("_blocked", F.col("_rare")).alias("_rb"),
+    ))
+    both = child.join(node.withColumnRenamed("host", "_h").withColumnRenamed("template", "_t"), (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")))
+    loose = F.col("_kinds") >= many  # so many rare ones that rare segments vary
+    variable = F.col("_id") | (F.col("_rare") & loose)
+    n1, b1 = F.col("_labelled").cast("double"), F.col("_blocked").cast("double")
+    n0 = F.col("_fl") + F.when(loose, 0).otherwise(F.col("_rl")) - n1
+    b0 = F.col("_fb") + F.when(loose, 0).otherwise(F.col("_rb")) - b1
     p = F.try_divide(b1 + b0, n1 + n0)
     gap = F.try_divide(b1, n1) - F.try_divide(b0, n0)
-    apart = F.when((F.col("labelled") > 0) & (n0 > 0) & (p > 0) & (p < 1), gap * gap > F.lit(z2) * p * (1 - p) * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n0))).otherwise(F.lit(False))
-    kept = F.when(~variable & apart, F.col(seg)).otherwise(F.lit("*"))
-    decided = child.join(parent, on).select(*above, seg, kept.alias(part))
-    right = decided.select(*[F.col(c).alias("_d_" + c) for c in (*above, seg)], part)
-    on = F.lit(True)
-    for c in (*above, seg):
-        on = on & (F.col(c) == F.col("_d_" + c))
-    return tree.join(right, on).drop(*["_d_" + c for c in (*above, seg)])
+    apart = F.coalesce(gap * gap > F.lit(z2) * p * (1 - p) * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n0)), F.lit(False))
+    # A branch with labels that nothing else has to be told from keeps its name too.
+    kept = F.when(variable, "*").when(F.col("_labelled") == 0, F.concat("seg", F.lit("/**"))).when(apart | (n0 <= 0), F.col("seg")).otherwise("+")
+    rests = F.col("seg").isNull() | (F.col("_all") == 1) | (~variable & (F.col("_labelled") == 0))
+    decided = both.select(
+        F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("seg").alias("_seg"), F.col("_all") == 1, kept.alias("_part"), rests.alias("rests"),
+    ).toDF("_h", "_t", "_seg", "_single", "_part", "rests")
+    out = at.join(decided, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & F.col("seg").eqNullSafe(F.col("_seg")))
+    longer = F.when(F.col("seg").isNull(), F.col("template")).otherwise(
+        F.concat("template", F.lit("/"), F.when(F.col("_single"), F.col("rest")).otherwise(F.col("_part"))))
+    out = cut(out.select("host", "path", longer.alias("template"), "n", "labelled", "blocked", "rests"))
+    release(child, node)
+    return out
 
 
 def judge(
     pages: DataFrame,
     rules: Sequence[tuple[str, str]] = RULES,
-    depth: int = 3,
-    branches: int = 32,
+    rare: int = 2,
+    many: int = 32,
     z2: float = 3.84,
     strength: float = 4.0,
     reject: float = 0.8,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity for every page.
 
-    Pages under a rule take its verdict and are the labels of the rest. Per host, paths
-    form a tree of ``depth`` segments (deeper ones are one tail); from the top down
-    variable segments become ``*`` and branches alike in labelled purity merge. What
-    is left are templates. A template's purity is its share of blocked labelled pages,
-    drawn with the weight of ``strength`` pages towards its host's, and that towards
-    the share of all labelled pages. Pages without a rule are blocked when their
-    template's purity reaches ``reject``. A single label can thus never reject a host.
+    Pages under a rule take its verdict and are the labels of the rest. Per host, paths form a tree, and each
+    segment of a node is decided by itself, whatever else the node holds: one that looks like an id is
+    variable and becomes ``*``, as does one of at most ``rare`` pages where ``many`` such segments show that
+    they vary; a branch without a label keeps its name and ends there (``/**``); a branch with
+    labels keeps its name if its share of blocked pages differs from that of its labelled siblings together
+    (two-proportion test, squared statistic over ``z2``) or it has none, and else merges with those
+    it resembles (``+``). So it goes on to the deepest segment; a branch of a single path takes the rest as it is.
+
+    What is left are templates. A template's purity is its share of blocked labelled pages, drawn with the weight
+    of ``strength`` pages towards the share of all labelled pages. Pages without a rule are
+    blocked when their template has labels of its own and its purity reaches ``reject``. A single label can thus
+    never reject a template.
 
     Counts are combined per distinct path before any shuffle by host, and hosts of any
     size are joined, never gathered. Null and odd urls have an empty host and path,
@@ -106,32 +114,24 @@ def judge(
     host, path = host_and_path()
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    parts = F.split(F.substring("path", 2, 1 << 30), "/")
-    segments = [F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(f"s{i + 1}") for i in range(depth)]
-    rows = cut(rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), *segments))
-    names = [f"s{i + 1}" for i in range(depth)]
-    tree = rows.groupBy("host", *names).agg(
+    rows = cut(rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled")))
+    active = cut(rows.groupBy("host", "path").agg(
         F.count(F.lit(1)).alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked")
-    )
-    above = ["host"]
-    for level in range(1, depth + 1):
-        tree = cut(_settle(tree, level, above, branches, z2))
-        above = [*above, f"t{level}"]
-    hosts = cut(tree.groupBy("host").agg(F.sum("labelled").alias("_hl"), F.sum("blocked").alias("_hb")))
-    base = hosts.agg(F.coalesce(F.try_divide(F.sum("_hb"), F.sum("_hl")), F.lit(0.0)).alias("_base"))
+    ).withColumn("template", F.lit("")))
+    settled, level = Pieces(), 0
+    while not active.isEmpty():
+        level += 1
+        step = _next_level(active, level, rare, many, z2)
+        settled.add(step.filter("rests").drop("rests"))
+        before, active = active, cut(step.filter("not rests").drop("rests"))
+        release(before, step)
+    paths = settled.all() if level else active
     m = F.lit(float(strength))
-    leaves = cut(tree.groupBy(*above).agg(F.sum("labelled").alias("_l"), F.sum("blocked").alias("_b")))
-    of_host = (F.col("_hb") + m * base.scalar()) / (F.col("_hl") + m)
-    purity = (F.col("_b") + m * F.col("_hp")) / (F.col("_l") + m)
-    scored = leaves.join(hosts.select("host", of_host.alias("_hp")), "host").select(*above, purity.alias("purity"))
-    template = F.concat_ws("/", F.lit(""), *[f"t{i + 1}" for i in range(depth)])
-    scored = scored.select(*[F.col(c).alias("_l_" + c) for c in above], "purity", template.alias("template"))
-    on = F.lit(True)
-    for c in above:
-        on = on & (F.col(c) == F.col("_l_" + c))
-    paths = cut(tree.join(scored, on).select(F.col("host").alias("_host"), *[F.col(c).alias("_" + c) for c in names], "purity", "template"))
-    on = F.col("host") == F.col("_host")
-    for c in names:
-        on = on & (F.col(c) == F.col("_" + c))
-    verdict = F.coalesce("ruled", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
-    return rows.join(paths, on).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    base = paths.agg(F.coalesce(F.try_divide(F.sum("blocked"), F.sum("labelled")), F.lit(0.0)).alias("base")).scalar()
+    leaves = paths.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.sum("labelled").alias("_l"), F.sum("blocked").alias("_b"))
+    leaves = cut(leaves.select("_h", "_t", "_l", ((F.col("_b") + m * base) / (F.col("_l") + m)).alias("purity")))
+    scored = paths.join(leaves, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")))
+    scored = cut(scored.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "template", "purity", (F.col("_l") > 0).alias("_own")))
+    judged = F.coalesce("ruled", F.when(F.col("_own") & (F.col("purity") >= reject), "block").otherwise("allow"))
+    out = rows.join(scored, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")))
+    return out.select("page_id", "host", "path", "rule", judged.alias("verdict"), "template", "purity")

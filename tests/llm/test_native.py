@@ -116,17 +116,55 @@ def test_hosts_paths_and_rules(spark):
         assert verdict is None or got[i]["verdict"] == verdict
 
 
+def verdicts(spark, rules, rows):
+    got = urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string"), rules).collect()
+    return {r["host"] + r["path"]: (r["template"], r["verdict"], r["rule"]) for r in got}
+
+
 def test_templates_and_purity(spark):
     rules = [("block", "h.org/bad/"), ("allow", "h.org/good/"), ("block", "all.org/x/")]
     rows = [f"http://h.org/{k}/{i}" for k in ("bad", "good", "new") for i in range(30)]
     rows += [f"http://all.org/x/{i}" for i in range(30)] + [f"http://all.org/y/{i}" for i in range(10)] + ["http://free.org/a/b"]
-    got = urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string"), rules).collect()
-    at = {r["path"].split("/")[1] + "@" + r["host"]: r for r in got}
-    assert at["bad@h.org"]["template"] == "/bad/*/*" and at["good@h.org"]["template"] == "/good/*/*"
-    assert at["new@h.org"]["template"] == "/*/*/*" and at["new@h.org"]["verdict"] == "allow"
-    # All that is known of the host is bad, and nothing sets the other branch apart.
-    assert at["y@all.org"]["template"] == at["x@all.org"]["template"] and at["y@all.org"]["verdict"] == "block"
-    assert at["a@free.org"]["verdict"] == "allow"
+    got = verdicts(spark, rules, rows)
+    assert got["h.org/bad/3"][:2] == ("/bad/*", "block") and got["h.org/good/3"][:2] == ("/good/*", "allow")
+    assert got["h.org/new/3"][:2] == ("/new/**", "allow")
+    # All that is known of the host is bad, but nothing is known of this branch.
+    assert got["all.org/x/3"][:2] == ("/x/*", "block") and got["all.org/y/3"][:2] == ("/y/**", "allow")
+    assert got["free.org/a/b"][:2] == ("/a/b", "allow")
+
+
+@pytest.mark.parametrize("more", [0, 60])
+def test_siblings_change_no_verdict(spark, more):
+    rules = [("block", "h.org/es/"), ("block", "h.org/item/1/ads/"), ("allow", "h.org/item/1/ok/")]
+    rows = [f"http://h.org/es/{i}" for i in range(40)] + [f"http://h.org/ok/{i}" for i in range(40)] + [f"http://h.org/w{'abc'[i % 3]}{'x' * i}" for i in range(more)]
+    rows += [f"http://h.org/item/1/{k}/p{'x' * i}" for k in ("ads", "ok") for i in range(30)] + [f"http://h.org/item/{n}/{k}/q" for n in (2, 3) for k in ("ads", "ok", "other")]
+    got = verdicts(spark, rules, rows)
+    assert {v for u, (_, v, _) in got.items() if u.startswith("h.org/ok/")} == {"allow"}
+    assert {v for u, (_, v, _) in got.items() if u.startswith("h.org/es/")} == {"block"}
+    # What is known of one item holds for others of the template, and for nothing else.
+    assert got["h.org/item/2/ok/q"][1] == "allow"
+    assert got["h.org/item/3/other/q"][:2] == ("/item/*/other/**", "allow")
+
+
+def test_a_blocked_fifth_segment(spark):
+    rules = [("block", "h.org/a/b/c/1/bad/"), ("allow", "h.org/a/b/c/1/ok/")]
+    rows = [f"http://h.org/a/b/c/1/{k}/{i}" for k in ("bad", "ok") for i in range(40)]
+    rows += [f"http://h.org/a/b/c/{n}/{k}/{i}" for n in (2, 77) for k in ("bad", "ok", "new") for i in range(20)]
+    got = verdicts(spark, rules, rows)
+    for n in (2, 77):
+        assert {got[f"h.org/a/b/c/{n}/bad/{i}"] for i in range(20)} == {("/a/b/c/*/bad/*", "block", None)}
+        assert {got[f"h.org/a/b/c/{n}/ok/{i}"] for i in range(20)} == {("/a/b/c/*/ok/*", "allow", None)}
+        assert {got[f"h.org/a/b/c/{n}/new/{i}"] for i in range(20)} == {("/a/b/c/*/new/**", "allow", None)}
+
+
+def test_rare_segments_that_vary_make_one_template(spark):
+    """Slugs of a page each: those of one blocked kind say what the others of the node are."""
+    rules = [("block", f"h.org/blog/{c}{d}") for c in "abcdefgh" for d in "abcdefgh"]
+    rows = [f"http://h.org/blog/{c}{d}-slug" for c in "abcdefgh" for d in "abcdefgh"] + [f"http://h.org/blog/{c}-title" for c in "nopqrstuvw"]
+    got = verdicts(spark, rules, rows)
+    assert got["h.org/blog/n-title"] == ("/blog/*", "block", None)
+    few = verdicts(spark, rules[:4], rows[:4] + rows[-4:])
+    assert few["h.org/blog/w-title"] == ("/blog/w-title/**", "allow", None)
 
 
 def test_urls_odd_tables(spark):
