@@ -15,15 +15,23 @@ from pyspark.sql import functions as F
 from quirelens.llm.common import fresh
 
 ROUNDS = 8  # even, so that both halves end where they began
-KEY = "a key of the data owner"
+KEY = "a key of the data owner"  # for tests; whoever publishes pseudonyms gives a secret one
 
 # Marks around what was found; a text that holds them itself has them set apart first.
 MARK, AWAY = "\x01", "\x02"
 
 # The formats that are looked for.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
-PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-][0-9]{2,4}){1,3}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+# A digit at a time, so that no run of digits is tried in more than one way.
+PHONE = r"(?<![0-9+])(?:\+[0-9](?:(?:[ .-]|[ .-]?\(|\)[ .-]?)?[0-9]){7,14}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![0-9])"
+# A longer run of groups is looked at in pieces of whole groups: a pattern without a limit is too deep for long texts.
+CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,63}(?![0-9])"
+CARD_LEAST, CARD_MOST = 13, 19  # digits of a card number
+# How a card number is written inside a longer run: in one piece, by fours, as 4-6-4 or 4-6-5, or digit by digit.
+LAYOUT = (
+    r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?"
+    r"|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}|[0-9](?:([ -])[0-9])(?:\3[0-9]){11,17})$"
+)
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9/-])"
@@ -114,12 +122,42 @@ def _once(value: Column, body) -> Column:
 
 
 def _card(v: Column, key: Column) -> Column:
-    def make(d):
-        body = permuted(F.substring(d, F.lit(1), F.char_length(d) - 1), key, "card")
+    """The run of digits with its card numbers replaced, null if it holds none.
+
+    A number has 13 to 19 digits and passes the Luhn check. It is the whole run, or whole groups of it laid out as
+    card numbers are; from the left, the longest that begins at a group wins. So an expiry date or a
+    check value behind a number does not hide it, and neither digits from the inside of a longer group nor
+    dates and numbers in a row are taken for one.
+    """
+
+    def changed(text):
+        body = lambda d: permuted(F.substring(d, F.lit(1), F.char_length(d) - 1), key, "card")
         check = lambda b: F.concat(b, F.pmod(F.lit(10) - luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))
-        return _laid_out(v, _once(body, check))
+        return _once(_digits(text), lambda d: _laid_out(text, _once(body(d), check)))
+
+    def valid(text):
+        fits = lambda d: F.when(F.char_length(d).between(CARD_LEAST, CARD_MOST), (F.pmod(luhn(d), F.lit(10)) == 0) & (F.translate(d, "0", "") != "")).otherwise(F.lit(False))
+        return F.when((text == v) | text.rlike(LAYOUT), _once(_digits(text), fits)).otherwise(F.lit(False))
+
+    def whole(parts):
+        n = F.size(parts)
+
+        def upto(i):
+            # Longest first; every group has a digit and every second part is a separator.
+            ends = F.sequence(F.least(n, i + 2 * CARD_MOST - 2), i, F.lit(-1))
+            texts = F.transform(ends, lambda j: F.struct(j.alias("j"), F.array_join(F.slice(parts, i, j - i + 1), "").alias("text")))
+            return F.get(F.filter(texts, lambda t: valid(t["text"])), F.lit(0))
+
+        def step(s, i):
+            kept = F.struct(F.concat(s["text"], F.element_at(parts, i)).alias("text"), (i + 1).alias("next"), s["any"].alias("any"))
+            found = lambda t: F.when(t.isNull(), kept).otherwise(
+                F.struct(F.concat(s["text"], changed(t["text"])).alias("text"), (t["j"] + 1).alias("next"), F.lit(True).alias("any")))
+            return F.when(i < s["next"], s).otherwise(_once(upto(i), found))
+
+        start = F.struct(F.lit("").alias("text"), F.lit(1).alias("next"), F.lit(False).alias("any"))
+        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: F.when(s["any"], s["text"]))
 
-    return _once(_digits(v), lambda d: F.when((F.pmod(luhn(d), F.lit(10)) == 0) & (d != F.repeat(F.lit("0"), F.char_length(d))), make(d)))
+    return _once(F.regexp_extract_all(v, F.lit("[0-9]+|[ -]"), F.lit(0)), whole)
 
 
 def _phone(v: Column, key: Column) -> Column:
@@ -218,7 +256,7 @@ def pseudonymize(documents: DataFrame, key: str = KEY) -> DataFrame:
     Looked for are card numbers that pass the Luhn check, phone numbers, valid IPv4
     addresses, valid US social security numbers, valid dates from 1900 to 2099 and
     e-mail addresses (their local part). A pseudonym has the layout of its value, is
-    valid itself, and is the same wherever the value comes: for a pair of spellings
+    valid itself (a number behind a card's in the same run of digits stays), and is the same wherever the value comes: for a pair of spellings
     that differ in separators the digits stay the same too. Invalid numbers and dates
     stay as they are. A day-month order that could be read both ways is read as day
     first.
@@ -229,7 +267,8 @@ def pseudonymize(documents: DataFrame, key: str = KEY) -> DataFrame:
     """
     union = "(" + "|".join(p for _, p in FORMATS) + ")"
     text = F.col("text")
-    likely = text.rlike("[0-9][0-9.]|@")
+    # No narrower than the formats: each has an @ or two digits with at most two other characters between them.
+    likely = text.rlike("[0-9][^0-9]{0,2}[0-9]|@")
     marked = text.contains(MARK) | text.contains(AWAY)
     safe = F.when(marked, F.replace(F.replace(text, F.lit(AWAY), F.lit(AWAY + "2")), F.lit(MARK), F.lit(AWAY + "1"))).otherwise(text)
     pieces = F.split(F.regexp_replace(safe, union, MARK + "$1" + MARK), MARK, -1)

@@ -236,6 +236,72 @@ def test_pseudonyms_are_permutations(spark):
         assert out != [t for t, _ in pseudonyms(spark, values, "another key")]
 
 
+def plain_luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def plain_cards(text):
+    """Spans of card numbers, by going through the groups of each run of digits."""
+    out = []
+    for run in re.finditer(pii.CARD, text):
+        groups = [m.span() for m in re.finditer("[0-9]+", run.group())]
+        i = 0
+        while i < len(groups):
+            for j in reversed(range(i, len(groups))):
+                span = (run.start() + groups[i][0], run.start() + groups[j][1])
+                digits = re.sub("[^0-9]", "", text[slice(*span)])
+                laid_out = re.search(pii.LAYOUT, text[slice(*span)]) or span == run.span()
+                if laid_out and 13 <= len(digits) <= 19 and set(digits) != {"0"} and plain_luhn(digits):
+                    out.append(span)
+                    i = j
+                    break
+            i += 1
+    return out
+
+
+def test_cards_are_found_among_other_digits(spark):
+    rng = random.Random(3)
+    card = "4111 1111 1111 1111"
+    texts = [f"{card} 12/27", f"{card} 123", f"x {card} 1227 123", " ".join(card.replace(" ", "")), f"{card} 5500 0000 0000 0004", f"12 {card}",
+             "4111111111111111 123", "9" * 40, "0000 0000 0000 0000", f"{card.replace(' ', '')}9"]
+    for _ in range(60):
+        groups = ["".join(rng.choice("0123456789") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(2, 9))]
+        if rng.random() < 0.6:
+            groups.insert(rng.randrange(len(groups)), rng.choice([card, "5500000000000004", "3400-000000-00009"]))
+        texts.append("no " + rng.choice([" ", "-"]).join(groups) + ".")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)).collect()}
+    hits = 0
+    for i, text in enumerate(texts):
+        spans = plain_cards(text)
+        inside = {p for a, b in spans for p in range(a, b)}
+        if re.search(pii.PHONE, text) or re.search(pii.SSN, text) or re.search(pii.DATE, text):
+            continue
+        hits += len(spans)
+        assert len(got[i]) == len(text)
+        assert all(got[i][p] == c for p, c in enumerate(text) if p not in inside), text
+        for a, b in spans:
+            assert got[i][a:b] != text[a:b] and plain_luhn(re.sub("[^0-9]", "", got[i][a:b]))
+    assert hits > 30 and plain_cards(texts[0]) == [(0, 19)] and len(plain_cards(texts[4])) == 2
+
+
+def test_phones_in_many_layouts(spark):
+    phones = ["+14155552671", "+49 30 1234567", "+33 612345678", "+33 6 12 34 56 78", "+91 98765 43210", "415.555.2671", "415-555-2671", "(415) 555-2671",
+              "+1 (415) 555-2671", "+44 (0)20 7946 0958"]
+    others = ["+1234567", "415.555.267", "+1 415", "1.415.555.26711", "+" + "1" * 16]
+    rows = [(i, f"call {t}, now", None, None, 0) for i, t in enumerate(phones + others)]
+    got = pii.pseudonymize(spark.createDataFrame(rows, DOCS)).orderBy("doc_id").collect()
+    for (_, before, *_), r in zip(rows, got):
+        if r["doc_id"] < len(phones):
+            assert r["found"] == {"phone": 1} and r["text"] != before, before
+            assert re.sub("[0-9]", "0", r["text"]) == re.sub("[0-9]", "0", before)
+        else:
+            assert r["text"] == before
+
+
 def test_pseudonyms_odd_texts(spark):
     marks = "x\x01y\x02z 235.58.234.215 \x021 \x01"
     got = pseudonyms(spark, [None, "", "plain", marks, "9" * 5000, "a@b " * 2000])
