@@ -304,32 +304,53 @@ def ancestry(parents: DataFrame, heads: DataFrame) -> DataFrame:
 def flatten_tree(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """Full path of every leaf below each root.
 
-    ``entries`` holds tree, name and child; ``roots`` holds root (a tree). One
-    round per level, however deep; a subtree shared by several trees appears below
-    each. A path keeps the trees it has come through, so one that comes back to any
-    of them is an error as soon as it does.
+    ``entries`` holds tree, name and child; ``roots`` holds root (a tree). Relative paths from tree to
+    subtree are composed with themselves: a round has all paths of 2^k names and doubles the depth to
+    which roots are followed, so depth d takes about log2(d) rounds. A subtree shared by several
+    trees appears below each. Trees in a circle are an error: one that contains itself is
+    seen at once, others when there are paths of more names than trees. Where two paths join the same
+    pair of trees, the pairs are followed first, so that a circle cannot multiply paths without end.
     """
     entries = cut(entries.select("tree", "name", "child"))
-    trees = cut(entries.select("tree").distinct())
-    frontier = roots.select("root", F.col("root").alias("tree"), F.lit("").alias("prefix")).distinct()
-    frontier = frontier.withColumn("above", F.array("tree"))
-    levels = Pieces()
-    inner = trees.select(F.col("tree").alias("child"), F.lit(True).alias("_tree"))
+    trees = entries.select("tree").distinct()
+    n_trees, sure = trees.count(), False
+    inside = lookup_join(entries, trees.select(F.col("tree").alias("child")), ["child"], "left_semi", ["name"])
+    steps = cut(inside.select("tree", F.col("name").alias("path"), "child"))
+    found, k = Pieces(), 0
+    found.add(roots.select("root", F.col("root").alias("tree"), F.lit("").alias("prefix")).distinct())
     while True:
-        here = lookup_join(entries, frontier, ["tree"], "inner", ["name"])
-        found = here.select("root", F.col("child"), F.concat("prefix", "name").alias("path"), "above")
-        seen = lookup_join(found, inner, ["child"], "left", ["path"])
-        marked = levels.add(
-            seen.withColumn("_round", F.col("_tree") & F.array_contains("above", F.col("child")))
-            .withColumn("above", F.when(F.col("_tree"), F.array_append("above", F.col("child"))))
-        )
-        deeper = marked.filter("_tree")
-        state = deeper.agg(F.count(F.lit(1)).alias("n"), F.max("_round").alias("cycle")).first()
-        if state["cycle"]:
+        state = steps.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.col("tree") == F.col("child")), F.lit(False)).alias("own")).first()
+        if state["own"] or (state["n"] and 1 << k >= n_trees):
             raise ValueError("The trees form a cycle")
         if not state["n"]:
-            return levels.all().filter("_tree is null").select("root", "path", F.col("child").alias("leaf"))
-        frontier = deeper.select("root", F.col("child").alias("tree"), F.concat("path", F.lit("/")).alias("prefix"), "above")
+            break
+        if not sure and steps.select("tree", "child").distinct().count() < state["n"]:
+            _refuse_cycles(inside.select("tree", "child").distinct(), n_trees)
+            sure = True
+        ahead = steps.select("tree", F.col("path").alias("_path"), F.col("child").alias("_to"))
+        deeper = lookup_join(found.all(), ahead, ["tree"], "inner", ["prefix"])
+        found.add(deeper.select("root", F.col("_to").alias("tree"), F.concat("prefix", "_path", F.lit("/")).alias("prefix")))
+        second = ahead.withColumnRenamed("tree", "child")
+        longer = lookup_join(steps, second, ["child"], "inner", ["path"])
+        before, steps = steps, cut(longer.select("tree", F.concat_ws("/", "path", "_path").alias("path"), F.col("_to").alias("child")))
+        release(before)
+        k += 1
+    leaves = lookup_join(entries, trees.select(F.col("tree").alias("child")), ["child"], "left_anti", ["name"])
+    out = lookup_join(leaves, found.all(), ["tree"], "inner", ["name"])
+    return out.select("root", F.concat("prefix", "name").alias("path"), F.col("child").alias("leaf"))
+
+
+def _refuse_cycles(pairs: DataFrame, n_trees: int) -> None:
+    """Raise if the trees of (tree, child) form a cycle: pairs that 2^k steps join run out unless they do."""
+    pairs, k = cut(pairs), 0
+    while not pairs.isEmpty():
+        if 1 << k >= n_trees:
+            raise ValueError("The trees form a cycle")
+        second = pairs.select(F.col("tree").alias("child"), F.col("child").alias("_to"))
+        longer = lookup_join(pairs, second, ["child"], "inner", ["tree"]).select("tree", F.col("_to").alias("child")).distinct()
+        before, pairs = pairs, cut(longer)
+        release(before)
+        k += 1
 
 
 def manifest_gaps(flat: DataFrame, manifests: DataFrame) -> DataFrame:

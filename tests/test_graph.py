@@ -221,6 +221,22 @@ def test_a_deep_tree_flattens_and_a_cycle_is_found_at_once(frame, monkeypatch):
     assert len(written) <= 5  # two for the tables, one for each level
 
 
+def test_deep_trees_take_few_rounds_and_cycles_of_any_length_are_found(frame, monkeypatch):
+    rounds = []
+    cut = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or cut(df))
+    n = 1200
+    deep = [(f"t{i}", "d", f"t{i + 1}") for i in range(n)] + [(f"t{i}", "f", f"leaf{i}") for i in range(0, n, 100)]
+    kind = "tree string, name string, child string"
+    flat = graph.flatten_tree(frame(deep, kind), frame([("t0",), (f"t{n - 5}",)], "root string"))
+    want = [("t0", "d/" * i + "f", f"leaf{i}") for i in range(0, n, 100)] + [("t0", "/".join("d" * n), f"t{n}"), (f"t{n - 5}", "/".join("d" * 5), f"t{n}")]
+    assert rows(flat) == sorted(want, key=repr) and len(rounds) <= 16
+    for size in (1, 3, 5):
+        loop = [(f"c{i}", f"n{j}", f"c{(i + 1) % size}") for i in range(size) for j in range(2)]
+        with pytest.raises(ValueError, match="cycle"):
+            graph.flatten_tree(frame(deep[:60] + loop, kind), frame([("t0",)], "root string"))
+
+
 def test_an_id_means_an_object_of_its_format(frame):
     tags = frame(
         [("sha1", "t", "c", "commit", None), ("sha256", "t", "d", "commit", None), ("sha1", "u", "t", "tag", "sha256")],
