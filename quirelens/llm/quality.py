@@ -37,35 +37,53 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _joined(reach: int) -> Callable[[Column], Column]:
+    """Each hash joined with the one ``reach`` places on."""
+    return lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + reach)))
+
+
 def _repeated(words: Column) -> Column:
     """How many of ``words`` lie in a window of eight that occurs twice or more.
 
-    Windows are compared by 64-bit hashes of hashes of their words: in a text of a million words the
-    chance that any two different windows are taken for equal is below one in ten million.
+    Windows are compared by a 64-bit hash of their words first; texts where two agree are
+    compared by the windows themselves, so a shared hash never counts as a repeat.
     """
     last = F.size(words) - WINDOW + 1
 
-    def places(s: Column) -> Column:
-        def same(x: Column, k: Column) -> Column:
-            return ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | (F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
+    def exact(hashes: Column) -> Column:
+        by_hash = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+        def beside(s: Column) -> Column:
+            # Neighbours in the sorted order that share a hash: only their windows are built.
+            def same(x: Column, k: Column) -> Column:
+                return ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | (F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
+
+            return F.filter(s, same)
 
-        return F.sort_array(F.transform(F.filter(s, same), lambda x: x["i"]))
+        def windows(s: Column) -> Column:
+            return F.sort_array(F.transform(s, lambda x: F.struct(F.slice(words, x["i"] + 1, WINDOW).alias("w"), x["i"].alias("i"))))
 
-    def covered(p: Column) -> Column:
-        return F.aggregate(
-            F.transform(p, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - i, F.lit(WINDOW)))),
-            F.lit(0).cast("bigint"), lambda a, b: a + b)
+        def places(s: Column) -> Column:
+            def same(x: Column, k: Column) -> Column:
+                return ((k > 0) & (F.get(s, k - 1)["w"] == x["w"])) | (F.coalesce(F.get(s, k + 1)["w"] == x["w"], F.lit(False)))
+
+            return F.sort_array(F.transform(F.filter(s, same), lambda x: x["i"]))
+
+        def covered(p: Column) -> Column:
+            return F.aggregate(
+                F.transform(p, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - i, F.lit(WINDOW)))),
+                F.lit(0).cast("bigint"), lambda a, b: a + b)
+
+        return _let(_let(_let(_let(by_hash, beside), windows), places), covered)
 
     def count(hashes: Column) -> Column:
-        # Only texts in which a hash comes twice are sorted.
         distinct = F.size(F.array_distinct(hashes)) == F.size(hashes)
-        by_hash = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(distinct, F.lit(0).cast("bigint")).otherwise(_let(_let(by_hash, places), covered))
+        return F.when(distinct, F.lit(0).cast("bigint")).otherwise(exact(hashes))
 
     # Hashes of one word, then of two, four and eight.
     hashed = F.transform(words, lambda w: F.xxhash64(w))
     for reach in (1, 2, 4):
-        hashed = _let(hashed, lambda h, n=reach: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + n))))
+        hashed = _let(hashed, _joined(reach))
     return F.when(last < 2, F.lit(0).cast("bigint")).otherwise(_let(F.slice(hashed, 1, last), count))
 
 
