@@ -59,6 +59,7 @@ def mix(
     most: float = 2.0,
     seed: int = SEED,
     keep: Sequence[str] = (),
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken and ``keep`` for every row.
 
@@ -69,7 +70,8 @@ def mix(
     differ from the target by no more than about one long document. Counts are exact
     integers, so a document never gets more than ``most`` (rounded up) copies.
 
-    Repeated rows each count as a document. Rows with a null doc_id come last among
+    Repeated rows each count as a document; of equal sizes and ids, columns of ``keep`` named in
+    ``ties`` decide which row comes first. Rows with a null doc_id come last among
     equal sizes, a null source is a source of its own, a text without words takes
     nothing, and an empty table gives no rows. Other columns are left alone.
     """
@@ -77,7 +79,7 @@ def mix(
         raise ValueError("weights must be positive, share and most not negative")
     sized = cut(sizes(documents, keep))
     aim = cut(targets(sized, share, cycle, most))
-    ranked = running(sized, ["source"], ["size", "doc_id"])
+    ranked = running(sized, ["source"], ["size", "doc_id", *ties])
     right = aim.select(F.col("source").alias("_source"), "source_size", "target")
     out = ranked.join(right, F.col("source").eqNullSafe(F.col("_source")))
     unit, offset = 1 << UNIT_BITS, offset_of(seed)
@@ -92,10 +94,11 @@ def mix(
 
 def mixed(documents: DataFrame, **how) -> DataFrame:
     """The documents with their columns, every row as many times as the mixture takes it."""
-    row, copies = fresh(documents, "_row"), fresh(documents, "_copies")
+    row, copies, digest = fresh(documents, "_row"), fresh(documents, "_copies"), fresh(documents, "_digest")
     # Written down, as the number of a row must be the same in both reads.
     numbered = cut(documents.withColumn(row, F.monotonically_increasing_id()))
-    drawn = mix(numbered, keep=[row], **how).filter("copies > 0")
+    # The row's number depends on the partitions; the text's hash does not, so reruns take the same texts.
+    drawn = mix(numbered.withColumn(digest, F.xxhash64(text_of())), keep=[row, digest], ties=[digest], **how).filter("copies > 0")
     drawn = drawn.select(F.col(row).alias("_drawn"), F.col("copies").cast("int").alias(copies))
     taken = numbered.join(drawn, F.col(row) == F.col("_drawn"))
     return taken.select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies)).select(*documents.columns)
