@@ -27,6 +27,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMAGE = 199
 SYMBOLS = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+# Places of the bitmap of reduced words, 16 MB whatever their number. A place that several share only lets more through.
+PLACES = 1 << 27
 # A block of words holds at most so many keys at a time.
 _KEYS = 1 << 21
 
@@ -111,20 +113,32 @@ def _keyed(symbols: int):
     return run
 
 
-def _offers(symbols: int):
-    """From each word of the reduced vocabulary (one that stands for its key) the keys near it."""
+def _known_places(keyed: DataFrame) -> np.ndarray:
+    """The bitmap of the reduced vocabulary: a bit for each key, at its place. Combined on the map side."""
+    place = F.pmod("key", F.lit(PLACES)) + 1  # buckets count from 1
+    parts = keyed.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(PLACES // 8, dtype=np.uint8)
+    for row in parts.collect():  # PLACES / 8 bytes at most
+        bits = np.frombuffer(row["bits"], dtype=np.uint8)
+        out[(row["b"] - 1) * len(bits) :][: len(bits)] = bits
+    return out
+
+
+def _offers(symbols: int, known):
+    """From each word of the reduced vocabulary (one that stands for its key) the keys near it that may be known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = known.value
         for batch in batches:
             words = batch.column("word").to_pylist()
             own = np.asarray(batch.column("key"))
             for places in _same_length(words, symbols):
                 near = neighbour_keys(_codes([words[i] for i in places], symbols), symbols).view(np.int64)
-                near.sort(axis=1)
                 mine = np.broadcast_to(own[places][:, None], near.shape)
-                keep = near >= mine  # the other side offers the other half
-                keep[:, 1:] &= near[:, 1:] != near[:, :-1]
-                yield pa.RecordBatch.from_arrays([pa.array(mine[keep]), pa.array(near[keep])], names=["key", "near"])
+                at = near % PLACES
+                keep = (near >= mine) & (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)  # the other side offers the other half
+                found = np.unique(np.stack([mine[keep], near[keep]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["key", "near"])
 
     return run
 
@@ -139,7 +153,8 @@ def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     ship(words.sparkSession)
     keyed = cut(words.select("word", "n").mapInArrow(_keyed(symbols), "word string, n bigint, key bigint"))
     reduced = keyed.groupBy("key").agg(F.min("word").alias("word"))
-    offers = reduced.select("word", "key").mapInArrow(_offers(symbols), "key bigint, near bigint")
+    bits = words.sparkSession.sparkContext.broadcast(_known_places(keyed))
+    offers = reduced.select("word", "key").mapInArrow(_offers(symbols, bits), "key bigint, near bigint")
     known = keyed.select(F.col("key").alias("near")).distinct()
     meet = offers.join(known, "near", "left_semi").distinct()
     left = lookup_join(keyed, meet, ["key"], "inner", ["word"], moves_on=True).select("word", "n", "key", "near")
