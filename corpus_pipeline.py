@@ -37,7 +37,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest doc_id.
 
-    The stage keeps its name; a fingerprint misses such copies, so the sets themselves are compared.
+    SimHash links sets whose fingerprints are within three bits and the sets themselves confirm each link; since a
+    fingerprint misses such copies too, whatever else shares a rare shingle is compared after that.
     """
     return shingles.one_of_each(docs).select(*COLUMNS)
 

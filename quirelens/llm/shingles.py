@@ -1,6 +1,8 @@
-"""Near copies by the exact Jaccard similarity of their sets of word shingles.
+"""Near copies by SimHash, made whole by the exact Jaccard similarity of sets of word shingles.
 
-Candidates come from prefixes: of two sets that share eight tenths of their union, each
+Fingerprints of the sets within three bits of each other give the first candidates, which
+the sets themselves confirm. A fingerprint misses most copies of a similarity near eight tenths,
+so more candidates come from prefixes: of two sets that share eight tenths of their union, each
 has a common shingle among its first fifth, whatever one order both are sorted in. So no
 pair is missed; an order with rare shingles first only keeps the candidates few. Every set
 has a bit sketch a twentieth of its size: bits that differ are shingles that differ, so a
@@ -17,12 +19,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelens.llm import simhash
 from quirelens.llm.common import fresh, ship, text_of
 from quirelens.operators.graph import components
 from quirelens.plans.lineage import cut, release
 from quirelens.plans.skew import lookup_join
 
 WORDS = 5
+RADIUS = 3  # bits between fingerprints of likely near copies
 OVER, UNDER = 4, 5  # near copies share OVER of UNDER parts of their union, or more
 SAMPLE = 32  # one text of so many tells which shingles are common
 COMMON = 200_000  # most common shingles that are put last
@@ -77,6 +81,11 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def fingerprint(tokens: np.ndarray) -> int:
+    """The SimHash of a set of shingles."""
+    return simhash.majority(tokens[i : i + simhash.CHUNK] for i in range(0, len(tokens), simhash.CHUNK))
+
+
 def possible(size_a: int, bits_a: bytes, size_b: int, bits_b: bytes) -> bool:
     """Whether sets of these sketches can be near copies. A place set in one sketch alone is a shingle of one set alone."""
     a, b = (np.frombuffer(v, np.uint8) for v in sorted((bits_a, bits_b), key=len))
@@ -166,28 +175,55 @@ def shared_postings(prints: DataFrame, common: np.ndarray) -> DataFrame:
     return cut(often.unionByName(rare.select("token", "node", "place")).select("token", "node", *place))
 
 
+def _pair(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("source"), F.greatest(x, y).alias("target")
+
+
+def alike(prints: DataFrame) -> DataFrame:
+    """source and target of the nodes that SimHash puts together, written down. ``prints`` has node and fp.
+
+    Nodes of one fingerprint meet the least of them, which meets those of other fingerprints
+    within RADIUS bits, as many as hold such a group together.
+    """
+    first = cut(prints.groupBy("fp").agg(F.min("node").alias("first")))
+    same = lookup_join(prints.select("fp", "node"), first, ["fp"], "inner", ["node"], moves_on=True).filter("node <> first")
+    near = simhash.links(first.select("fp"), RADIUS)
+    for side in ("source", "target"):
+        near = lookup_join(near, first.select(F.col("fp").alias(side), F.col("first").alias("_" + side)), [side], "inner", ["source", "target"], moves_on=True)
+    out = cut(same.select(*_pair("node", "first")).unionByName(near.select(*_pair("_source", "_target"))).distinct())
+    release(first)
+    return out
+
+
 def links(prints: DataFrame, words: int, common: np.ndarray) -> DataFrame:
-    """source and target of links that join all near copies. ``prints`` has row, node, text, size, bits and prefix.
+    """source and target of links that join all near copies. ``prints`` has row, node, text, size, bits, fp and prefix.
 
-    First every set meets the smallest one with which it shares a token; what these
-    links join already need not meet again, so a large group of near copies stays
-    linear. Then all pairs that share a token and are still apart meet.
+    First the sets meet that SimHash puts together, then every set meets the smallest one
+    with which it shares a token; what links join already need not meet again, so a large
+    group of near copies stays linear. Then all pairs that share a token and are still apart meet.
     """
     texts = prints.select("row", "node", "text")
     # Copies have the same node, sketch and postings: the first row stands for all of them.
     narrow = prints.select("row", "node")
     firsts = narrow.groupBy("node").agg(F.min("row").alias("_first"))
     copies = cut(lookup_join(narrow, firsts, ["node"], "inner", ["row"], moves_on=True).filter("row <> _first").select("row"))
-    alone = lookup_join(prints.select("row", "node", "size", "bits", "prefix"), copies, ["row"], "left_anti", ["node"])
+    alone = lookup_join(prints.select("row", "node", "size", "bits", "fp", "prefix"), copies, ["row"], "left_anti", ["node"])
     sketches = alone.select("node", "size", "bits")
+    likely = alike(alone.select("node", "fp"))
+    printed = _confirmed(likely, sketches, texts, words)
+    release(likely)
+    joined = components(printed).select("member", "representative")
     shared = shared_postings(alone, common)
     heads = shared.groupBy("token").agg(F.min(F.struct("size", "node", "pos")).alias("h"))
     heads = cut(heads.select("token", F.col("h.node").alias("h_node"), F.col("h.size").alias("h_size"), F.col("h.pos").alias("h_pos")))
     met = lookup_join(shared, heads, ["token"], "inner", ["node"], moves_on=True)
-    both = lambda x, y: (F.least(x, y).alias("source"), F.greatest(x, y).alias("target"))
     star = met.filter(F.col("node") != F.col("h_node")).filter(_fits(F.col("size"), F.col("pos"), F.col("h_size"), F.col("h_pos")))
-    star = cut(star.select(*both("node", "h_node")).distinct())
-    first = _confirmed(star, sketches, texts, words)
+    star = star.select(*_pair("node", "h_node")).distinct()
+    for side in ("source", "target"):
+        group = joined.select(F.col("member").alias(side), F.col("representative").alias("_" + side))
+        star = lookup_join(star, group, [side], "left", ["source", "target"], moves_on=True)
+    star = cut(star.filter(F.coalesce("_source", "source") != F.coalesce("_target", "target")).select("source", "target"))
+    first = printed.unionByName(_confirmed(star, sketches, texts, words))
     found = components(first).select(F.col("member").alias("node"), "representative")
     placed = lookup_join(shared, found, ["node"], "left", ["token"], moves_on=True)
     placed = cut(placed.select("token", "node", "size", "pos", F.coalesce("representative", "node").alias("group")))
@@ -199,7 +235,7 @@ def links(prints: DataFrame, words: int, common: np.ndarray) -> DataFrame:
     y = apart.select("token", *[F.col(c).alias("y_" + c) for c in ("node", "size", "pos", "group")])
     meet = lookup_join(x, y, ["token"], "inner", ["x_node"], moves_on=True).filter((F.col("x_node") < F.col("y_node")) & (F.col("x_group") != F.col("y_group")))
     meet = meet.filter(_fits(F.col("x_size"), F.col("x_pos"), F.col("y_size"), F.col("y_pos")))
-    rest = meet.select(*both("x_node", "y_node")).distinct().join(star, ["source", "target"], "left_anti")
+    rest = meet.select(*_pair("x_node", "y_node")).distinct().join(star, ["source", "target"], "left_anti")
     rest = cut(rest)
     release(apart, star)
     second = _confirmed(rest, sketches, texts, words)
@@ -216,7 +252,7 @@ def one_of_each(documents: DataFrame, words: int = WORDS) -> DataFrame:
     gives no rows.
     """
     ship(documents.sparkSession)
-    row, node, size, first, bits = (fresh(documents, c) for c in ("_row", "_node", "_size", "_prefix", "_bits"))
+    row, node, size, first, bits, fp = (fresh(documents, c) for c in ("_row", "_node", "_size", "_prefix", "_bits", "_fp"))
     common, counts = common_shingles(documents, words)
     at = documents.columns.index("text")
 
@@ -229,17 +265,18 @@ def one_of_each(documents: DataFrame, words: int = WORDS) -> DataFrame:
             names = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             sizes = pa.array([len(s) for s in sets], pa.int32())
             sketches = pa.array([sketch(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), sizes, tokens, sketches], [*batch.schema.names, node, size, first, bits])
+            fps = pa.array(np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), sizes, tokens, sketches, fps], [*batch.schema.names, node, size, first, bits, fp])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    made = documents.mapInArrow(run, f"{kinds}, `{node}` bigint, `{size}` int, `{first}` array<bigint>, `{bits}` binary")
+    made = documents.mapInArrow(run, f"{kinds}, `{node}` bigint, `{size}` int, `{first}` array<bigint>, `{bits}` binary, `{fp}` bigint")
     prints = cut(made.withColumn(row, F.monotonically_increasing_id()))
     narrow = prints.select(F.col(node).alias("node"), "doc_id", F.col(row).alias("row"))
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     each = narrow.groupBy("node").agg(F.min(best).alias("best"))
     given = prints.select(
         F.col(row).alias("row"), F.col(node).alias("node"), "text", F.col(size).alias("size"),
-        F.col(first).alias("prefix"), F.col(bits).alias("bits"))
+        F.col(first).alias("prefix"), F.col(bits).alias("bits"), F.col(fp).alias("fp"))
     found = components(links(given, words, common))
     heads = each.join(found, F.col("node") == F.col("member"), "left").select("best", F.coalesce("representative", "node").alias("head"))
     stay = heads.groupBy("head").agg(F.min("best")["row"].alias("_stays"))

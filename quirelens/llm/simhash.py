@@ -9,7 +9,7 @@ compared bit for bit.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +45,18 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     ends = np.cumsum([len(p) + 1 for p in parts])
     starts = [0, *ends[:-1].tolist()][: max(1, len(parts) - words + 1)]
     ends = (ends - 1)[min(words, len(parts)) - 1 :].tolist()
-    count = np.zeros(BITS, np.int64)
     digest = xxhash.xxh64_intdigest
-    for i in range(0, len(starts), CHUNK):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + CHUNK], ends[i : i + CHUNK])], np.dtype("<u8"))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        count += bits.sum(axis=0, dtype=np.int64)
-    on = count * 2 > len(starts)
-    return int(np.packbits(on, bitorder="little").view("<u8")[0])
+    pieces = (zip(starts[i : i + CHUNK], ends[i : i + CHUNK]) for i in range(0, len(starts), CHUNK))
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in piece], np.uint64) for piece in pieces)
+
+
+def majority(pieces: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes of all pieces."""
+    count, total = np.zeros(BITS, np.int64), 0
+    for hashes in pieces:
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        count, total = count + bits.sum(axis=0, dtype=np.int64), total + len(hashes)
+    return int(np.packbits(count * 2 > total, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(documents: DataFrame, words: int = 3, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
