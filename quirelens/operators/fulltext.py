@@ -20,6 +20,7 @@ from quirelens.plans.windows import next_in_group
 GRAM = 3
 # Postings are dealt to so many buckets, each with a digest; a query reads a bucket for each of its grams.
 BUCKETS = 1024
+LOW = (1 << 32) - 1  # the lower half of a hash
 
 # The states of an index generation, in order.
 STATES = ("building", "ready", "retired", "removed")
@@ -55,6 +56,13 @@ def bucket_of(gram) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
+def bucket_place(gram) -> Column:
+    """A number that sorts postings by bucket, in a bucket by gram: the hash with its bucket in front. A
+    single number sorts several times as fast as the columns do."""
+    h = F.xxhash64(gram)
+    return F.shiftleft(h, 54).bitwiseXOR(F.shiftrightunsigned(h, 10))
+
+
 def bucket_digests(postings: DataFrame, key: str = "doc_id") -> DataFrame:
     """bucket and digest of the postings (gram, key) of each bucket, whatever their order.
 
@@ -62,9 +70,19 @@ def bucket_digests(postings: DataFrame, key: str = "doc_id") -> DataFrame:
     or moved to another gram or document changes it. Sums combine before the shuffle, so a bucket
     is never gathered.
     """
-    sums = [F.sum(h.cast("decimal(20,0)")).cast("string") for h in (F.xxhash64("gram", key), F.xxhash64(F.lit("digest"), key, "gram"))]
-    counted = postings.groupBy(bucket_of("gram").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), sums[0].alias("a"), sums[1].alias("b"))
-    return counted.select("bucket", F.concat_ws(":", F.col("n").cast("string"), "a", "b").alias("digest"))
+    hashes = {"a": F.xxhash64("gram", key), "b": F.xxhash64(F.lit("digest"), key, "gram")}
+    # The halves of a hash add up as longs, without a decimal per posting.
+    halves = {name + "_high": F.shiftright(h, 32) for name, h in hashes.items()} | {name + "_low": h.bitwiseAND(F.lit(LOW)) for name, h in hashes.items()}
+    counted = postings.groupBy(bucket_of("gram").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(h).alias(name) for name, h in halves.items()])
+    whole = [(F.col(f"{x}_high").cast("decimal(20,0)") * F.lit(LOW + 1).cast("decimal(11,0)") + F.col(f"{x}_low")).cast("decimal(38,0)").cast("string") for x in hashes]
+    return counted.select("bucket", F.concat_ws(":", F.col("n").cast("string"), *whole).alias("digest"))
+
+
+def add_digests(some: dict, others: dict) -> dict:
+    """The digests of all postings, from those of two parts of them."""
+    parts = [{b: [int(x) for x in d.split(":")] for b, d in part.items()} for part in (some, others)]
+    add = lambda x, y: ":".join(str(p + q) for p, q in zip(x, y))
+    return {b: add(parts[0].get(b, (0, 0, 0)), parts[1].get(b, (0, 0, 0))) for b in parts[0] | parts[1]}
 
 
 def query_grams(query: str) -> list[str]:

@@ -19,9 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelens.operators.fulltext import (
-    GRAM, STATES, bucket_digests, bucket_of, direct_scan, query_grams, trigram_index, trigram_search,
+    GRAM, STATES, bucket_digests, bucket_of, bucket_place, direct_scan, query_grams, trigram_index, trigram_search,
 )
 
+# Texts of one file of postings.
+PART_BYTES = 16 << 20
+
 
 class WrongState(ValueError):
     """The generation is not in the state that the change starts from, or somebody else made the change."""
@@ -107,11 +110,25 @@ class GenerationStore:
         if self.states().get(number) != "building":
             raise WrongState(f"generation {number} is not building")
         path = f"{self.path}/{self._read(f'g{number}.building')['data']}"
-        postings = trigram_index(docs, self.key, self.text).withColumn("bucket", bucket_of("gram"))
-        # Sorted by bucket, so that a query reads few row groups; a common gram spreads over files by its keys.
-        postings.repartitionByRange("bucket", "gram", self.key).sortWithinPartitions("bucket", "gram", self.key).write.parquet(path)
-        digests = bucket_digests(self._postings(number), self.key).collect()  # BUCKETS rows at most
-        return {str(r["bucket"]): r["digest"] for r in digests}
+        postings = trigram_index(self._spread(docs), self.key, self.text).withColumn("bucket", bucket_of("gram"))
+        # Texts move, not their postings: each file is sorted by bucket, so that a query reads few pages of it, and
+        # a common gram spreads over the files of its documents.
+        postings.sortWithinPartitions(bucket_place("gram")).write.parquet(path)
+        return self._collected(bucket_digests(self._postings(number), self.key))
+
+    def digests(self, docs: DataFrame) -> dict:
+        """The digests that the postings of ``docs`` would have; nothing is written."""
+        return self._collected(bucket_digests(trigram_index(self._spread(docs), self.key, self.text), self.key))
+
+    def _spread(self, docs: DataFrame) -> DataFrame:
+        """The ids and texts in even parts, however the files are cut."""
+        docs = docs.select(self.key, self.text)
+        size = docs.agg(F.sum(F.octet_length(self.text).cast("bigint"))).first()[0] or 0
+        return docs.repartition(max(self.spark.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
+
+    @staticmethod
+    def _collected(digests: DataFrame) -> dict:
+        return {str(r["bucket"]): r["digest"] for r in digests.collect()}  # BUCKETS rows at most
 
     def publish(self, number: int, digests: dict) -> bool:
         """Make a generation ready and retire older ones; one that a newer has overtaken retires at once (False)."""
