@@ -5,19 +5,26 @@ same answer and stands in whenever the index cannot be trusted: it is missing, i
 fence is not the current revision, or it does not hold as many postings as it was
 made with. Stored generations (``sources.generations``) also carry a digest per bucket of
 grams, and a query checks the buckets it reads. Nothing that answers a query writes.
+
+Grams are the one step of the catalog that is numpy over Arrow instead of built-in functions, of which
+none cuts a text into runs at less than a match and a string object per character.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from quirelens.functions.text import grams
 from quirelens.plans.skew import lookup_join
 from quirelens.plans.windows import next_in_group
 
 GRAM = 3
+# Characters whose grams are sorted at a time; a longer text is a slice of its own.
+SLICE = 1 << 21
 # Postings are dealt to so many buckets, each with a digest; a query reads a bucket for each of its grams.
 BUCKETS = 1024
 LOW = (1 << 32) - 1  # the lower half of a hash
@@ -39,9 +46,63 @@ def search_projection(objects: DataFrame, references: DataFrame, bodies: DataFra
     return code.unionByName(prose.select("kind", F.col("sha256").alias("source_key"), "text")).filter("text is not null")
 
 
+def _listing(slice_chars: int):
+    """The task of ``gram_lists``. All it calls is inside, so that executors need numpy and Arrow but not this package."""
+
+    def lists(texts, keys):
+        codes = np.concatenate(texts)
+        used = np.zeros(int(codes.max()) + 1 if len(codes) else 1, bool)
+        used[codes] = True
+        alphabet, symbol = np.flatnonzero(used).astype("<u4"), np.cumsum(used) - 1
+        width, row_bits = max(len(alphabet) - 1, 0).bit_length(), (len(texts) - 1).bit_length()
+        if 3 * width + row_bits > 63:  # never for a single text: 21 bits hold any character
+            half = len(texts) // 2
+            yield from lists(texts[:half], keys[:half])
+            yield from lists(texts[half:], keys[half:])
+            return
+        s = symbol[codes]
+        rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        inside = rows[:-2] == rows[2:]  # a run ends in the text it begins in
+        found = (((((s[:-2] << width) | s[1:-1]) << width) | s[2:]) << row_bits | rows[:-2])[inside]
+        if not len(found):
+            return
+        found.sort()
+        found = found[np.append(True, found[1:] != found[:-1])]
+        gram = found >> row_bits
+        starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        gram, mask = gram[starts], (1 << width) - 1
+        runs = alphabet[np.stack([gram >> 2 * width, gram >> width & mask, gram & mask], axis=1)].tobytes().decode("utf-32-le")
+        names = pa.array([runs[i : i + 3] for i in range(0, len(runs), 3)], pa.string())
+        ends = pa.array(np.append(starts, len(found)), pa.int32())
+        held = pa.ListArray.from_arrays(ends, keys.take(pa.array(found & ((1 << row_bits) - 1))))
+        yield pa.RecordBatch.from_arrays([names, held], ["gram", "keys"])
+
+    def run(batches):
+        for batch in batches:
+            keys, first, chars, texts = batch.column(0), 0, 0, []
+            for i, t in enumerate(batch.column(1).cast(pa.large_binary()).to_pylist()):
+                codes = np.frombuffer((t or b"").decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+                if texts and chars + len(codes) > slice_chars:
+                    yield from lists(texts, keys[first:i])
+                    first, chars, texts = i, 0, []
+                chars += len(codes)
+                texts.append(codes)
+            if texts:
+                yield from lists(texts, keys[first:])
+
+    return run
+
+
+def gram_lists(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """gram and keys: for slices of the texts each run of three characters with the rows that hold it, once a row. A
+    gram comes once for each slice that holds it. Null texts have none."""
+    schema = StructType([StructField("gram", StringType()), StructField("keys", ArrayType(docs.schema[key].dataType))])
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(_listing(SLICE), schema)
+
+
 def trigram_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Postings (gram, key): each distinct run of three characters of each text."""
-    return docs.select(F.explode(grams(text, GRAM)).alias("gram"), key)
+    return gram_lists(docs, key, text).select("gram", F.explode("keys").alias(key))
 
 
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:

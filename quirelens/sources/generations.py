@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelens.operators.fulltext import (
-    GRAM, STATES, bucket_digests, bucket_of, bucket_place, direct_scan, query_grams, trigram_index, trigram_search,
+    GRAM, STATES, bucket_digests, bucket_of, bucket_place, direct_scan, gram_lists, query_grams, trigram_index, trigram_search,
 )
 
 # Texts of one file of postings.
@@ -110,10 +110,10 @@ class GenerationStore:
         if self.states().get(number) != "building":
             raise WrongState(f"generation {number} is not building")
         path = f"{self.path}/{self._read(f'g{number}.building')['data']}"
-        postings = trigram_index(self._spread(docs), self.key, self.text).withColumn("bucket", bucket_of("gram"))
+        lists = gram_lists(self._spread(docs), self.key, self.text).withColumn("bucket", bucket_of("gram"))
         # Texts move, not their postings: each file is sorted by bucket, so that a query reads few pages of it, and
-        # a common gram spreads over the files of its documents.
-        postings.sortWithinPartitions(bucket_place("gram")).write.parquet(path)
+        # a common gram spreads over the files of its documents. Lists are sorted and kept, not single postings.
+        lists.sortWithinPartitions(bucket_place("gram")).withColumnRenamed("keys", f"{self.key}_list").write.parquet(path)
         return self._collected(bucket_digests(self._postings(number), self.key))
 
     def digests(self, docs: DataFrame) -> dict:
@@ -198,8 +198,11 @@ class GenerationStore:
     # ---- searching ----
 
     def _postings(self, number: int) -> DataFrame:
+        """The postings of a generation: gram, key and bucket. Files of single postings are read as well."""
         made = self._read(f"g{number}.building")
-        return self.spark.read.parquet(f"{self.path}/{made['data']}")
+        rows = self.spark.read.parquet(f"{self.path}/{made['data']}")
+        held = f"{self.key}_list"
+        return rows.select("gram", F.explode(held).alias(self.key), "bucket") if held in rows.columns else rows
 
     def ready(self) -> int | None:
         """The newest ready generation."""
